@@ -24,8 +24,8 @@ from .words import U64, mix, shingle_sets
 
 #: Entries of the table of frequent shingles. It only orders shingles by rarity, which no result depends on.
 FREQUENT = 1 << 17
-#: A block of more classes is cut by set size, each class in two neighbouring ranges.
-LARGE_BLOCK = 20_000
+#: A block of more shingles is dealt to cells, one for each pair of its parts, so that a task's memory is bounded.
+BLOCK_SHINGLES = 2_000_000
 
 
 def need(n, pct: int):
@@ -62,23 +62,26 @@ def link_sets(sets: list[np.ndarray], pct: int) -> np.ndarray:
     forest = Forest(n)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     tokens = np.concatenate(sets) if n else np.zeros(0, U64)
-    doc = np.repeat(np.arange(n), size)
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
     if not len(tokens):
         return forest.label
-    order = np.argsort(tokens, kind="stable")
-    fresh = np.empty(len(order), dtype=bool)
-    fresh[0] = True
-    fresh[1:] = tokens[order][1:] != tokens[order][:-1]
+    order = np.argsort(tokens, kind="stable").astype(np.int32)
+    tokens = tokens[order]
+    fresh = np.append(True, tokens[1:] != tokens[:-1])
+    del tokens
     head = np.flatnonzero(fresh)
     length = np.diff(np.append(head, len(order)))
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.cumsum(fresh) - 1
+    group = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = group
     posting = doc[order]
-    keys = (np.cumsum(fresh) - 1) * n + posting
+    del doc, order, fresh
+    keys = group.astype(np.int64) * n + posting
+    del group
     start = np.cumsum(size) - size
 
     def lists(x: int) -> tuple[np.ndarray, np.ndarray]:
-        own = rank[start[x] : start[x] + size[x]]
+        own = rank[start[x] : start[x] + size[x]].astype(np.int64)
         own = own[np.argsort(length[own], kind="stable")]
         short = size[x] - need(size[x], pct) + 1
         return own[:short], own[short:]
@@ -208,13 +211,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = meta.where("id is not null and n > 0")
     classes = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("classes"))
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
+    placed = cut(classes.join(blocks, "s1"))
+    parts = placed.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    own = F.pmod(F.xxhash64("s2"), F.col("parts"))
     members = (
-        classes.join(blocks, "s1")
-        .join(sizes, "block")
-        .withColumn("part", F.explode(F.when(F.col("classes") > LARGE_BLOCK, F.array(step, step + 1)).otherwise(F.array(F.lit(0).cast("long")))))
-        .select("block", "part", "rep", "s1", "s2")
+        placed.join(parts, "block")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("block", (F.least(own, "other") * F.col("parts") + F.greatest(own, "other")).alias("part"), "rep", "s1", "s2")
     )
 
     def search(table: pa.Table) -> pa.Table:

@@ -64,8 +64,8 @@ def add_columns(
     return df.select(*[f"`{c}`" for c in need]).mapInArrow(run, schema)
 
 
-def split_batch(batch: pa.RecordBatch, inputs: list[str], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a few MB of text each (at least one row), to bound a task's memory."""
+def split_batch(batch: pa.RecordBatch, inputs: list[str], most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about a MB of text each (at least one row), to bound a task's memory."""
     n = batch.num_rows
     if n == 0:
         return
