@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, pii, secrets
+from . import fm_classifier, jaccard, packing, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *digest("pii", pii.BASE))
 
 
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fm_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = fm_classifier.score_quality(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", fm_classifier.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep=["doc_id"])
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -55,6 +62,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
+    "op4_quality_fm": op4_quality_fm,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op7_ngram_jaccard": op7_ngram_jaccard,
