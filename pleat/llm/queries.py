@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_classifier, jaccard, packing, pii, secrets
+from . import fm_classifier, html_text, jaccard, packing, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *digest("pii", pii.BASE))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fm_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +66,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
+    "op3_html_text": op3_html_text,
     "op4_quality_fm": op4_quality_fm,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
