@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_classifier, html_text, jaccard, metric_join, packing, pii, secrets
+from . import fm_classifier, html_text, jaccard, metric_join, packing, pii, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def digest(spans: str, kinds: tuple[str, ...]) -> list[Column]:
     return [*(n_of(spans, k) for k in kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"), out="pii", keep=["doc_id"])
     return found.select("doc_id", *digest("pii", pii.BASE))
@@ -69,6 +74,7 @@ def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
     "op3_html_text": op3_html_text,
     "op4_quality_fm": op4_quality_fm,
