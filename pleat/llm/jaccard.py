@@ -1,8 +1,9 @@
 """N-gram Jaccard join by T-occurrence search (heap-merged short lists, DivideSkip probes of long ones).
 
-Plan: texts with equal shingle sets collapse to one class.  A class sends only its rarest shingles
-(as many as any partner must share one of) to be met by hash; classes that meet form candidate
-blocks, found by stars and distributed components.  A link can only lie inside a block.  Each block
+Plan: texts with equal shingle sets collapse to one class.  Every shingle's corpus frequency is
+counted; among its rarest shingles (as many as any partner must share one of) a class is met only
+through those that another class has too.  Classes that meet form candidate blocks, found by stars
+and distributed components.  A link can only lie inside a block.  Each block
 runs the T-occurrence search over its own inverted lists: with threshold T on a query's overlap, its
 T - 1 longest lists are set aside, the short rest is merged, and each survivor is probed by binary
 search in the long lists.  Lists whose documents are already one component are skipped, so a large
@@ -15,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .counts import answered, chunk_of, counts_of, deal
 from .runtime import cut, split_batch
 from .words import U64, mix, shingle_sets
 
-#: Entries of the table of frequent shingles. It only orders shingles by rarity, which no result depends on.
-FREQUENT = 1 << 17
+#: Bits of a shingle by which its frequency is counted. Two shingles that fall together only look more
+#: frequent than they are, which can add candidates and lose none.
+RARITY_BITS = 44
+SHIFT = U64(64 - RARITY_BITS)
 #: A block of more shingles is dealt to cells, one for each pair of its parts, so that a task's memory is bounded.
 BLOCK_SHINGLES = 2_000_000
 
@@ -141,72 +145,62 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a document's set size and class; kind 1: a shingle of several classes here and their number."""
-        seen: set[int] = set()
-        pool: list[np.ndarray] = []
-        held = 0
-        common: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U64), np.zeros(0, np.int64))
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            v, c = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.zeros(0, U64), np.zeros(0, np.int64))
-            v, c = v[c > 1], c[c > 1]
-            v, at = np.unique(np.concatenate([common[0], v]), return_inverse=True)
-            return v, np.bincount(at, np.concatenate([common[1], c]), len(v)).astype(np.int64)
-
         for batch in batches:
             for part in split_batch(batch, ["text"]):
                 sets = shingle_sets(part.column(1), words)
-                s1 = [class_hash(s, 1) for s in sets]
-                for s, h in zip(sets, s1, strict=True):
-                    if h not in seen and len(s):
-                        seen.add(h)
-                        pool.append(s)
-                        held += len(s)
-                if held > 4_000_000:
-                    common, pool, held = fold(), [], 0
-                m = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * m, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array([class_hash(s, 2) for s in sets], pa.int64())],
-                    names=["kind", "id", "n", "s1", "s2"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([class_hash(s, k) for s in sets], pa.int64()) for k in (1, 2))],
+                    names=["id", "n", "s1", "s2"],
                 )
-        v, c = fold()
-        v, c = v[c > 3], c[c > 3]
-        m = len(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(c, pa.int64()), pa.array(v.astype(np.int64)), pa.nulls(m, pa.int64())], names=["kind", "id", "n", "s1", "s2"])
-
-    described = cut(docs.mapInArrow(describe, "kind int, id long, n long, s1 long, s2 long"))
-    meta = described.where("kind = 0").drop("kind")
-    top = described.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(FREQUENT).toPandas()
-    tok = top["s1"].to_numpy(np.int64).astype(U64)
-    cnt = top["n"].to_numpy(np.int64)
-    order = np.argsort(tok)
-    frequent = spark.sparkContext.broadcast((tok[order], cnt[order]))
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = frequent.value
-        seen: set[int] = set()
+
+    meta = cut(docs.mapInArrow(describe, "id long, n long, s1 long, s2 long"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One text of each class in this task, so that copies do not travel."""
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in split_batch(batch, ["text"]):
-                out, cls = [], []
-                for s, i in zip(shingle_sets(part.column(1), words), part.column(0).is_valid().to_pylist(), strict=True):
-                    if not len(s) or not i or (h := class_hash(s, 1)) in seen:
-                        continue
-                    seen.add(h)
-                    f = np.zeros(len(s), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        f = np.where(known[at] == s, count[at], 0)
-                    first = s[np.lexsort((s, f))[: len(s) - need(len(s), percent) + 1]]
-                    out.append(first)
-                    cls.append(np.full(len(first), h, np.int64))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64)), pa.array(np.concatenate(cls))], names=["token", "s1"])
-
-    prefix = docs.mapInArrow(rarest, "token long, s1 long")
-    # star of each shingle: every class with the smallest class that shares it
-    from pyspark.sql import Window
+                cls, rows = [], []
+                for row, (s, i) in enumerate(zip(shingle_sets(part.column(1), words), part.column(0).is_valid().to_pylist(), strict=True)):
+                    if i and len(s) and (h := (class_hash(s, 1), class_hash(s, 2))) not in seen:
+                        seen.add(h)
+                        cls.append(h[0])
+                        rows.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), part.column(1).take(pa.array(rows, pa.int64()))], names=["s1", "text"])
+
+    texts = docs.mapInArrow(distinct, "s1 long, text string").withColumn("chunk", chunk_of("s1", spark))
+    texts = deal(texts.select("chunk", "text"))
+    answers = answered(texts, lambda t: tally(chunk_sets(t, words)[0]), RARITY_BITS)
+
+    def rarest(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        """Classes that share one of their rarest shingles with another, with those shingles."""
+        sets, s1, s2, rows = chunk_sets(table, words)
+        known, _ = tally(sets)
+        count = counts_of(told)
+        keep, prefix = [], []
+        for j, s in enumerate(sets):
+            f = count[np.searchsorted(known, s >> SHIFT)]
+            first = np.lexsort((s, f))[: len(s) - need(len(s), percent) + 1]
+            first = first[f[first] > 1]
+            if len(first):
+                keep.append(j)
+                prefix.append(s[first].astype(np.int64))
+        at = [rows[j] for j in keep]
+        return pa.table(
+            {
+                "s1": pa.array([s1[j] for j in keep], pa.int64()),
+                "s2": pa.array([s2[j] for j in keep], pa.int64()),
+                "tokens": pa.array(prefix, pa.list_(pa.int64())),
+                "text": table.column("text").take(pa.array(at, pa.int64())),
+            }
+        )
+
+    cogroups = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    met = cut(cogroups.applyInArrow(rarest, "s1 long, s2 long, tokens array<long>, text string"))
 
-    stars = prefix.withColumn("m", F.min("s1").over(Window.partitionBy("token"))).where("s1 <> m").select(F.col("s1").alias("u"), F.col("m").alias("v"))
+    # star of each shingle: every class with the smallest class that shares it
+    shared = met.select(F.explode("tokens").alias("token"), "s1")
+    stars = shared.withColumn("m", F.min("s1").over(Window.partitionBy("token"))).where("s1 <> m").select(F.col("s1").alias("u"), F.col("m").alias("v"))
     blocks = cut(connected_components(stars).withColumnRenamed("node", "s1").withColumnRenamed("component", "block"))
 
     named = meta.where("id is not null and n > 0")
@@ -218,24 +212,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         placed.join(parts, "block")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         .select("block", (F.least(own, "other") * F.col("parts") + F.greatest(own, "other")).alias("part"), "rep", "s1", "s2")
+        .join(met.select("s1", "s2", "text"), ["s1", "s2"])
     )
 
     def search(table: pa.Table) -> pa.Table:
-        sets, reps, seen = [], [], set()
-        s1, s2, rep = (table.column(c).to_pylist() for c in ("s1", "s2", "rep"))
-        for piece, lo in _slices(table.column("text")):
-            for j, s in enumerate(shingle_sets(piece, words), lo):
-                h = (class_hash(s, 1), class_hash(s, 2))
-                if h == (s1[j], s2[j]) and h not in seen:
-                    seen.add(h)
-                    sets.append(s)
-                    reps.append(rep[j])
+        sets, _, _, rows = chunk_sets(table, words)
+        rep = table.column("rep").to_pylist()
+        reps = [rep[r] for r in rows]
         label = link_sets(sets, percent)
         pairs = [(reps[i], reps[int(r)]) for i, r in enumerate(label) if int(r) != i]
         return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
 
-    texts = docs.join(members, docs["id"] == members["rep"]).select("block", "part", "rep", "s1", "s2", "text")
-    links = texts.groupBy("block", "part").applyInArrow(search, "u long, v long")
+    links = members.groupBy("block", "part").applyInArrow(search, "u long, v long")
     # an id with several texts ties their classes together
     ties = named.groupBy("id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("id")
     tied = named.join(ties, "id", "left_semi").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
@@ -245,6 +233,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("c")), F.col("id"))).alias("component_id"))
 
 
+def chunk_sets(table: pa.Table, words: int) -> tuple[list[np.ndarray], list[int], list[int], list[int]]:
+    """The distinct shingle sets of a group's texts, their class hashes and the rows that they come from."""
+    sets, one, two, rows, seen = [], [], [], [], set()
+    for piece, lo in _slices(table.column("text")):
+        for j, s in enumerate(shingle_sets(piece, words), lo):
+            h = (class_hash(s, 1), class_hash(s, 2))
+            if h not in seen:
+                seen.add(h)
+                sets.append(s)
+                one.append(h[0])
+                two.append(h[1])
+                rows.append(j)
+    return sets, one, two, rows
+
+
+def tally(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shortened shingles and in how many sets each is."""
+    return np.unique(np.concatenate(sets) >> SHIFT, return_counts=True) if sets else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
 def _slices(col: pa.ChunkedArray) -> Iterator[tuple[pa.Array, int]]:
     batch = pa.RecordBatch.from_arrays([col.combine_chunks()], names=["text"])
     at = 0
