@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_classifier, html_text, jaccard, metric_join, packing, pii, quality_rules, secrets
+from . import backoff_lm, fm_classifier, html_text, jaccard, metric_join, packing, pii, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score_backoff(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_metric_join": op9_metric_join,
+    "op10_backoff_lm": op10_backoff_lm,
 }
 
 ORACLE: dict[str, str] = {}
