@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, fm_classifier, html_text, jaccard, metric_join, packing, pii, quality_rules, secrets
+from . import backoff_lm, fm_classifier, html_text, jaccard, metric_join, packing, pieces, pii, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    coded = pieces.encode_sampled(table(spark, sf_dir, "documents"), model, seed=1, keep=["doc_id", "text"])
+    back = pieces.decode_pieces(coded, model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return back.select("doc_id", (F.length("pieces") / 4).cast("long").alias("n_pieces"), F.crc32("pieces").alias("ids_crc32"), same.alias("lossless"))
+
+
 def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -85,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_sampled_pieces": op8_sampled_pieces,
     "op9_metric_join": op9_metric_join,
     "op10_backoff_lm": op10_backoff_lm,
 }

@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U64) * MULT)
+BYTE_HASH = mix(np.arange(1, 257, dtype=U64) * MULT)
 _POWERS = np.ones(1, dtype=U64)
 
 
@@ -86,7 +86,7 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     place = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(heads, lens)
     at = np.repeat(starts, lens) + place
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(_BYTES[raw[at]] * powers(int(lens.max()))[place], heads)
+        h = np.add.reduceat(BYTE_HASH[raw[at]] * powers(int(lens.max()))[place], heads)
         return mix(h + lens.astype(U64) * MULT)
 
 
