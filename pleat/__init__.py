@@ -1,0 +1,6 @@
+"""Array notation over Spark DataFrames."""
+
+from .api import Kernel, Result, j
+from .plans.values import Table
+
+__all__ = ["Kernel", "Result", "Table", "j"]

@@ -13,7 +13,7 @@ from typing import Any
 import numpy as np
 
 from ..errors import LengthError, NotYet, RankError
-from ..values import frame_up
+from ..values import atom, frame_up
 
 INFINITE = 99
 
@@ -43,6 +43,12 @@ class Verb:
     scalar: bool = False  # one and two work elementwise on whole arrays
 
     def monad(self, y):
+        return whole(self._monad(y))
+
+    def dyad(self, x, y):
+        return whole(self._dyad(x, y))
+
+    def _monad(self, y):
         if isinstance(y, Distributed) and not self.hybrid:
             return lower().monad(self, y)
         if self.one is None:
@@ -52,7 +58,7 @@ class Verb:
             return self.one(y)
         return apply_monad(self.one, r, y)
 
-    def dyad(self, x, y):
+    def _dyad(self, x, y):
         if (isinstance(x, Distributed) or isinstance(y, Distributed)) and not self.hybrid:
             return lower().dyad(self, x, y)
         if self.two is None:
@@ -71,6 +77,11 @@ class Verb:
         return self.name
 
 
+def whole(v):
+    """Results of numpy calls on atoms are scalars; as nouns they are rank-0 arrays."""
+    return v if isinstance(v, (np.ndarray, Distributed)) else atom(v)
+
+
 def split_rank(ndim: int, r: int) -> int:
     """Cell rank of an argument under verb rank r; negative counts off the frame."""
     return max(0, ndim + r) if r < 0 else min(r, ndim)
