@@ -88,11 +88,8 @@ def score_backoff(docs: DataFrame, text_col: str = "text", order: int = ORDER, f
     chunked = docs.select(*[F.col(f"`{c}`") for c in staying], F.col(f"`{text_col}`").alias(text))
     chunked = chunked.withColumn(chunk, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in chunked.columns if not isinstance(chunked.schema[c].dataType, T.MapType)]), F.lit(chunk_number(docs.sparkSession))).cast("int"))
     chunked = deal(chunked, chunk)
-    answers = answered(chunked.select(F.col(chunk).alias("chunk"), text), lambda t: tally(t.column(text), order), BITS)
-    # words in all: every chunk sees it as one number, summed from one row per chunk
-    import pyspark.sql.functions as fn
-
-    total = docs.select(fn.sum(_n_words(F.col(f"`{text_col}`"))).alias("n")).first()["n"] or 0
+    answers = answered(chunked, lambda t: tally(t.column(text), order), BITS, chunk)
+    total = docs.select(F.sum(_n_words(F.col(f"`{text_col}`"))).alias("n")).first()["n"] or 0
     schema = T.StructType([*(docs.schema[c] for c in staying), *fields])
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:

@@ -61,11 +61,12 @@ def deal(df: DataFrame, key: str = "chunk") -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), key)
 
 
-def answered(chunked: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+def answered(chunked: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], bits: int, key: str = "chunk") -> DataFrame:
     """(chunk, bucket, n, counts): for every chunk its hashes' corpus counts, bucket by bucket.
 
-    ``chunked`` has a column chunk (int) and is dealt by it; ``hashes`` maps a chunk's table to its
-    sorted distinct hashes below 2 ** bits and their counts.
+    ``chunked`` has an int column ``key`` and is dealt by it; ``hashes`` maps a chunk's table to its
+    sorted distinct hashes below 2 ** bits and their counts.  All columns of ``chunked`` are read, so
+    that a cogroup of it with the answers shares its exchange.
     """
     buckets = shuffle_partitions(chunked.sparkSession)
     edges = np.array([(b << bits) // buckets for b in range(1, buckets)], dtype=U64)
@@ -78,7 +79,7 @@ def answered(chunked: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray,
         rows = [(b, cuts[b], cuts[b + 1]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
         return pa.table(
             {
-                "chunk": pa.array([table.column("chunk")[0].as_py()] * len(rows), pa.int32()),
+                "chunk": pa.array([table.column(key)[0].as_py()] * len(rows), pa.int32()),
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
                 "n": pa.array([int(r[2] - r[1]) for r in rows], pa.int64()),
                 "hashes": pa.array([pack(x[i:j] - lows[b], width) for b, i, j in rows], pa.binary()),
@@ -103,7 +104,7 @@ def answered(chunked: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray,
             }
         )
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, n long, hashes binary, counts binary")
+    sent = chunked.groupBy(key).applyInArrow(send, "chunk int, bucket int, n long, hashes binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(total, "chunk int, bucket int, n long, counts binary")
 
 
