@@ -125,7 +125,7 @@ def with_rank(u: Verb, r: np.ndarray) -> Verb:
     v = [INFINITE if k == np.inf else -INFINITE if k == -np.inf else int(k) for k in np.atleast_1d(r)]
     if len(v) not in (1, 2, 3):
         raise LengthError("one to three ranks are wanted")
-    m, lr, rr = {1: (v[0],) * 3, 2: (v[1], v[0], v[1]), 3: (v[0], v[1], v[2])}[len(v)] if len(v) < 4 else (0, 0, 0)
+    m, lr, rr = v * 3 if len(v) == 1 else (v[1], v[0], v[1]) if len(v) == 2 else v
 
     def one(y):
         if isinstance(y, Distributed):

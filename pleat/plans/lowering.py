@@ -109,7 +109,7 @@ def monad(v: Verb, y):
         if name == "s:":
             return y
         if name == '".':
-            return Vec(y.frame, F.expr("try_cast(x as double)") if False else y.col.try_cast("double"), y.front, y.back)
+            return Vec(y.frame, y.col.try_cast("double"), y.front, y.back)
         if name == "#:":
             return bits(y)
         if name in ("?", "?."):
@@ -414,13 +414,11 @@ def copy(x, y):
         a, b = align(x, y)
         b = Vec(b.frame, b.col, b.front, b.back).trimmed() if (b.front or b.back) else b
         if a.front or a.back:
-            both = a.trimmed()
             name_m, name_v = fresh("m"), fresh("v")
             f = a.frame.dense()
             pos = F.col(q(f.pos))
             df = f.df.where((pos >= a.front) & (pos < f.count() - a.back)).select((pos - a.front).alias(POS), a.col.alias(name_m), y.col.alias(name_v))
             a, b = Vec(Frame(df, [], POS), F.col(name_m)), Vec(Frame(df, [], POS), F.col(name_v))
-            _ = both
         f = b.frame
         if a.type.simpleString() == "boolean":
             return Vec(Frame(f.df.where(a.col), f.ordering() if f.pos or f.order else [], None), b.col)
@@ -513,8 +511,8 @@ def reshape(x, y: Vec):
         p = y.placed()
         n = p.frame.count()
         name = fresh("v")
-        slots = _session().range(shape[0]).select(F.col("id").alias("__slot"))
-        df = slots.join(p.frame.df.select(F.col(q(p.frame.pos)).alias("__src"), p.col.alias(name)), F.pmod(F.col("__slot"), n) == F.col("__src")).select(F.col("__slot").alias(POS), name)
+        slots = _session().range(shape[0]).select(F.col("id").alias("__slot"), F.pmod(F.col("id"), n).alias("__want"))
+        df = slots.join(p.frame.df.select(F.col(q(p.frame.pos)).alias("__src"), p.col.alias(name)), F.col("__want") == F.col("__src")).select(F.col("__slot").alias(POS), name)
         return Vec(Frame(df, [], POS), F.col(name))
     if len(shape) != 2:
         raise NotYet("reshaping a distributed vector to more than two axes")
@@ -567,7 +565,10 @@ def index_of(x, y, last: bool, origin: int):
     pos = F.col(q(a.frame.pos))
     agg = F.max if last else F.min
     if isinstance(y, np.ndarray):
-        return Scalar(a.frame, F.coalesce(agg(F.when(a.col == lit(text_of(y)), pos)), F.count(F.lit(1))) + origin)
+        one = lambda v: Scalar(a.frame, F.coalesce(agg(F.when(a.col == lit(v), pos)), F.count(F.lit(1))) + origin)
+        if kind(y) == "char" or not y.ndim:
+            return one(text_of(y))
+        return Tuple([one(np.asarray(v)) for v in np.ravel(y)])
     k, at = fresh("k"), fresh("at")
     seen = a.frame.df.groupBy(a.col.alias(k)).agg(agg(pos).alias(at))
     b = y.trimmed()
@@ -604,7 +605,7 @@ def interval_index(x, y: Vec, closed: bool, origin: int):
     if isinstance(x, np.ndarray):
         bounds = F.array(*[F.lit(float(v) if x.dtype.kind == "f" else v) for v in np.ravel(x).tolist()])
         count = F.size(F.filter(bounds, (lambda b: b <= y.col) if closed else (lambda b: b < y.col)))
-        return Vec(y.frame, count.cast("long") + origin - (1 if closed else 0) * origin + (origin - 1 if closed and origin else 0) * 0, y.front, y.back)
+        return Vec(y.frame, count.cast("long") + origin, y.front, y.back)
     b, p = x.trimmed(), y.placed()
     v, flag, at = fresh("v"), fresh("bound"), fresh("at")
     left = b.frame.df.select(b.col.alias(v), F.lit(1).alias(flag), F.lit(None).cast("long").alias(at))
@@ -816,7 +817,6 @@ def infix(u: Verb, x, y: Vec):
     df, w, own = windowed(p.frame, k - 1, 0)
     frame = w.rowsBetween(-(k - 1), 0)
     made = Frame(df, [], p.frame.pos)
-    kept: list[tuple[str, Column]] = []
 
     def finish(c: Column) -> Vec:
         name = fresh("w")
@@ -824,7 +824,6 @@ def infix(u: Verb, x, y: Vec):
         out = out.withColumn(p.frame.pos, F.col(q(p.frame.pos)) - (k - 1)).drop(*[x for x in out.columns if x.startswith("__home")])
         return Vec(Frame(out, [], p.frame.pos), F.col(name))
 
-    _ = kept
     runs = Runs(made, p.col, lambda a: a.over(frame), F.lit(k), finish, F.col(q(p.frame.pos)))
     return close(u.monad(runs))
 
@@ -847,9 +846,9 @@ def outfix(u: Verb, x, y: Vec):
     return PRIMS["-"].dyad(total, infix(u, x, y))
 
 
-def grouped(u: Verb, f: Frame, col: Column, keys: list[Column], by_key: bool = False, where: Column | None = None, more: list[str] | None = None) -> Vec:
-    """u over groups of rows, one row a group in the order of first rows (or of the key)."""
-    names = more or [fresh("key") for _ in keys]
+def grouped(u: Verb, f: Frame, col: Column, keys: list[Column], by_key: bool = False, where: Column | None = None, leave: Column | None = None) -> Vec:
+    """u over groups of rows, one row a group in the order of first rows (or of the key); rows of ``leave`` only open groups."""
+    names = [fresh("key") for _ in keys]
     first = fresh("first")
     pos = F.col(q(f.pos)) if f.pos else None
     source = f.df if where is None else f.df.where(where)
@@ -873,9 +872,13 @@ def grouped(u: Verb, f: Frame, col: Column, keys: list[Column], by_key: bool = F
         name = fresh("s")
         return Vec(Frame(source.withColumn(name, FOLDS[what][0](c).over(w)), f.order, f.pos), F.col(name))
 
-    rank = None
-    runs = Runs(Frame(source, f.order, f.pos), col, lambda a: a, F.count(F.lit(1)), finish, pos, scans)
-    _ = rank
+    if leave is not None:  # aggregates skip nulls
+        out = fresh("out")
+        source = source.withColumn(out, leave)
+        col, size = F.when(~F.col(out), col), F.count(F.when(~F.col(out), 1))
+    else:
+        size = F.count(F.lit(1))
+    runs = Runs(Frame(source, f.order, f.pos), col, lambda a: a, size, finish, pos, scans)
     return close(u.monad(runs))
 
 
@@ -909,7 +912,9 @@ def run_fold(u: Verb, y: Runs) -> Column:
         what = FOLD[u.name][0]
         if u.name in ("+.", "∨", "*.", "∧"):
             return y.agg((F.bool_or if what == "max" else F.bool_and)(y.col))
-        return y.agg({"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}[what](n))
+        out = y.agg({"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}[what](n))
+        ident = F.lit(float(FOLD[u.name][1])) if what != "sum" or scalars.is_float(t) else F.lit(0).cast("long")
+        return F.coalesce(out, ident) if what in ("sum", "product") or scalars.is_float(t) else out
     if u.name in ("[", "⊣") and y.pos is not None:
         return y.agg(F.min_by(y.col, y.pos))
     if u.name in ("]", "⊢") and y.pos is not None:
@@ -928,7 +933,7 @@ def run_monad(v: Verb, y):
         key_ = order_key(y.frame)
         return RunScalar(y, y.agg((F.max_by if v.name == "{:" else F.min_by)(y.col, key_)))
     if v.name in ("~.", "∪"):
-        return y.with_col(y.col) if False else _Distinct(y)
+        return _Distinct(y)
     if v.name in ("]", "[", "⊢", "⊣", ","):
         return y
     if v.name in ("<", "⊂"):
@@ -987,9 +992,7 @@ def cut(u: Verb, k: int, x, y):
         keep = seg < Scalar(f, F.coalesce(F.sum(mark.cast("long")), F.lit(0))).inline()
     else:
         keep = seg > 0
-    if k < 0:
-        keep = keep & ~mark
-    return grouped(u, run, b.col, [seg], by_key=True, where=keep)
+    return grouped(u, run, b.col, [seg], by_key=True, where=keep, leave=mark if k < 0 else None)
 
 
 def table(u: Verb, x, y):
