@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .errors import LanguageError, ValueUnknown
+from .frontend import apl as an
 from .frontend import j as jn
+from .frontend.dialect import MODERN, STANDARD, Dialect
 from .functions import text
 from .operators.verb import Distributed
 from .plans.values import Mat, Scalar, Table, Tuple, Vec
@@ -143,3 +145,10 @@ class Language:
 
 
 j = Language("j", lambda holes, out, read: jn.Machine(holes, out, read), lambda s: [w for w, _ in text.word_spans(s)])
+apl = Language("apl", lambda holes, out, read: an.Machine(holes, out, read), an.words)
+apl_modern = Language("apl", lambda holes, out, read: an.Machine(holes, out, read, MODERN), an.words)
+
+
+def apl_with(dialect: Dialect = STANDARD) -> Language:
+    """The second notation under other settings, such as an index origin of 0."""
+    return Language("apl", lambda holes, out, read: an.Machine(holes, out, read, dialect), an.words)

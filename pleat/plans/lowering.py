@@ -27,7 +27,12 @@ def apl_of(v: Verb) -> bool:
 
 def lit(a) -> Column:
     v = a[()] if isinstance(a, np.ndarray) and a.ndim == 0 else np.ravel(a)[0]
-    return F.lit(v.item() if isinstance(v, np.generic) else v)
+    return value_of(v)
+
+
+def value_of(v) -> Column:
+    v = v.item() if isinstance(v, np.generic) else v
+    return F.lit(v).cast("long") if isinstance(v, int) and not isinstance(v, bool) else F.lit(v)
 
 
 def lit_type(a) -> str:
@@ -545,7 +550,7 @@ def pick(x, y: Vec):
 
 
 def from_literal(x: Vec, y) -> Vec:
-    values = F.array(*[F.lit(v) for v in np.ravel(y).tolist()])
+    values = F.array(*[value_of(v) for v in np.ravel(y).tolist()])
     n = len(np.ravel(y))
     i = x.col.cast("int")
     return Vec(x.frame, F.get(values, F.when(i < 0, i + n).otherwise(i)), x.front, x.back)
@@ -627,7 +632,7 @@ def append(x, y):
             values = np.ravel(text_of(a)).tolist()
             other = y if a is x else x
             t = other.type.simpleString()
-            parts.append((_session().createDataFrame([(i, v) for i, v in enumerate(values)], f"{POS} long, __v {t}"), F.lit(len(values))))
+            parts.append((_session().createDataFrame([(i, float(v) if t == "double" else v) for i, v in enumerate(values)], f"{POS} long, __v {t}"), F.lit(len(values))))
     df = parts[0][0].unionByName(parts[1][0].withColumn(POS, F.col(POS) + parts[0][1]))
     return Vec(Frame(df, [], POS), F.col("__v"))
 
