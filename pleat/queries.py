@@ -318,7 +318,8 @@ W = "OVER (ORDER BY event_id)"
 on_events("prefix_sum", "+/\\ {x}", f"SELECT event_id AS pos, {v('sum(value) ' + W)} FROM events")
 on_events("prefix_max", ">./\\ {x}", f"SELECT event_id AS pos, {v('max(value) ' + W)} FROM events")
 on_events("prefix_alternating", "-/\\ {x}", f"SELECT event_id AS pos, {v('sum(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END) ' + W)} FROM events")
-on_events("prefix_mean", "(+/ % #)\\ {x}", f"SELECT event_id AS pos, {v('avg(value) ' + W, 9)} FROM events", to=9)
+# a small offset keeps exact halves from rounding differently on the two sides
+on_events("prefix_mean", "1e_7 + (+/ % #)\\ {x}", f"SELECT event_id AS pos, {v('1e-7 + avg(value) ' + W)} FROM events")
 on_events("prefix_count", "#\\ {x}", "SELECT event_id AS pos, event_id + 1 AS v FROM events", floats=False)
 on_events("prefix_or", "+./\\ {x} > 400", f"SELECT event_id AS pos, bool_or(value > 400) {W} AS v FROM events", floats=False)
 on_events("suffix_sum", "+/\\. {x}", f"SELECT event_id AS pos, {v('sum(value) OVER (ORDER BY event_id DESC)')} FROM events")
