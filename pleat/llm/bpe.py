@@ -19,7 +19,7 @@ LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_PIECES = 1_500_000
+MOST_PIECES = 1_000_000
 _CLASS: np.ndarray | None = None
 _MADE: dict[str, PieceCache] = {}
 
@@ -27,11 +27,8 @@ _MADE: dict[str, PieceCache] = {}
 def classes() -> np.ndarray:
     global _CLASS
     if _CLASS is None:
-        head = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-        table = np.zeros(0x110000, np.uint8)
-        letters = np.array(head)
-        table[letters == "L"] = LETTER
-        table[letters == "N"] = NUMBER
+        kinds = {"L": LETTER, "N": NUMBER}
+        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
         table[WHITE] = BLANK
         _CLASS = table
     return _CLASS
@@ -101,11 +98,19 @@ class PieceCache:
         self.clear()
 
     def clear(self) -> None:
-        self.where: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, with each one's place in the lists below
+        self.slot = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.bounds = [0]
+        self.bounds = np.zeros(1, np.int64)
 
-    def add(self, keys: list[int], pieces: list[str]) -> None:
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted hashes, -1 where unknown."""
+        if not len(self.known):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.slot[at], -1).astype(np.int64)
+
+    def add(self, keys: np.ndarray, pieces: list[str]) -> None:
         plain = [i for i, p in enumerate(pieces) if not p[1:].isspace() and "\n" not in p and not p.isspace()]
         joined = self.encoding.encode_ordinary("\n".join(pieces[i] for i in plain)) if plain else []
         ids = np.array(joined, dtype=np.uint32)
@@ -120,14 +125,16 @@ class PieceCache:
             if done[i] is None:
                 done[i] = np.array(self.encoding.encode_ordinary(p), dtype=np.uint32)
         new = np.concatenate(done)
-        end = self.bounds[-1]
+        end = int(self.bounds[-1])
         while end + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[end : end + len(new)] = new
         base = len(self.bounds) - 1
-        for i, k in enumerate(keys):
-            self.where[k] = base + i
-        self.bounds += (end + np.cumsum([len(d) for d in done])).tolist()
+        known = np.concatenate([self.known, keys])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.slot = np.concatenate([self.slot, np.arange(base, base + len(keys), dtype=np.int32)])[order]
+        self.bounds = np.concatenate([self.bounds, end + np.cumsum([len(d) for d in done])])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
@@ -146,18 +153,14 @@ class PieceCache:
         raw = np.frombuffer(whole.encode("utf-8"), dtype=np.uint8)
         stops = np.append(starts[1:], len(cp))
         keys, head, inverse = np.unique(hash_spans(raw, at[starts], at[stops] - at[starts]), return_index=True, return_inverse=True)
-        if len(self.where) > MOST_PIECES:
+        if len(self.known) > MOST_PIECES:
             self.clear()
-        klist = keys.tolist()
-        slot = [self.where.get(k, -1) for k in klist]
-        missing = [i for i, s in enumerate(slot) if s < 0]
-        if missing:
-            self.add([klist[i] for i in missing], [whole[starts[h] : stops[h]] for h in head[missing]])
-            for i in missing:
-                slot[i] = self.where[klist[i]]
-        bounds = np.array(self.bounds) if len(missing) or not hasattr(self, "_b") or len(self._b) != len(self.bounds) else self._b
-        self._b = bounds
-        slots = np.array(slot)[inverse]
+        slot = self.find(keys)
+        missing = np.flatnonzero(slot < 0)
+        if missing.size:
+            self.add(keys[missing], [whole[starts[h] : stops[h]] for h in head[missing]])
+            slot = self.find(keys)
+        bounds, slots = self.bounds, slot[inverse]
         lo, count = bounds[slots], bounds[slots + 1] - bounds[slots]
         total = np.cumsum(count)
         take = np.arange(int(total[-1])) - np.repeat(total - count, count) + np.repeat(lo, count)

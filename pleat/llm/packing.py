@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import piece_cache
-from .runtime import carried, split_batch, texts_of
+from .runtime import carried, release_memory, split_batch, texts_of
 
 #: Examples that wait in a task before the pool is packed.
 POOL = 1024
@@ -146,6 +146,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", lim
     schema = T.StructType([*(docs.schema[c] for c in staying), *PIECE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         cache = piece_cache(vocabulary)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[np.ndarray, pa.RecordBatch, int]] = {}

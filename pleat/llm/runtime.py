@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -54,6 +56,7 @@ def add_columns(
     names = [*staying, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         work = make()
         for batch in batches:
             for part in split_batch(batch, inputs):
@@ -83,6 +86,13 @@ def split_batch(batch: pa.RecordBatch, inputs: list[str], most_bytes: int = 1 <<
         start = stop
 
 
+def release_memory() -> None:
+    """Give memory that earlier tasks of this worker used back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts_of(col: pa.Array) -> list[str]:
     """Python strings of a column, null as the empty text."""
     return pc.fill_null(col, "").to_pylist()
