@@ -33,8 +33,8 @@ def bound(v):
 class Result:
     """What a program came to: a local array or a distributed value."""
 
-    def __init__(self, value, source: str):
-        self.value, self.source = value, source
+    def __init__(self, value, source: str, nested: bool = False):
+        self.value, self.source, self.nested = value, source, nested
 
     @property
     def distributed(self) -> bool:
@@ -76,7 +76,7 @@ class Result:
         return table.__arrow_c_stream__(requested_schema)
 
     def __str__(self) -> str:
-        return text.display(self.local())
+        return text.display_nested(self.local()) if self.nested else text.display(self.local())
 
 
 class Kernel:
@@ -101,7 +101,7 @@ class Kernel:
         missing = [n for n in self.names if n not in given]
         if missing:
             raise ValueUnknown(f"nothing is bound to {', '.join('{' + n + '}' for n in missing)}", self.source, self.source.find("{" + missing[0] + "}"))
-        return Result(self.language.run(self.source, {n: bound(v) for n, v in given.items()}, out, read), self.source)
+        return Result(self.language.run(self.source, {n: bound(v) for n, v in given.items()}, out, read), self.source, self.language.name == "apl")
 
     def deploy(self, target: str = "cluster", **_: object) -> Kernel:
         """Placement never changes a value: plans run where the session runs."""

@@ -319,7 +319,7 @@ class Machine:
 
     def show(self, v) -> None:
         v = v if isinstance(v, np.ndarray) else d.lower().gather(v)
-        self.out(text.display(v, 10, "¯") + "\n")
+        self.out(text.display_nested(v) + "\n")
 
     # sentences
 
@@ -646,6 +646,8 @@ class Machine:
                 if e.at is None:
                     e.source, e.at = self.src, 0
                 raise
+            except (TypeError, ValueError, IndexError, KeyError, ArithmeticError, MemoryError) as e:  # arguments that no rule above foresees
+                raise DomainError(str(e), self.src, 0) from e
             quiet = False
         return right, quiet
 
@@ -663,7 +665,7 @@ class Machine:
             return
         if target.name in ("⎕", "⍞"):
             v2 = v if isinstance(v, np.ndarray) else d.lower().gather(v)
-            self.out(text.display(v2, 10, "¯") + ("\n" if target.name == "⎕" else ""))
+            self.out(text.display_nested(v2) + ("\n" if target.name == "⎕" else ""))
             return
         if target.name == "⍺" and self.get("⍺") is not None and target.index is None:
             return

@@ -445,6 +445,8 @@ class Machine:
             if e.at is None:
                 e.source, e.at = self.source, st_[1][2] if len(st_) > 1 else 0
             raise
+        except (TypeError, ValueError, IndexError, KeyError, ArithmeticError, MemoryError) as e:  # arguments that no rule above foresees
+            raise DomainError(f"{st_[1][0] if len(st_) > 1 else ''}: {e}", self.source, st_[1][2] if len(st_) > 1 else 0) from e
         return True
 
     def set(self, target, mark, v) -> None:
@@ -559,16 +561,16 @@ class Machine:
                 out |= {"v": w, "n": w}
             return out
 
-        if form == "a":
-            return Adverb("explicit", lambda u: derived_form(own_names(u)))
-        if form == "c":
-            return Conj("explicit", lambda u, w: derived_form(own_names(u, w)))
-
         def derived_form(extra):
             if uses_args:
                 return verb_of(extra, "explicit modifier")
             return call(first, one_text, **extra)
 
+        if form == "a":
+            return Adverb("explicit", lambda u: derived_form(own_names(u)))
+        if form == "c":
+            return Conj("explicit", lambda u, w: derived_form(own_names(u, w)))
+
     # control
 
     def block(self, stmts: list):
@@ -909,7 +911,7 @@ def gerund_cycle(u):
 
 def boolean_verb(m):
     if isinstance(m, Verb):
-        return Adverb("b.", lambda k: d.characteristics(m, k))
+        return Verb(f"{m} b.", lambda k: d.characteristics(m, k))
     k = int(np.ravel(m)[0])
     if not -16 <= k < 32:
         raise DomainError("a Boolean function is numbered 0 to 31")

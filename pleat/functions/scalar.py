@@ -16,9 +16,15 @@ APL_TOLERANCE = 1e-13
 
 
 def numbers(*arrays: np.ndarray) -> None:
-    for a in arrays:
-        if a.size and not is_number(a):
-            raise DomainError("numbers are wanted")
+    if all(a.size for a in arrays):
+        for a in arrays:
+            if not is_number(a):
+                raise DomainError("numbers are wanted")
+
+
+def plain(a: np.ndarray) -> np.ndarray:
+    """An empty argument of any kind as an empty numeric one, and what stands beside one."""
+    return a if is_number(a) and (a.size or a.dtype.kind != "O") else np.zeros(a.shape, np.int64)
 
 
 def wide(a: np.ndarray) -> np.ndarray:
@@ -31,6 +37,7 @@ def exact_pair(x: np.ndarray, y: np.ndarray) -> bool:
 
 def pair(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     numbers(x, y)
+    x, y = plain(x), plain(y)
     if exact_pair(x, y):
         return exact_cast(x), exact_cast(y)
     if "O" in (x.dtype.kind, y.dtype.kind):
@@ -76,7 +83,7 @@ def multiply(x, y):
     out = careful(np.multiply, x, y)
     if out.dtype.kind == "f" and np.isnan(out).any():
         zero = np.broadcast_to((to_float(x) == 0) | (to_float(y) == 0), out.shape)
-        out = np.where(zero & ~(np.isnan(to_float(x)) | np.isnan(to_float(y))), 0.0, out)
+        out = np.where(zero, 0.0, out)
     return out
 
 
@@ -178,12 +185,12 @@ def signum(y):
         return np.where(m == 0, 0, y / np.where(m == 0, 1, m))
     if y.dtype.kind == "O":
         return obj(((v > 0) - (v < 0) for v in y.ravel()), y.shape)
-    return np.sign(wide(y)).astype(np.int64)
+    return np.where(np.abs(y) < J_TOLERANCE, 0, np.sign(wide(plain(y)))).astype(np.int64) if y.dtype.kind == "f" else np.sign(wide(plain(y))).astype(np.int64)
 
 
 def magnitude(y):
     numbers(y)
-    return tidy(np.abs(wide(y)))
+    return tidy(np.abs(wide(plain(y))))
 
 
 def conjugate(y):
@@ -218,6 +225,8 @@ def match(x, y, tolerance: float = J_TOLERANCE, larger: bool = False) -> bool:
 
 
 def _ordered(x, y):
+    if x.size and y.size and kind(x) == kind(y) == "sym":
+        return x, y
     for a in (x, y):
         if a.size and (not is_number(a) or a.dtype.kind == "c"):
             raise DomainError("only real numbers have an order here")
@@ -286,6 +295,8 @@ def residue(x, y, tolerance: float = J_TOLERANCE):
         near = np.round(q)
         whole = np.abs(q - near) <= tolerance * np.maximum(1.0, np.abs(q))
         out = np.where(whole & np.isfinite(q), 0.0, y - x * np.floor(q))
+        if np.any(np.isinf(y) & (x != 0)):
+            raise NanError("the residue of an infinite number")
         far = np.isinf(x) & np.isfinite(y)
         out = np.where(far, np.where((y == 0) | (np.sign(y) == np.sign(x)), y, x), out)
     return np.where(x == 0, y, out)

@@ -7,7 +7,7 @@ from functools import cmp_to_key
 import numpy as np
 
 from ..errors import DomainError, IndexRefused, LengthError, RankError
-from ..values import Box, common, empty_like, frame_up, ints, item, items, kind, obj, one_int, pad
+from ..values import Box, Sym, common, empty_like, frame_up, ints, item, items, kind, obj, one_int, pad
 from . import scalar as s
 
 
@@ -351,6 +351,8 @@ def steps(y):
 def hashable(v):
     if isinstance(v, Box):
         return ("b", v.v.shape, tuple(hashable(w) for w in v.v.ravel()))
+    if isinstance(v, Sym):
+        return ("s", str(v))
     return v.item() if isinstance(v, np.generic) else v
 
 

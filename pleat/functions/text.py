@@ -163,6 +163,28 @@ def box_lines(a: np.ndarray, precision: int, minus: str) -> list[str]:
     return out
 
 
+def nested_lines(a: np.ndarray, precision: int = 10, minus: str = "¯") -> list[str]:
+    """Display of the second notation: nested elements stand side by side, without a frame."""
+    if kind(a) != "box" or not a.size:
+        return lines_of(a, precision, minus)
+    table = a.reshape(-1, a.shape[-1] if a.ndim else 1)
+    drawn = [[nested_lines(b.v, precision, minus) if isinstance(b, Box) else [show_number(b, precision, minus)] for b in row] for row in table]
+    width = [max(max((len(t) for t in row[c]), default=0) for row in drawn) for c in range(table.shape[1])]
+    out: list[str] = []
+    per = a.shape[-2] if a.ndim > 1 else 1
+    for k, row in enumerate(drawn):
+        if k and a.ndim > 2 and k % per == 0:
+            out.append("")
+        high = max(len(c) for c in row)
+        for i in range(high):
+            out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, width, strict=True)))
+    return out
+
+
+def display_nested(a: np.ndarray) -> str:
+    return "\n".join(nested_lines(a))
+
+
 def display(a: np.ndarray, precision: int = 6, minus: str = "_") -> str:
     return "\n".join(lines_of(a, precision, minus))
 
@@ -209,7 +231,7 @@ def _fixed(n, d: int) -> str:
         return digits6(float(n))
     from decimal import ROUND_HALF_EVEN, Decimal
 
-    text = str(Decimal(str(n) if not isinstance(n, Fraction) else str(float(n))).quantize(Decimal(1).scaleb(-d), rounding=ROUND_HALF_EVEN)) if not isinstance(n, (bool, np.bool_)) else f"{int(n):.{d}f}"
+    text = str(Decimal(int(n) if isinstance(n, (int, np.integer)) else float(n)).quantize(Decimal(1).scaleb(-d), rounding=ROUND_HALF_EVEN)) if not isinstance(n, (bool, np.bool_)) else f"{int(n):.{d}f}"
     if float(text) == 0:
         text = text.lstrip("-")
     return text.replace("-", "_")

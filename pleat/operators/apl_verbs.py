@@ -119,9 +119,24 @@ def replicate(x, y, axis: int):
 
 def expand(x, y, axis: int):
     y = y.reshape(1) if y.ndim == 0 else y
+    if kind(y) == "box" and y.size:  # gaps are shaped like the first element
+        first_ = disclose(item(y.reshape(-1), 0))
+        m = np.atleast_1d(ints(x))
+        if y.ndim == 1 and int((m > 0).sum()) in (len(y), 1 if len(y) == 1 else -1) and np.all(m <= 1):
+            own = elements(y) if len(y) > 1 else elements(y) * int((m > 0).sum())
+            out, k = [], 0
+            for f in m:
+                out.append(own[k] if f > 0 else prototype(first_))
+                k += f > 0
+            return nested(out, (len(out),))
     return np.moveaxis(st.expand(x, np.moveaxis(y, axis, 0)), 0, axis)
 
 
+def prototype(a):
+    """The fill shaped like an array: zeros for numbers, blanks for characters."""
+    return nested([prototype(p) for p in elements(a)], a.shape) if kind(a) == "box" and a.size else empty_like(a, a.shape)
+
+
 def take(x, y):
     if y.ndim and len(np.atleast_1d(x)) != y.ndim:
         raise LengthError("a length for every axis is wanted")
@@ -256,9 +271,7 @@ def member(x, y):
 
 
 def index_of(x, y, origin):
-    if x.ndim != 1:
-        if x.ndim == 0:
-            raise RankError("a list to search is wanted")
+    x = np.atleast_1d(x)
     if x.dtype.kind == "O" or y.dtype.kind == "O":
         pool = elements(x)
         out = [next((i for i, p in enumerate(pool) if s.match(p, r, **TOL)), len(pool)) for r in elements(y)]
@@ -362,7 +375,7 @@ def primitives(origin: int) -> dict[str, Verb]:
     eq = lambda x, y: s.equal(x, y, **TOL)
     near = s.APL_TOLERANCE
     own = [
-        sc("+", s.conjugate, s.add, 0), sc("-", s.negate, s.subtract, 0), sc("×", s.signum, s.multiply, 1), sc("÷", lambda y: s.divide(np.asarray(1), y, True), lambda x, y: s.divide(x, y, True), 1),
+        sc("+", s.conjugate, s.add, 0), sc("-", s.negate, s.subtract, 0), sc("×", lambda y: s.signum(y) if y.dtype.kind != "f" else np.sign(y).astype(np.int64), s.multiply, 1), sc("÷", lambda y: s.divide(np.asarray(1), y, True), lambda x, y: s.divide(x, y, True), 1),
         sc("⋆", s.exp, s.power, 1), sc("⍟", lambda y: s.ln(y, True), lambda x, y: s.log(x, y, True)), sc("⌈", lambda y: s.ceiling(y, near), s.maximum, -1.7976931348623157e308), sc("⌊", lambda y: s.floor(y, near), s.minimum, 1.7976931348623157e308),
         sc("|", s.magnitude, lambda x, y: s.residue(x, y, near), 0), sc("=", None, eq, 1), sc("<", None, lambda x, y: s.less(x, y, **TOL), 0), sc("≤", None, lambda x, y: ~s.greater(x, y, **TOL), 1), sc("≥", None, lambda x, y: ~s.less(x, y, **TOL), 1), sc(">", None, lambda x, y: s.greater(x, y, **TOL), 0),
         sc("∧", None, s.lcm, 1), sc("∨", None, s.gcd, 0), sc("⍲", None, s.nand), sc("⍱", None, s.nor), sc("!", lambda y: s.factorial(y, True), s.binomial, 1), sc("○", lambda y: s.multiply(np.asarray(np.pi), s.to_float(y)), s.circle),

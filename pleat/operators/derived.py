@@ -773,11 +773,23 @@ def at_level(u: Verb, n, spread: bool) -> Verb:
             a, b = np.broadcast_arrays(a, b)
             return obj((Box(pairs(v.v, w.v)) for v, w in zip(a.ravel(), b.ravel(), strict=True)), a.shape)
 
+        if spread:
+            flat: list = []
+            _leaves(pairs(x, y), max(want, 0), flat)
+            return frame_up(flat, (len(flat),))
         return pairs(x, y)
 
     return derived("Level", f"{u}{'S' if spread else 'L'}:n", one, two, (u, n))
 
 
+def _leaves(v, limit: int, out: list) -> None:
+    if text.level(v) <= limit:
+        out.append(v)
+        return
+    for b in v.ravel():
+        _leaves(b.v, limit, out)
+
+
 def characteristics(u: Verb, n) -> np.ndarray:
     k = one_int(n)
     if k == 0:
@@ -785,7 +797,7 @@ def characteristics(u: Verb, n) -> np.ndarray:
     if k == 1:
         if u.identity is None:
             raise DomainError(f"{u} has no identity")
-        return text.chars(f"{text.show_number(np.asarray(u.identity)[()])}&{u}") if False else np.asarray(u.identity)
+        return text.chars(f"{text.show_number(np.asarray(u.identity)[()])} $~ }}.@$")
     if k == -1:
         return text.chars(str(inverse_of(u)))
     raise DomainError("a characteristic is 0, 1 or _1")
