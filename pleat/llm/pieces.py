@@ -22,7 +22,7 @@ from .words import BYTE_HASH, MULT, U64, buffers, hash_spans, mix, powers
 MARK = "▁"
 BYTE_PENALTY = -25.0
 #: Edges of the lattices of distinct segments that a worker keeps.
-MOST_EDGES = 6_000_000
+MOST_EDGES = 3_000_000
 _MADE: dict[tuple[str, float], Lattice] = {}
 STEP = U64(0x9E3779B97F4A7C15)
 PLACE = U64(0xC2B2AE3D27D4EB4F)
@@ -191,9 +191,12 @@ def lattice(path: str, sharpness: float) -> Lattice:
     return _MADE[path, sharpness]
 
 
-def encode_sampled(docs: DataFrame, model: str, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, sharpness: float = 1.0, out: str = "pieces", keep: list[str] | None = None) -> DataFrame:
+def encode_sampled(docs: DataFrame, model: str, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, sharpness: float = 1.0, out: str = "pieces", keep: list[str] | None = None, verified: str | None = None) -> DataFrame:
     """Append ``out``: the piece ids of one sampled segmentation as little-endian uint32 (binary).
 
+    With ``verified`` also a Boolean column of that name: whether decoding the ids, in the same task,
+    gives back the text.
+
     Sampling is proportional to the product of the pieces' probabilities; a larger ``sharpness`` comes
     nearer to the single best one.  Null and empty texts give no ids; a null key counts as key 0;
     equal keys and texts get equal ids.  All columns (or ``keep``) are carried, one named ``out`` is
@@ -208,11 +211,15 @@ def encode_sampled(docs: DataFrame, model: str, key_col: str = "doc_id", text_co
 
         def work(texts: pa.Array, keys: pa.Array) -> list[pa.Array]:
             ids = own.sample(texts, keys.to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
-            return [pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())]
+            coded = [pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())]
+            if verified:
+                coded.append(pa.array([own.decode(i.astype(np.int64)) == (t or "").encode() for i, t in zip(ids, texts.to_pylist(), strict=True)], pa.bool_()))
+            return coded
 
         return work
 
-    return add_columns(keyed, [T.StructField(out, T.BinaryType())], [text_col, key], make, staying)
+    fields = [T.StructField(out, T.BinaryType())] + ([T.StructField(verified, T.BooleanType())] if verified else [])
+    return add_columns(keyed, fields, [text_col, key], make, staying)
 
 
 def decode_pieces(docs: DataFrame, model: str, ids_col: str = "pieces", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
