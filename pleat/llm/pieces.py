@@ -24,6 +24,7 @@ BYTE_PENALTY = -25.0
 #: Edges of the lattices of distinct segments that a worker keeps.
 MOST_EDGES = 3_000_000
 _MADE: dict[tuple[str, float], Lattice] = {}
+LOW = U64((1 << 18) - 1)
 STEP = U64(0x9E3779B97F4A7C15)
 PLACE = U64(0xC2B2AE3D27D4EB4F)
 
@@ -50,10 +51,14 @@ class Lattice:
         self.piece_start = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
         self.piece_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.lookup = []
+        self.maybe: dict[int, np.ndarray] = {}
         for size, pieces in sorted(by_length.items()):
             raw = np.frombuffer(b"".join(p for p, _, _ in pieces), np.uint8)
             h = hash_spans(raw, np.arange(len(pieces)) * size, np.full(len(pieces), size))
             o = np.argsort(h)
+            maybe = np.zeros(1 << 18, bool)  # which low bits any piece of this length has
+            maybe[(h & LOW).astype(np.int64)] = True
+            self.maybe[size] = maybe
             self.lookup.append((size, h[o], np.array([p[1] for p in pieces], np.int32)[o], np.array([p[2] for p in pieces])[o]))
         self.clear()
 
@@ -61,6 +66,7 @@ class Lattice:
         self.end_of: dict[int, int] = {}
         self.nodes = 0
         self.edges = 0
+        self.first = np.zeros(0, np.int32)
         self.cum = np.zeros(1 << 20)
         self.piece = np.zeros(1 << 20, np.int32)
         self.back = np.zeros(1 << 20, np.int64)
@@ -92,15 +98,17 @@ class Lattice:
                 h = mix(run + U64(size * int(MULT) & 0xFFFFFFFFFFFFFFFF))
             if size in tables:
                 hashes, ids, logp = tables[size]
-                k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = np.flatnonzero(hashes[k] == h)
-                f, k = live[hit], k[hit]
+                some = np.flatnonzero(self.maybe[size][(h & LOW).astype(np.int64)])
+                k = np.minimum(np.searchsorted(hashes, h[some]), len(hashes) - 1)
+                hit = hashes[k] == h[some]
+                f, k = live[some[hit]], k[hit]
                 b.append(node[f])
                 e.append(node[f] + size)
                 p.append(ids[k])
                 w.append(logp[k])
                 off.append(place[f] + size)
-        b, e, p, w, off = (np.concatenate(x) for x in (b, e, p, w, off))
+        # longer pieces first: they are the likelier ones, and sampling tries edges in order
+        b, e, p, w, off = (np.concatenate(x[::-1]) for x in (b, e, p, w, off))
         o = np.lexsort((e, off))
         b, e, p, w, off = b[o], e[o], p[o], w[o], off[o]
         alpha = np.zeros(int(width.sum()))
@@ -121,7 +129,8 @@ class Lattice:
         share[np.append(np.flatnonzero(np.diff(e)), len(e) - 1)] = 1.0
         self._grow(len(e))
         span = slice(self.edges, self.edges + len(e))
-        self.cum[span] = self.nodes + e + share
+        self.first = np.concatenate([self.first, self.edges + np.searchsorted(e, np.arange(int(width.sum())))]).astype(np.int32)
+        self.cum[span] = share
         self.piece[span] = p
         is_start = np.zeros(int(width.sum()), bool)
         is_start[base] = True
@@ -160,12 +169,15 @@ class Lattice:
         alive = np.arange(len(starts))
         steps = np.zeros(len(starts), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
-        cum = self.cum[: self.edges]
         turn = 0
         while len(alive):
             with np.errstate(over="ignore"):
                 u = (mix(seed[alive] + U64(turn + 1) * STEP) >> U64(11)).astype(np.float64) / float(1 << 53)
-            edge = np.searchsorted(cum, now + u * (1 - 1e-9), side="right")
+            edge = self.first[now].astype(np.int64)
+            late = np.flatnonzero(self.cum[edge] <= u)  # the last edge of a node ends at 1
+            while len(late):
+                edge[late] += 1
+                late = late[self.cum[edge[late]] <= u[late]]
             drawn.append((alive, self.piece[edge]))
             steps[alive] += 1
             now = self.back[edge]
