@@ -243,7 +243,7 @@ class Machine:
         left, name, right = names
         labels, code = {}, []
         for k, row in enumerate(body):
-            m = re.match(r"\s*([A-Za-z]\w*):(?!\w)", row)
+            m = re.match(r"\s*([A-Za-z]\w*):", row)
             if m and not row.strip().startswith(":"):
                 labels[m[1]] = np.asarray(k + 1)
                 row = row[m.end() :]
@@ -464,6 +464,8 @@ class Machine:
                     out[-1] = laminate(k)
                 else:
                     out[-1] = a.along(out[-1], int(k))
+            elif isinstance(p, tuple) and p[0] in ("adv", "conj") and (not out or isinstance(out[-1], Tok)):
+                out.append(p)
             elif isinstance(p, tuple) and p[0] in ("adv", "conj"):
                 left = out.pop()
                 left = left if isinstance(left, Verb) else self.value(left)

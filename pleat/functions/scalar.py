@@ -213,7 +213,7 @@ def equal(x, y, tolerance: float = J_TOLERANCE, larger: bool = False) -> np.ndar
     x, y = to_float(x), to_float(y)
     with np.errstate(all="ignore"):
         size = (np.maximum if larger else np.minimum)(np.abs(x), np.abs(y))
-        near = np.abs(x - y) <= tolerance * size
+        near = np.abs(x - y) < tolerance * size
         same_sign = np.ones(shape, bool) if "c" in (x.dtype.kind, y.dtype.kind) else np.sign(x) == np.sign(y)
         return (x == y) | (near & same_sign & np.isfinite(size))
 

@@ -31,7 +31,7 @@ def equal(a: Column, b: Column, ta: str, tb: str, apl: bool) -> Column:
         return number(a, ta) == number(b, tb)
     a, b = number(a, ta).cast("double"), number(b, tb).cast("double")
     size = (F.greatest if apl else F.least)(F.abs(a), F.abs(b))
-    near = F.abs(a - b) <= (APL_TOLERANCE if apl else J_TOLERANCE) * size
+    near = F.abs(a - b) < (APL_TOLERANCE if apl else J_TOLERANCE) * size
     return F.when(F.isnan(a) | F.isnan(b), False).otherwise((a == b) | (near & (F.signum(a) == F.signum(b)) & (size < inf())))
 
 
