@@ -80,7 +80,8 @@ def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score_backoff(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    scored = backoff_lm.score_backoff(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -96,4 +97,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_backoff_lm": op10_backoff_lm,
 }
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The words of every document, A-Z lower-cased, as lists.
+WORDS_SQL = f"SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents"
+
+
+def components_sql(nodes: str, edges: str) -> str:
+    """Smallest node reachable, for a table nodes (id) and symmetric edges (u, v)."""
+    return f"reach(id, c) AS (SELECT id, id FROM {nodes} UNION SELECT e.v, reach.c FROM reach JOIN {edges} e ON e.u = reach.id), component AS (SELECT id, min(c) AS c FROM reach GROUP BY id)"
+
+
+ORACLE: dict[str, str] = {
+    "op7_ngram_jaccard": f"""
+WITH RECURSIVE d AS MATERIALIZED ({WORDS_SQL}),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 4 THEN array_to_string(ws[i:i + 3], ' ') ELSE array_to_string(ws, ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT d.doc_id AS id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+{components_sql("n", "e")}
+SELECT n.id AS doc_id, n.n AS n_shingles, c AS component_id FROM n JOIN component ON component.id = n.id""",
+    "op9_metric_join": f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98),
+{components_sql("v", "e")}
+SELECT v.id AS vec_id, (SELECT count(*) FROM e WHERE e.u = v.id) AS n_links, c AS component_id, v.id = c AS kept FROM v JOIN component ON component.id = v.id""",
+    "op10_backoff_lm": f"""
+WITH d AS MATERIALIZED ({WORDS_SQL}),
+t AS MATERIALIZED (SELECT doc_id, i, w, lag(w, 1) OVER o AS p, lag(w, 2) OVER o AS q FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM t GROUP BY 1),
+c2 AS (SELECT p, w, count(*) AS n FROM t WHERE p IS NOT NULL GROUP BY 1, 2),
+c3 AS (SELECT q, p, w, count(*) AS n FROM t WHERE q IS NOT NULL GROUP BY 1, 2, 3),
+x AS (SELECT t.doc_id, CASE WHEN c3.n >= 2 THEN ln(c3.n / k2.n)
+    WHEN c2.n >= 2 THEN CASE WHEN t.q IS NULL THEN 0 ELSE ln(0.4) END + ln(c2.n / k1.n)
+    ELSE CASE WHEN t.p IS NULL THEN 0 WHEN t.q IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END + ln(c1.n / (SELECT count(*) FROM t)) END AS s
+  FROM t JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.p = t.p AND c2.w = t.w LEFT JOIN c3 ON c3.q = t.q AND c3.p = t.p AND c3.w = t.w
+  LEFT JOIN c1 k1 ON k1.w = t.p LEFT JOIN c2 k2 ON k2.p = t.q AND k2.w = t.p)
+SELECT d.doc_id, count(s) AS n_words, ROUND(coalesce(sum(s), 0.0), 4) AS log_score, ROUND(sum(s) / count(s), 6) AS mean_log_score FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id""",
+}
