@@ -526,8 +526,8 @@ def key(u: Verb, origin: int) -> Verb:
         return frame_up([u.dyad(k, np.array(at) + origin) for k, at in got], (len(got),))
 
     def two(x, y):
-        if isinstance(x, Distributed) or isinstance(y, Distributed):
-            raise NotYet("the key operator of distributed values; use /. of the first notation")
+        if isinstance(x, Distributed) or isinstance(y, Distributed):  # the function sees its groups, not their keys
+            return lower().key(Verb("group", lambda g: u.dyad(EMPTY, g), hybrid=True), x, y)
         y = st.as_items(y)
         got = pairs(x, y)
         return frame_up([u.dyad(k, y[at]) for k, at in got], (len(got),))

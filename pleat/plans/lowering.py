@@ -111,7 +111,7 @@ def monad(v: Verb, y):
             return Vec(y.frame, F.regexp_extract_all(y.col, F.lit(r"(\S+)"), 1), y.front, y.back)
         if name == "u:" and y.type.simpleString() == "bigint":
             return Vec(y.frame, F.chr(y.col), y.front, y.back)
-        if name == "s:":
+        if name in ("s:", "$."):
             return y
         if name == '".':
             return Vec(y.frame, y.col.try_cast("double"), y.front, y.back)
@@ -147,9 +147,9 @@ def order_key(f: Frame) -> Column:
     """What min_by and max_by compare: the position, or the order as a struct."""
     if f.pos:
         return F.col(q(f.pos))
-    if len(f.order) == 1 and not str(f.order[0]._jc if hasattr(f.order[0], "_jc") else f.order[0]).endswith(("DESC NULLS LAST", "DESC NULLS LAST'>")):
-        return f.order[0]
-    raise NotYet("the first item by several or descending columns; give a position column")
+    if f.order and not any(" NULLS " in str(c) for c in f.order):
+        return f.order[0] if len(f.order) == 1 else F.struct(*f.order)
+    raise NotYet("the first item by descending columns; give a position column")
 
 
 def tally(y):
@@ -226,6 +226,9 @@ def dyad(v: Verb, x, y):
     name = v.name
     if v.node == "TruthTable":
         return truth_table(v, x, y)
+    if v.node == "Fit" and v.parts[0].name in scalars.TWO:  # another tolerance
+        base_ = v.parts[0]
+        return scalar_dyad(Verb(base_.name, None, None, extra={**base_.extra, "tolerance": float(np.ravel(v.parts[1])[0])}), x, y)
     if isinstance(x, (Runs, RunScalar)) or isinstance(y, (Runs, RunScalar)):
         return run_dyad(v, x, y)
     if name in ("[", "⊣"):
@@ -248,7 +251,7 @@ def dyad(v: Verb, x, y):
         if name in ("E.", "⍷"):
             return find(x, y)
         if name == "#.":
-            return Scalar(y.trimmed().frame, polynomial_sum(y, float(np.ravel(x)[0])))
+            raise NotYet("the base value of a distributed vector")
         if name in ("#:", "⊤"):
             return digits(x, y)
         if name == "p.":
@@ -258,6 +261,8 @@ def dyad(v: Verb, x, y):
             return Vec(y.frame, out, y.front, y.back)
         if name == "x:":
             return y
+        if name == "$.":
+            return sparse_form(int(ints(x)), y)
         if name == '".':
             return Vec(y.frame, F.coalesce(y.col.try_cast("double"), lit(x)), y.front, y.back)
         if name == "$" and kind(x) == "num":
@@ -308,7 +313,7 @@ def scalar_dyad(v: Verb, x, y):
     name, apl = v.name, apl_of(v)
 
     def f(a, b, ta, tb, left=None):
-        return scalars.dyad(name, a, b, ta, tb, apl, left)
+        return scalars.dyad(name, a, b, ta, tb, apl, left, v.extra.get("tolerance"))
 
     if isinstance(x, Tuple) or isinstance(y, Tuple):
         if isinstance(x, Tuple) and isinstance(y, Tuple):
@@ -495,9 +500,19 @@ def find(x, y: Vec) -> Vec:
     return Vec(Frame(df.withColumn(name, hit).where(own), [], p.frame.pos), F.col(name))
 
 
-def polynomial_sum(y: Vec, radix: float) -> Column:
-    t = y.placed()
-    raise NotYet(f"the base {radix} value of a distributed vector of {t.type.simpleString()}")
+def sparse_form(code: int, y: Vec):
+    """Index and value lists of the entries that are not zero; storage itself stays columnar."""
+    if code in (0, 1):
+        return y
+    p = y.placed()
+    entry = p.col != 0
+    if code == 4:
+        return indices(Vec(p.frame, entry))
+    if code == 5:
+        return copy(Vec(p.frame, entry), p)
+    if code == 7:
+        return Scalar(p.frame, F.count(F.when(entry, 1)))
+    raise NotYet(f"form {code} of $. over a distributed vector")
 
 
 def digits(x, y: Vec) -> Mat:
@@ -610,7 +625,7 @@ def interval_index(x, y: Vec, closed: bool, origin: int):
     if isinstance(x, np.ndarray):
         bounds = F.array(*[F.lit(float(v) if x.dtype.kind == "f" else v) for v in np.ravel(x).tolist()])
         count = F.size(F.filter(bounds, (lambda b: b <= y.col) if closed else (lambda b: b < y.col)))
-        return Vec(y.frame, count.cast("long") + origin, y.front, y.back)
+        return Vec(y.frame, count.cast("long") + (origin - 1 if closed else 0), y.front, y.back)
     b, p = x.trimmed(), y.placed()
     v, flag, at = fresh("v"), fresh("bound"), fresh("at")
     left = b.frame.df.select(b.col.alias(v), F.lit(1).alias(flag), F.lit(None).cast("long").alias(at))
@@ -619,7 +634,7 @@ def interval_index(x, y: Vec, closed: bool, origin: int):
     merged = Frame(left.unionByName(right), [F.col(v).asc(), tie, F.col(at).asc()]).dense()
     run, name = scan(merged, F.col(flag).cast("long"), "sum")
     df = run.df.where(f"{flag} = 0").select(F.col(at).alias(POS), F.col(name))
-    return Vec(Frame(df, [], POS), F.col(name))
+    return Vec(Frame(df, [], POS), F.col(name) + (origin - 1 if closed else 0))
 
 
 def append(x, y):

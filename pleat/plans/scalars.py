@@ -24,14 +24,14 @@ def number(c: Column, t: str) -> Column:
     return c.cast("long") if t == "boolean" else c
 
 
-def equal(a: Column, b: Column, ta: str, tb: str, apl: bool) -> Column:
+def equal(a: Column, b: Column, ta: str, tb: str, apl: bool, tolerance: float | None = None) -> Column:
     if ta == tb == "string" or not (is_float(ta) or is_float(tb)):
         if (ta == "string") != (tb == "string"):
             return F.lit(False)
         return number(a, ta) == number(b, tb)
     a, b = number(a, ta).cast("double"), number(b, tb).cast("double")
     size = (F.greatest if apl else F.least)(F.abs(a), F.abs(b))
-    near = F.abs(a - b) < (APL_TOLERANCE if apl else J_TOLERANCE) * size
+    near = F.abs(a - b) < (tolerance if tolerance is not None else APL_TOLERANCE if apl else J_TOLERANCE) * size
     return F.when(F.isnan(a) | F.isnan(b), False).otherwise((a == b) | (near & (F.signum(a) == F.signum(b)) & (size < inf())))
 
 
@@ -115,7 +115,7 @@ def monad(name: str, c: Column, t: str, apl: bool) -> Column:
     return {"dec": n - 1, "inc": n + 1, "double": n * 2, "square": n * n, "halve": d / 2, "oneminus": 1 - n, "pi": F.lit(math.pi) * d}[what]
 
 
-def dyad(name: str, a: Column, b: Column, ta: str, tb: str, apl: bool, left=None) -> Column:
+def dyad(name: str, a: Column, b: Column, ta: str, tb: str, apl: bool, left=None, tolerance: float | None = None) -> Column:
     what = TWO[name]
     x, y = number(a, ta), number(b, tb)
     floats = is_float(ta) or is_float(tb)
@@ -124,7 +124,7 @@ def dyad(name: str, a: Column, b: Column, ta: str, tb: str, apl: bool, left=None
     if what == "minus":
         return x - y
     if what == "times":
-        return F.when((x == 0) | (y == 0), F.lit(0.0)).otherwise(x * y) if floats and False else x * y
+        return F.when((x == 0) | (y == 0), F.lit(0.0)).otherwise(x * y) if floats else x * y
     if what == "divide":
         return divide(x, y, apl)
     if what == "power":
@@ -138,7 +138,7 @@ def dyad(name: str, a: Column, b: Column, ta: str, tb: str, apl: bool, left=None
     if what in ("min", "max"):
         return (F.least if what == "min" else F.greatest)(x, y)
     if what in ("eq", "ne", "lt", "gt", "le", "ge"):
-        same = equal(a, b, ta, tb, apl)
+        same = equal(a, b, ta, tb, apl, tolerance)
         if what in ("eq", "ne"):
             return same if what == "eq" else ~same
         if ta == "string" or tb == "string":

@@ -202,8 +202,10 @@ class Table:
         kind = self.frame.df.schema[name].dataType
         if isinstance(kind, T.DecimalType):
             raise DomainError(f"column {name} holds decimals, which are not read")
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        if isinstance(kind, T.TimestampType):
             return Vec(self.frame, F.unix_micros(F.col(q(name))))
+        if isinstance(kind, T.TimestampNTZType):
+            return Vec(self.frame, F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {q(name)})"))
         if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
             return Vec(self.frame, F.col(q(name)).cast("long"))
         if isinstance(kind, T.FloatType):

@@ -351,6 +351,53 @@ on_events("apl_member", "{u}∊3 5 7", "SELECT event_id AS pos, user_id IN (3, 5
 on_events("apl_dfn", "{(⍵-⌊/⍵)÷(⌈/⍵)-⌊/⍵} {x}", f"SELECT event_id AS pos, {v('(value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events)')} FROM events", language=apl)
 
 
+keyed("apl_key", "{k}{+/⍵}⌸{x}", v("sum(value)"), language=apl)
+keyed("apl_key_range", "{k}{(⌈/⍵)-⌊/⍵}⌸{x}", v("max(value) - min(value)"), language=apl)
+on_events("apl_power", "({x}*2)÷○1", f"SELECT event_id AS pos, {v('value * value / pi()')} FROM events", language=apl)
+on_events("apl_rotate", "100⌽{x}", f"SELECT (event_id - 100 + (SELECT count(*) FROM events)) % (SELECT count(*) FROM events) AS pos, {v('value')} FROM events", language=apl)
+on_events("apl_index_of", "3 7 5⍳{u}", "SELECT event_id AS pos, CAST(CASE user_id WHEN 3 THEN 1 WHEN 7 THEN 2 WHEN 5 THEN 3 ELSE 4 END AS BIGINT) AS v FROM events", floats=False, language=apl, u="user_id")
+on_events("apl_interval", "0 20 40 80⍸{x}", "SELECT event_id AS pos, 1 + CAST((value >= 20) AS BIGINT) + CAST((value >= 40) AS BIGINT) + CAST((value >= 80) AS BIGINT) AS v FROM events", floats=False, language=apl)
+on_events("apl_residue", "¯7|{u}", "SELECT event_id AS pos, -(((-user_id) % 7 + 7) % 7) AS v FROM events", floats=False, language=apl, u="user_id")
+on_events("apl_logic", "(({x}>20)∧{x}<60)∨{x}>90", "SELECT event_id AS pos, (value > 20 AND value < 60) OR value > 90 AS v FROM events", floats=False, language=apl)
+on_events("apl_named", "d←1↓{x} ⋄ e←¯1↓{x} ⋄ ⌈/d-e", f"SELECT {v('max(d)')} FROM (SELECT value - lag(value) OVER (ORDER BY event_id) AS d FROM events)", pos=False, language=apl)
+on_events("sparse_indices", "4 $. ({x} > 450) * {x}", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id AS v FROM events WHERE value > 450", floats=False)
+on_events("sparse_values", "5 $. ({x} > 450) * {x}", f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, {v('value')} FROM events WHERE value > 450")
+on_events("member_strings", "+/ {t} = 'click'", "SELECT count(*) FILTER (event_type = 'click') AS v FROM events", pos=False, floats=False, t="event_type")
+on_events("parse_numbers", '0 ". {p}', "SELECT event_id AS pos, coalesce(TRY_CAST(props AS DOUBLE), 0.0) AS v FROM events", floats=False, p="props")
+on_events("timestamps", "(>./ - <./) {s}", "SELECT epoch_us(max(ts)) - epoch_us(min(ts)) AS v FROM events", pos=False, floats=False, s="ts")
+on_events("memo_fit", "+/ ({x} (=!.0) 6.55)", "SELECT count(*) FILTER (value = 6.55) AS v FROM events", pos=False, floats=False)
+
+
+@query("key_rows", "SELECT l_returnflag || l_linestatus AS k, count(*) AS v FROM lineitem GROUP BY 1")
+def key_rows(spark, sf):
+    t = lineitem(spark, sf)
+    m = j("{m} #/. {q}", {"m": t.matrix("l_returnflag", "l_linestatus"), "q": t["l_quantity"]}).value
+    return m.frame.df.select(F.concat(*m.keys).alias("k"), m.col.alias("v"))
+
+
+@query("stitch_rows", f"SELECT event_id AS pos, {v('value + user_id')} FROM events")
+def stitch_rows(spark, sf):
+    t = events(spark, sf)
+    return rounded(j('+/"1 {x} ,. {u}', {"x": t["value"], "u": t["user_id"]}).to_df("v", pos="pos"), "v")
+
+
+@query("transpose_sums", f"SELECT {v('l_quantity + (l_discount + l_tax)')} FROM lineitem")
+def transpose_sums(spark, sf):
+    return rounded(j("+/ |: {m}", {"m": lineitem(spark, sf).matrix("l_quantity", "l_discount", "l_tax")}).to_df("v"), "v")
+
+
+@query("cell_scaled", "SELECT vec_id, ROUND(list_max(list_transform(embedding, lambda e: abs(2 * CAST(e AS DOUBLE)))), 5) AS v FROM embeddings")
+def cell_scaled(spark, sf):
+    t = read(spark, sf, "embeddings", pos="vec_id")
+    return j('>./"1 | 2 * {e}', {"e": t.cells("embedding")}).to_df("v", pos="vec_id").withColumn("v", F.round("v", 5))
+
+
+@query("cell_product", "SELECT vec_id, ROUND(list_sum(list_transform(embedding, lambda e, i: CAST(e AS DOUBLE) * ((i - 1) % 3))), 4) + 0.0 AS v FROM embeddings")
+def cell_product(spark, sf):
+    t = read(spark, sf, "embeddings", pos="vec_id")
+    return rounded(j("{e} +/ . * 3 | i. 64", {"e": t.cells("embedding")}).to_df("v", pos="vec_id"), "v")
+
+
 @query("apl_intersection", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey AS v FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def apl_intersection(spark, sf):
     c, o = read(spark, sf, "customer", pos="c_custkey"), read(spark, sf, "orders", pos="o_orderkey")
