@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..errors import DomainError, LanguageError, LimitError, NotYet, ParseError, Sandboxed, ValueUnknown
+from ..errors import DomainError, IndexRefused, LanguageError, LimitError, NotYet, ParseError, Sandboxed, ValueUnknown
 from ..functions import numeric, scalar, structural, text
 from ..operators import derived as d
 from ..operators.verb import INFINITE, Distributed, Verb
-from ..values import EMPTY, INF, Box, chars, ints, kind, obj
+from ..values import EMPTY, INF, Box, Sparse, chars, ints, kind, obj
 
 R = INFINITE
 
@@ -58,24 +58,61 @@ def parts(y):
     return np.stack([np.real(y), np.imag(y)], axis=-1)
 
 
+def to_sparse(y):
+    if y.ndim == 0:
+        return y
+    if y.dtype.kind not in "bifc":
+        raise DomainError("only machine numbers are sparse")
+    return y.view(Sparse)
+
+
+def dense(y):
+    return np.array(y, subok=False) if isinstance(y, Sparse) else y
+
+
+def made_sparse(y):
+    """A sparse array of a shape, or of shape ; axes ; fill."""
+    parts = [b.v for b in np.atleast_1d(y)] if kind(y) == "box" and y.size else [y]
+    shape = tuple(int(v) for v in np.atleast_1d(ints(parts[0])))
+    fill = parts[2][()] if len(parts) > 2 else 0.0
+    if len(parts) > 2 and parts[2].ndim or any(v < 0 for v in shape) or len(parts) > 3:
+        raise DomainError("a shape, axes and one fill are wanted")
+    axes = ints(np.atleast_1d(parts[1])) if len(parts) > 1 else np.arange(len(shape))
+    if len(set(axes.tolist())) != len(axes) or any(not 0 <= v < len(shape) for v in axes):
+        raise IndexRefused("axes of the shape are wanted")
+    out = np.full(shape, fill).view(Sparse)
+    out.fill = fill
+    return out
+
+
 def sparse_form(k, y):
-    """Sparse forms over dense storage: the display queries are kept, storage is an index-value list."""
+    """Queries and conversions; storage stays dense, all axes are sparse."""
+    if np.size(k) != 1:
+        raise NotYet("naming the sparse axes")
     code = int(np.ravel(k)[0])
-    if code in (0, 1, -1):
-        return y
+    if code == 0:
+        return dense(y) if isinstance(y, Sparse) else to_sparse(y)
+    if code == 1:
+        return made_sparse(y)
     if code == 2:
         return np.arange(y.ndim)
+    if not isinstance(y, Sparse):
+        raise DomainError("a sparse argument is wanted")
+    base = dense(y)
+    entry = base != y.fill
+    if code == -1:
+        return obj([Box(np.array(y.shape)), Box(np.arange(y.ndim)), Box(np.asarray(y.fill).astype(base.dtype))])
     if code == 3:
-        return np.asarray(st.fill_of(y)) if hasattr(st, "fill_of") else np.asarray(0)
+        return np.asarray(y.fill).astype(base.dtype)
     if code == 4:
-        return np.argwhere(y != 0)
+        return np.argwhere(entry)
     if code == 5:
-        return y[y != 0]
+        return base[entry]
     if code == 7:
-        return np.asarray(int((y != 0).sum()))
+        return np.asarray(int(entry.sum()))
     if code == 8:
         return y
-    raise NotYet(f"form {code} of $.")
+    raise DomainError(f"no form {code} of $.")
 
 
 def less_verb(x, y):
@@ -145,7 +182,7 @@ PRIMS: dict[str, Verb] = {v.name: v for v in [
     wh("/:", st.grade, st.sort_by, inverse=inv("/:")), wh("\\:", lambda y: st.grade(y, True), lambda x, y: st.sort_by(x, y, True)),
     wh("A.", st.permutation_rank, st.anagram, (1, 0, R)), wh("C.", st.cycles, st.permute, (1, 1, R), inverse=inv("C.")),
     wh(";", t.raze, t.link), wh(";:", t.words, t.sequential_machine, (1, R, R)), wh("L.", lambda y: np.asarray(t.level(y)), None), wh('":', t.format_chars, t.format_spec, (R, 1, R), inverse=lambda: Verb("inverse", lambda y: t.parse_numbers(np.asarray(0), y))),
-    wh("u:", t.unicode_of, t.unicode_form, inverse=lambda: Verb("3&u:", lambda y: t.unicode_form(np.asarray(3), y))), wh("s:", t.symbols, t.symbol_form, inverse=lambda: Verb("5&s:", lambda y: t.symbol_form(np.asarray(5), y))), wh("$.", lambda y: y, sparse_form),
+    wh("u:", t.unicode_of, t.unicode_form, inverse=lambda: Verb("3&u:", lambda y: t.unicode_form(np.asarray(3), y))), wh("s:", t.symbols, t.symbol_form, inverse=lambda: Verb("5&s:", lambda y: t.symbol_form(np.asarray(5), y))), wh("$.", to_sparse, sparse_form),
     wh("x:", s.to_exact, exact_form, (R, 0, R), inverse=lambda: Verb("_1&x:", lambda y: exact_form(np.asarray(-1), y))), wh("p:", n.nth_prime, n.prime_query, (0, R, 0), inverse=lambda: Verb("_1&p:", lambda y: d.apply_monad(lambda c: n.prime_query(np.asarray(-1), c), 0, y))), wh("q:", n.prime_factors, n.prime_exponents, (0, 0, 0), inverse=lambda: Verb("*/", lambda y: d.fold(PRIMS["*"], y))),
     wh("p.", n.poly_roots, n.poly_eval, (1, 1, 0), inverse=inv("p.")), wh("p..", n.poly_derivative, n.poly_integral, (1, 0, 1)),
     wh("%.", n.inverse_matrix, n.divide_matrix, (2, R, 2), inverse=inv("%.")), wh("?", n.roll, n.deal, (0, 0, 0)), wh("?.", lambda y: n.roll(y, True), lambda x, y: n.deal(x, y, True), (R, 0, 0)),
@@ -828,6 +865,8 @@ def type_code(y):
         from fractions import Fraction
 
         code = {"box": 32, "sym": 65536, "exact": 128 if any(isinstance(v, Fraction) for v in y.ravel()) else 64}[kind(y)]
+    if isinstance(y, Sparse):
+        code *= 1024
     if kind(y) == "char":
         code = 2 if all(ord(c) < 128 for c in y.ravel()) else 131072
     return np.asarray(code)

@@ -9,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 
 from ..errors import DomainError, LengthError, NotYet, ParseError
-from ..values import EMPTY, Box, Sym, atom, chars, common, frame_up, ints, item, kind, obj
+from ..values import EMPTY, Box, Sparse, Sym, atom, chars, common, frame_up, ints, item, kind, obj
 
 
 def box(y):
@@ -102,6 +102,8 @@ def show_number(v, precision: int = 6, minus: str = "_") -> str:
 def lines_of(a: np.ndarray, precision: int = 6, minus: str = "_") -> list[str]:
     """Display of an array, one text a line; planes are parted by empty lines."""
     k = kind(a)
+    if isinstance(a, Sparse) and a.ndim:
+        return entry_lines(a, precision, minus)
     if not a.size and a.ndim >= 1:
         return [""] * (int(np.prod(a.shape[:-1])) if a.ndim > 1 and a.shape[-1] == 0 and np.prod(a.shape[:-1]) else 1) if a.ndim == 1 else [""] * int(np.prod(a.shape[:-1]))
     if k == "char":
@@ -125,6 +127,18 @@ def lines_of(a: np.ndarray, precision: int = 6, minus: str = "_") -> list[str]:
     return planes(rows, a.shape)
 
 
+def entry_lines(a: np.ndarray, precision: int, minus: str) -> list[str]:
+    """Indices and values of a sparse array, one entry a line."""
+    at = np.argwhere(np.asarray(a) != a.fill)
+    if not len(at):
+        return [""]
+    left = np.array([[str(v) for v in row] for row in at], object)
+    width = [max(len(v) for v in c) for c in left.T]
+    values = [show_number(v, precision, minus) for v in np.asarray(a)[tuple(at.T)]]
+    wide = max(len(v) for v in values)
+    return [" ".join(v.rjust(w) for v, w in zip(row, width, strict=True)) + " | " + v.rjust(wide) for row, v in zip(left, values, strict=True)]
+
+
 def planes(rows: list[str], shape: tuple[int, ...]) -> list[str]:
     out: list[str] = []
     for i, r in enumerate(rows):

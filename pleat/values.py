@@ -25,6 +25,15 @@ class Sym(str):
     __slots__ = ()
 
 
+class Sparse(np.ndarray):
+    """An array whose entries that are not its fill are listed when shown; results of arithmetic on one are sparse too."""
+
+    fill = 0
+
+    def __array_finalize__(self, other):
+        self.fill = getattr(other, "fill", 0)
+
+
 EMPTY = np.zeros(0, np.int64)
 INF = float("inf")
 
