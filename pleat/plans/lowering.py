@@ -12,7 +12,7 @@ from ..operators.verb import Distributed, Verb
 from ..values import ints, kind
 from . import scalars
 from .blocks import affine, scan, windowed
-from .values import POS, Frame, Mat, Runs, RunScalar, Scalar, Table, Tuple, Vec, _session, fresh, q
+from .values import POS, Frame, Mat, Runs, RunScalar, Scalar, Table, Tuple, Vec, _session, checkpointed, fresh, q
 
 __all__ = ["Table", "monad", "dyad", "reduce", "prefix", "suffix", "infix", "outfix", "key", "cut", "table", "inner", "ranked", "oblique", "amend", "agenda", "each", "shift", "take", "same", "settle", "gather", "first_atom", "table"]
 
@@ -1217,10 +1217,5 @@ def settle(v):
     """A vector whose lineage is cut, for loops over rounds: written to the shared checkpoint folder."""
     if not isinstance(v, Vec):
         return v
-    spark = v.frame.df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pleat-"))
-    df = v.to_df("v", "p").checkpoint()
+    df = checkpointed(v.to_df("v", "p"))
     return Vec(Frame(df, [], "p"), F.col("v"))

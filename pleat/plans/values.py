@@ -9,6 +9,7 @@ them, without moving all rows to one task.
 from __future__ import annotations
 
 import itertools
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,19 +49,20 @@ class Frame:
     def dense(self) -> Frame:
         """This frame with dense positions, columns unchanged.
 
-        Rows are range-partitioned by the order, numbered inside their partition, and shifted by the
-        counts of the partitions before: those counts are one row per partition.
+        Rows are range-partitioned and sorted by the order and numbered inside their partition; that
+        is written to the shared checkpoint folder, because a range partitioning made twice may cut
+        elsewhere.  Partitions then shift by the counts of those before them: one row per partition.
         """
         if self.pos:
             return self
         if getattr(self, "_dense", None) is None:
-            part, here, base = fresh("part"), fresh("here"), fresh("base")
+            mark, part, base = fresh("mark"), fresh("part"), fresh("base")
             cols = self.ordering()
-            ranged = self.df.repartitionByRange(*cols).withColumn(part, F.spark_partition_id())
-            numbered = ranged.withColumn(here, F.row_number().over(Window.partitionBy(part).orderBy(*cols)).cast("long"))
-            counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(base))
+            sorted_ = self.df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn(mark, F.monotonically_increasing_id())
+            numbered = checkpointed(sorted_).withColumn(part, F.shiftright(mark, 33))
+            counts = numbered.groupBy(part).agg(F.count(F.lit(1)).alias(base))
             before = counts.select(part, F.coalesce(F.sum(base).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(base))
-            df = numbered.join(F.broadcast(before), part).withColumn(POS, F.col(base) + F.col(here) - 1).drop(part, here, base)
+            df = numbered.join(F.broadcast(before), part).withColumn(POS, F.col(base) + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, mark, base)
             self._dense = Frame(df, [], POS)
         return self._dense
 
@@ -135,9 +137,26 @@ class Vec(Distributed):
         if pos is None:
             t = self.trimmed()
             return t.frame.df.select(t.col.alias(name))
-        t = self.placed()
+        t = self.trimmed()
+        if not t.frame.pos and getattr(t.frame, "_dense", None) is None:  # only the order and the values need to move
+            t = t.narrowed()
+        t = t.placed()
         return t.frame.df.select(F.col(q(t.frame.pos)).cast("long").alias(pos), t.col.alias(name))
 
+    def narrowed(self) -> Vec:
+        """On a frame of nothing but the order and this column."""
+        keys, v = [], fresh("v")
+        order = []
+        for c in self.frame.ordering():
+            text = str(c)[8:-2]
+            bare, _, tail = text.partition(" ASC NULLS ") if " ASC NULLS " in text else text.partition(" DESC NULLS ")
+            if not bare.isidentifier() or bare not in self.frame.df.columns:
+                return self
+            k = fresh("o")
+            keys.append(F.col(q(bare)).alias(k))
+            order.append(F.col(k).desc() if " DESC NULLS " in text else F.col(k).asc() if tail else F.col(k))
+        return Vec(Frame(self.frame.df.select(*keys, self.col.alias(v)), order), F.col(v))
+
 
 class Mat(Distributed):
     """Rows of a frame by some of its columns, or (``cell``) by the elements of one array column."""
@@ -222,6 +241,14 @@ class Table:
         return Mat(self.frame, None, F.transform(F.col(q(name)), lambda v: v.cast("double")))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of spark.checkpoint.dir; to one of our own only where none is set (tests)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pleat-"))
+    return df.checkpoint()
+
+
 def _session():
     from pyspark.sql import SparkSession
 
