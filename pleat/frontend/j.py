@@ -172,7 +172,7 @@ PRIMS: dict[str, Verb] = {v.name: v for v in [
     mixed("*.", polar, R, s.lcm, 1), mixed("+.", parts, R, s.gcd, 0), mixed("~:", st.nub_sieve, R, not_equal, 0),
     sc("!", s.factorial, s.binomial, 1), sc("o.", lambda y: s.multiply(np.asarray(np.pi), s.to_float(y)), s.circle, None), sc("j.", lambda y: y * 1j, lambda x, y: x + y * 1j), sc("r.", lambda y: np.exp(y * 1j), lambda x, y: x * np.exp(y * 1j)),
     wh("~.", st.nub, None), wh("$", st.shape_of, st.reshape_items, (R, 1, R)), wh("#", st.tally, st.copy, (R, 1, R)),
-    wh(",", st.ravel, st.append), wh(",.", lambda y: y.reshape(len(y), -1) if y.ndim else y.reshape(1, 1), lambda x, y: d.apply_dyad(st.append, -1, -1, x, y)), wh(",:", lambda y: y[None], st.laminate),
+    wh(",", st.ravel, st.append), wh(",.", lambda y: y.reshape(len(y), int(np.prod(y.shape[1:]))) if y.ndim else y.reshape(1, 1), lambda x, y: d.apply_dyad(st.append, -1, -1, x, y)), wh(",:", lambda y: y[None], st.laminate),
     wh("|.", st.reverse, st.rotate, (R, 1, R), inverse=inv("|.")), wh("|:", st.transpose, st.transpose_j, (R, 1, R), inverse=inv("|:")),
     wh("{.", st.head, st.take, (R, 1, R)), wh("}.", lambda y: st.drop(np.asarray(1), y) if y.ndim else EMPTY, st.drop, (R, 1, R)), wh("{:", st.tail, None), wh("}:", lambda y: st.drop(np.asarray(-1), y) if y.ndim else EMPTY, None),
     wh("#.", lambda y: st.base_value(np.asarray(2), y), st.base_value, (1, 1, 1), inverse=inv("#:")), wh("#:", st.bit_digits, st.digits, (R, 1, 0), inverse=inv("#.")),
@@ -570,7 +570,7 @@ class Machine:
                 self.scopes.pop()
                 self.source = before
                 self.depth -= 1
-            return EMPTY if v is None else v
+            return np.zeros((0, 0), np.int64) if v is None else v
 
         def verb_of(extra: dict, name: str) -> Verb:
             def one(y):
@@ -1050,6 +1050,6 @@ ADVERBS: dict[str, Adverb] = {a.name: a for a in [
 ]}
 CONJS: dict[str, Conj] = {c.name: c for c in [
     Conj("@", lambda u, v: at(u, v, True)), Conj("@:", lambda u, v: at(u, v, False)), Conj("&", lambda u, v: amp(u, v, True)), Conj("&:", lambda u, v: amp(u, v, False)), Conj('"', rank),
-    Conj("&.", lambda u, v: under(u, v, True)), Conj("&.:", lambda u, v: under(u, v, False)), Conj("^:", power), Conj(";.", cut_conj), Conj("!.", d.fit), Conj(":.", d.obverse), Conj("::", d.adverse),
+    Conj("&.", lambda u, v: under(u, v, True)), Conj("&.:", lambda u, v: under(u, v, False)), Conj("^:", power), Conj(";.", cut_conj), Conj("!.", d.fit), Conj(":.", d.obverse), Conj("::", lambda u, v: d.adverse(u, d.constant(v) if is_noun(v) else v)),
     Conj("`", tie), Conj("@.", agenda_conj), Conj("`:", evoke_conj), Conj("L:", lambda u, k: d.at_level(u, k, False)), Conj("S:", lambda u, k: d.at_level(u, k, True)), Conj(".", dot), Conj("H.", hyper), Conj(":", None), Conj("!:", None),
 ]}

@@ -120,6 +120,8 @@ def power(x, y):
     if "c" not in (x.dtype.kind, y.dtype.kind):
         xf, yf = to_float(x), to_float(y)
         with np.errstate(all="ignore"):
+            if np.any((xf < 0) & np.isinf(yf)):
+                raise NanError("an infinite power of a negative number")
             if np.any((xf < 0) & (yf != np.floor(yf))):
                 return np.power(xf.astype(complex), yf)
             out = np.power(xf, yf)
@@ -357,6 +359,8 @@ def nor(x, y):
 
 def gamma1(v: float) -> float:
     """Factorial of a real number."""
+    if math.isnan(v) or math.isinf(v):
+        return math.inf if v == v and v > 0 else v if v != v else math.inf
     if v == math.floor(v) and v < 0:
         return math.inf if v % 2 else -math.inf
     try:
@@ -385,6 +389,12 @@ def binomial(x, y):
         return obj((math.comb(int(b), int(a)) for a, b in zip(*(v.ravel() for v in np.broadcast_arrays(x, y)), strict=True)), np.broadcast_shapes(x.shape, y.shape))
 
     def one(k: float, n: float) -> float:
+        if math.isnan(k) or math.isnan(n):
+            return math.nan
+        if math.isinf(k):
+            return 0.0
+        if math.isinf(n):
+            return 0.0 if k < 0 else 1.0 if k == 0 else n
         whole = k == math.floor(k) and n == math.floor(n)
         if whole:
             if n >= 0:

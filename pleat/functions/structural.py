@@ -142,6 +142,8 @@ def common_mixed(arrays):
 
 
 def laminate(x, y):
+    if x.ndim == 0 and y.ndim == 0:
+        x, y = x.reshape(1), y.reshape(1)
     if x.shape != y.shape:
         if x.ndim == 0:
             x = np.broadcast_to(x, y.shape)
@@ -182,6 +184,8 @@ def shift(x, y, fill=None):
 
 def take(x, y, fill=None):
     want = np.atleast_1d(x)
+    if not want.size:
+        raise LengthError("a length is wanted")
     if y.ndim == 0:
         y = y.reshape((1,) * len(want))
     if len(want) > y.ndim:
@@ -472,7 +476,7 @@ def find(x, y):
     if y.ndim == 0:
         return np.asarray(s.match(x, y))
     x = x.reshape((1,) * (y.ndim - x.ndim) + x.shape)
-    room = [n - m + 1 for n, m in zip(y.shape, x.shape, strict=True)]
+    room = [min(n, n - m + 1) for n, m in zip(y.shape, x.shape, strict=True)]
     if any(r <= 0 for r in room):
         return out
     hit = np.ones(room, bool)

@@ -155,8 +155,9 @@ def planes(rows: list[str], shape: tuple[int, ...]) -> list[str]:
 def box_lines(a: np.ndarray, precision: int, minus: str) -> list[str]:
     shape = (1, 1) if a.ndim == 0 else (1, *a.shape) if a.ndim == 1 else a.shape
     table = a.reshape(-1, shape[-1])
-    drawn = [[lines_of(b.v, precision, minus) for b in row] for row in table]
-    width = [max([max((len(t) for t in row[c]), default=0) for row in drawn]) for c in range(shape[-1])]
+    blank = lambda v: v.ndim > 1 and not v.size  # noqa: E731  an empty table is as wide as it has columns
+    drawn = [[[" " * b.v.shape[-1]] * int(np.prod(b.v.shape[:-1])) if blank(b.v) else lines_of(b.v, precision, minus) for b in row] for row in table]
+    width = [max([max([len(t) for t in row[c]] + [b.v.shape[-1] if blank(b.v) else 0], default=0) for row, own in zip(drawn, table, strict=True) for b in [own[c]]]) for c in range(shape[-1])]
     rule = "+" + "+".join("-" * w for w in width) + "+"
     out: list[str] = []
     per = shape[-2]
