@@ -61,6 +61,11 @@ class Packer:
         """Pack what waits; the last sequence is split at powers of two."""
         rest = self._pack(self.waiting)
         self.waiting = []
+        self._split(rest)
+
+    def _split(self, rest: list[tuple[int, int, int]]) -> None:
+        """Close pieces as sequences whose lengths are powers of two, which need no padding."""
+        rest = list(rest)
         left = sum(n for _, _, n in rest)
         while left:
             room = 1 << (left.bit_length() - 1)
@@ -119,7 +124,10 @@ class Packer:
                     sizes[longest] = (n - take, 1, loss_tokens(start + take, n - take))
             if not n_alive and left[0] > 0:
                 return bin_
-            self._close(bin_)
+            if left[0] > 0:  # out of segments
+                self._split(bin_)
+            else:
+                self._close(bin_)
         return []
 
 
@@ -138,7 +146,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", lim
 
     A document is its ids under ``vocabulary`` (a ``tokenizers`` JSON file) and ``end_id``; a null text
     counts as empty and so is one id.  Every row is packed, repeated rows too; null keys are carried.
-    A sequence shorter than the limit is a power of two long unless its segments ran out.  Input
+    A sequence shorter than the limit is a power of two long, so nothing is padded.  Input
     columns named like a new one are replaced.  An empty table gives no rows.  Sequence ids start
     with the task's number, so no two tasks share one.
     """
