@@ -332,7 +332,10 @@ def scalar_dyad(v: Verb, x, y):
         return matrix_dyad(f, x, y, tx, ty, left)
     if isinstance(x, Vec) and isinstance(y, Vec):
         a, b = align(x, y)
-        return Vec(a.frame, f(a.col, b.col, tx, ty), a.front, a.back)
+        out = Vec(a.frame, f(a.col, b.col, tx, ty), a.front, a.back)
+        if getattr(a, "source", None):
+            out.keys, out.source = a.keys, a.source
+        return out
     if isinstance(x, Vec):
         return Vec(x.frame, f(x.col, y.inline() if isinstance(y, Scalar) else lit(text_of(y)), tx, ty), x.front, x.back)
     if isinstance(y, Vec):
@@ -383,6 +386,20 @@ def align(x: Vec, y: Vec) -> tuple[Vec, Vec]:
             df = df.withColumn(keep, x.col).withColumn(name, (F.lead(y.col, s) if s > 0 else F.lag(y.col, -s)).over(w)).where(own)
             g = Frame(df, [], f.pos)
             return Vec(g, F.col(keep), x.front, x.back), Vec(g, F.col(name), x.front, x.back)
+    if getattr(x, "source", None) and getattr(y, "source", None) and x.source[0] is y.source[0] and x.source[1] == y.source[1]:
+        # groups of one table by the same keys: one row a key on either side, no positions needed
+        vb, twins = fresh("y"), [fresh("key") for _ in x.keys]
+        right = y.frame.df.select(*[k.alias(t) for k, t in zip(y.keys, twins, strict=True)], y.col.alias(vb))
+        met = F.lit(True)
+        for k, t in zip(x.keys, twins, strict=True):
+            met = met & k.eqNullSafe(F.col(t))
+        g = Frame(x.frame.df.join(right, met).drop(*twins), x.frame.order)
+        out = []
+        for c in (x.col, F.col(vb)):
+            v = Vec(g, c)
+            v.keys, v.source = x.keys, x.source
+            out.append(v)
+        return out[0], out[1]
     a, b = x.placed(), y.placed()
     va, vb, pb = fresh("x"), fresh("y"), fresh("p")
     left = a.frame.df.select(F.col(q(a.frame.pos)).alias(POS), a.col.alias(va))
@@ -883,6 +900,7 @@ def grouped(u: Verb, f: Frame, col: Column, keys: list[Column], by_key: bool = F
         df = source.groupBy(*names).agg(*aggs)
         out = Vec(Frame(df, [F.col(n_) for n_ in names] if by_key else [F.col(first)]), F.col(name))
         out.keys = [F.col(n_) for n_ in names]
+        out.source = (f, tuple(str(k) for k in keys)) if where is None and not by_key else None
         return out
 
     def scans(c: Column, what: str, backward: bool) -> Vec:

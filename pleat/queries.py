@@ -293,13 +293,9 @@ keyed("key_squares", "{k} (+/@:*: % #)/. {x}", v("sum(value * value) / count(*)"
 
 @query("vwap", "SELECT l_returnflag AS k, ROUND(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS v FROM lineitem GROUP BY 1")
 def vwap(spark, sf):
-    t = lineitem(spark, sf)
-    t = Table(t.frame.df, order=["l_returnflag"])
-    top = j("{k} +//. {p} * {v}", {"k": t["l_returnflag"], "p": t["l_extendedprice"], "v": t["l_quantity"]}).value
-    low = j("{k} +//. {v}", {"k": t["l_returnflag"], "v": t["l_quantity"]}).value
-    names = j("~. {k}", {"k": t["l_returnflag"]}).to_df("k", pos="pos")
-    ratio = j("{a} % {b}", {"a": top, "b": low}).to_df("v", pos="pos")
-    return names.join(ratio, "pos").select("k", F.round("v", 4).alias("v"))
+    t = read(spark, sf, "lineitem", order=["l_returnflag"])
+    value = j("({k} +//. {p} * {v}) % {k} +//. {v}", {"k": t["l_returnflag"], "p": t["l_extendedprice"], "v": t["l_quantity"]}).value
+    return value.frame.df.select(value.keys[0].alias("k"), F.round(value.col, 4).alias("v"))
 
 
 on_events("keyed_scan", "{k} (+/\\)/. {x}", f"SELECT event_id AS pos, {v('sum(value) OVER (PARTITION BY user_id ORDER BY event_id)')} FROM events", k="user_id", x="value")
