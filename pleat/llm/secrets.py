@@ -1,8 +1,8 @@
 """Secrets in whole texts: strong patterns, and multipart credentials linked by an interval join.
 
-Access identifiers, secrets and endpoints each open an interval of REACH code points around
-themselves, clipped to their scope (a run of lines without a blank line).  Strong finds are always
-reported; a weak candidate only when the interval of a complementary part overlaps its own.
+Access identifiers, secrets and endpoints each open an interval around themselves that reaches to
+the ends of their scope (a run of lines without a blank line).  Strong finds are always reported; a
+weak candidate only when the interval of a complementary part overlaps its own.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from math import log2
+from math import inf, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +23,15 @@ BASE = ("assign", "access", "hex")
 #: Weak kinds: an account identifier, a high-entropy token, an endpoint.
 KINDS = (*BASE, "account", "entropy", "endpoint")
 ROLE = {"assign": "secret", "hex": "secret", "entropy": "secret", "access": "identifier", "account": "identifier", "endpoint": "endpoint"}
-REACH = 300
+#: Code points that an interval reaches beyond its part before the scope clips it: only the scope limits linking.
+REACH = inf
 
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-ACCOUNT = re.compile(r"(?ai:client_?id|user(?:_?name)?|login|account|access_?key_?id)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?([A-Za-z0-9@._-]{3,128})")
-ENTROPY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,128}(?![A-Za-z0-9+/])")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@-]{3,253}|(?ai:host(?:name)?|endpoint|server)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9._:-]{3,253}")
+ACCOUNT = re.compile(r"(?ai:client_?id|user(?:_?name)?|login|account|access_?key_?id)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9@._-]{3,}+)")
+ENTROPY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}+")
+ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@-]{3,}+|(?ai:host(?:name)?|endpoint|server)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9._:-]{3,}+")
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 LEAST_BITS = 4.0
 

@@ -466,3 +466,14 @@ def test_query_digests(spark, tmp_path, docs):
         for r in rows(docs):
             want = ",".join(f"{k}:{a}:{b}" for k, a, b in base(r["text"] or ""))
             assert by[r["doc_id"]]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_secrets_of_any_length_link_across_their_whole_scope():
+    rnd = random.Random(7)
+    key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1700))
+    t = f'"private": "{key}"\n"client_id":            "{"x" * 300}"\n"token_uri": "https://{"z" * 400}.example"'
+    for text in (t, t.replace("\n", "\n" + "filler words here\n" * 200)):
+        assert {(k, text[a:b]) for k, a, b, _ in secrets.find(text)} >= {("entropy", key)}
+        assert not any(x in secrets.redact(text) for x in (key[:20], key[-20:], "xxx", "zzz"))
+    assert secrets.find(t.replace("\n", "\n\n")) == []  # the scope still parts them
+    assert [s[1:3] for s in secrets.find("user = a\nuser = jane " + "A1" * 20_000 + " x")] == []
