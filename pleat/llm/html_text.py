@@ -2,8 +2,8 @@
 
 Every element gets its characters, tags, link characters and link tags; its density is
 link-adjusted characters per tag.  The subtree with the largest sum of its children's densities is
-the article, widened along the path to body while what stands beside it is as dense as the path's
-least dense element.  Elements that never hold an article's text are left out beforehand.
+the article, with all siblings along the path to body that are as dense as the path's least dense
+element.  Elements that never hold an article's text are left out beforehand.
 """
 
 from __future__ import annotations
@@ -177,13 +177,16 @@ def article(root: Node) -> Node | None:
     least, up = best.density, best
     while up is not None:
         least, up = min(least, up.density), up.parent
-    while best.parent is not None:
-        beside = [c for c in best.parent.items if isinstance(c, Node) and not c.out and c is not best and c.chars]
-        dense = [c for c in beside if c.density >= least and 3 * c.link_chars <= c.chars]
-        if not dense or len(dense) < len(beside):
-            break
-        best = best.parent
-    return best
+    top, sparse, here = best, [], best
+    while here.parent is not None:
+        beside = [c for c in here.parent.items if isinstance(c, Node) and not c.out and c is not here and c.chars]
+        sparse += [c for c in beside if c.density < least]
+        here = here.parent
+        if any(c.density >= least for c in beside):
+            top = here
+    for c in sparse:
+        c.out = True
+    return top
 
 
 def blocks(node: Node) -> Iterator[str]:

@@ -477,3 +477,15 @@ def test_secrets_of_any_length_link_across_their_whole_scope():
         assert not any(x in secrets.redact(text) for x in (key[:20], key[-20:], "xxx", "zzz"))
     assert secrets.find(t.replace("\n", "\n\n")) == []  # the scope still parts them
     assert [s[1:3] for s in secrets.find("user = a\nuser = jane " + "A1" * 20_000 + " x")] == []
+
+
+def prose(k, n=6):
+    return "".join(f"<p>Paragraph {i} of part {k} says something at length, as articles do, about rivers and stones.</p>" for i in range(n))
+
+
+def test_html_parts_beside_a_sparse_sibling_are_kept():
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Go{i}</a></li>' for i in range(5)) + "</ul>"
+    text = html_text.main_text(f"<body><div class='wrap'><div>{prose(1)}</div>{links}<div>{prose(2)}</div></div></body>")
+    assert text == html_text.main_text(f"<article>{prose(1)}{prose(2)}</article>")
+    far = html_text.main_text(f"<body><div><div><div>{prose(1)}</div>{links}</div>{links}</div><div>{prose(2)}</div><div>{prose(3)}</div>{links}</body>")
+    assert far == html_text.main_text(f"<article>{prose(1)}{prose(2)}{prose(3)}</article>")
