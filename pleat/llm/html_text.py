@@ -20,57 +20,106 @@ from pyspark.sql import types as T
 from .runtime import add_columns, texts_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(/?)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 #: Elements whose content is never part of an article.
-OUT = frozenset("script style title noscript iframe template head nav footer aside form button select option textarea svg canvas object audio video dialog menu math map label input fieldset legend datalist".split())
+OUT = frozenset("script style title noscript iframe template head nav footer aside form button select option textarea svg canvas object audio video dialog menu annotation annotation-xml map label input fieldset legend datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CELLS = frozenset("td th".split())
 #: What an open element is closed by, with the elements that shield it.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SHIELD = frozenset("ul ol dl table div section article body".split())
-#: Words of class, id and role that mark menus, adverts, notices, sidebars, forms and reader comments.
+#: Words of class and id that speak for menus, adverts, notices, sidebars, forms and reader comments (see ``settle``).
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|topbar|toolbar|footer|foot|share|sharing|social|related|recommend\w*|subscribe|subscription|newsletter|signup|login|search|pagination|pager|comment|comments|commentlist|disqus|reply|replies|respond|discussion|widget|skip|copyright|legal|disclaimer)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Those of them that mark what readers wrote, which no layout wrapper is named by.
+READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|reply|replies|respond|discussion)(?:$|[\s_-]|\d)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "out")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "out", "named", "size", "links", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, named: str = ""):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
         self.items: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.size = self.links = 0
         self.density = self.total = 0.0
+        self.holds = False
 
 
-def is_aside(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element stands outside any article. ``inside``: within article or main, where a header holds the title."""
+def is_aside(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element stands outside any article, and else what its class and id name: layout, readers or nothing.
+
+    ``inside``: within article or main, where a header holds the title.
+    """
     if tag in OUT or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("body", "html", "article", "main"):
-        low = attrs.lower() if tag == "article" else ""
-        return bool(low) and "comment" in low
+        return True, ""
+    named = ""
+    if not attrs or tag in ("body", "html", "main"):
+        return False, named
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and ASIDE.search(value):
-            return not (inside and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value, re.I) and not ASIDE.search(re.sub(r"header", "", value, flags=re.I)))
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs)) and tag not in ("input",)
+        if name in ("class", "id"):
+            if READERS.search(value):
+                named = "readers"
+            elif tag != "article" and ASIDE.search(value) and not (inside and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value, re.I) and not ASIDE.search(re.sub(r"header", "", value, flags=re.I))):
+                named = named or "layout"
+        elif tag == "article":
+            continue
+        elif name == "hidden" or name == "role" and value.lower() in ROLES:
+            return True, ""
+        elif name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return True, ""
+    return False, named
+
+
+def settle(root: Node) -> None:
+    """Leave out elements that are named as asides where their text agrees with the name.
+
+    A name is no evidence on an element that holds an article, main or most of the page's text.  What
+    readers wrote and what is mostly links goes by its name; other text only in small elements (a
+    quarter of the page's text), and not if these together are most of the page.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.items if isinstance(c, Node))
+    for node in reversed(order):
+        for c in node.items:
+            if isinstance(c, str):
+                size = len(" ".join(c.split()))
+                node.size += size
+                node.links += size if node.tag == "a" else 0
+            else:
+                node.size += c.size
+                node.links += c.size if node.tag == "a" else c.links
+                node.holds = node.holds or c.holds or (c.tag in ("article", "main") and not c.out and not c.named)
+    for node in order:
+        if node.named and not node.holds and 2 * node.size <= root.size:
+            node.out = node.out or node.named == "readers" or 2 * node.links >= node.size
+    small, covered = [], set()
+    for node in order:
+        if node.out or node.parent is not None and id(node.parent) in covered:
+            covered.add(id(node))
+        elif node.named == "layout" and not node.holds and 4 * node.size <= root.size:
+            covered.add(id(node))
+            small.append(node)
+    if 2 * sum(x.size for x in small) <= root.size:
+        for x in small:
+            x.out = True
 
 
 def parse(html: str) -> Node:
     """Forgiving tree of a page; unclosed and stray tags are resolved as browsers roughly do."""
     root = here = Node("html", None, False)
     depth = {"article": 0, "main": 0}
+    named = False
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
@@ -105,7 +154,8 @@ def parse(html: str) -> Node:
         if tag in ("html", "body") and (tag == "html" or any(isinstance(c, Node) and c.tag == "body" for c in root.items)):
             continue
         inside = depth["article"] > 0 or depth["main"] > 0
-        node = Node(tag, here, is_aside(tag, m[4] or m[8] or "", inside))
+        node = Node(tag, here, *is_aside(tag, m[4] or m[8] or "", inside))
+        named = named or bool(node.named)
         here.items.append(node)
         if tag in RAW:
             end = RAW_END[tag].search(html, at)
@@ -118,6 +168,8 @@ def parse(html: str) -> Node:
             here = node
             if tag in depth:
                 depth[tag] += 1
+    if named:
+        settle(root)
     return root
 
 

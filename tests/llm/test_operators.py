@@ -489,3 +489,15 @@ def test_html_parts_beside_a_sparse_sibling_are_kept():
     assert text == html_text.main_text(f"<article>{prose(1)}{prose(2)}</article>")
     far = html_text.main_text(f"<body><div><div><div>{prose(1)}</div>{links}</div>{links}</div><div>{prose(2)}</div><div>{prose(3)}</div>{links}</body>")
     assert far == html_text.main_text(f"<article>{prose(1)}{prose(2)}{prose(3)}</article>")
+
+
+def test_html_names_are_evidence_only_on_small_or_link_heavy_elements():
+    want = html_text.main_text(f"<article>{prose(1)}</article>")
+    for name in ("content-sidebar-wrap", "row has-sidebar", "no-sidebar"):
+        assert html_text.main_text(f'<body><div class="{name}"><main>{prose(1)}</main></div></body>') == want
+        assert html_text.main_text(f'<body><div class="{name}"><div>{prose(1)}</div></div><div class="sidebar"><p>Small aside</p></div></body>') == want
+    two = html_text.main_text(f'<body><div><div class="has-sidebar">{prose(1)}</div><div class="has-sidebar">{prose(2)}</div></div></body>')
+    assert two == html_text.main_text(f"<article>{prose(1)}{prose(2)}</article>")
+    assert html_text.main_text('<article><p>See <a href="/x" title="the hidden cost of scale">this text</a> <b class="a hidden b">and that</b>.</p><p hidden>not this</p></article>') == "See this text and that."
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>") == "Let x=1 hold."
+    assert html_text.main_text(f'<article data-comment-count="3">{prose(1)}<div class="share">Share this</div><section class="comments">{prose(2, 3)}</section></article>') == want
