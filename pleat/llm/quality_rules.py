@@ -17,6 +17,8 @@ from .runtime import carried, cut
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Words of a block. Longer texts have fewer distinct words to a word, so these are counted block by block.
+BLOCK = 2000
 ROUNDS = 20
 #: A text that passes the base tests is kept if its posterior reaches this.
 KEEP = 0.5
@@ -30,7 +32,7 @@ STRENGTH = 2.0
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VOTES = ["length", "symbols", "repeats", "lines", "word_size", "variety", "shouting"]
-OWN = [*STATS, "n_lines", "n_distinct", "n_exclaims", "base_failed", "pattern", "posterior", "kept"]
+OWN = [*STATS, "n_lines", "n_distinct", "n_block_distinct", "n_exclaims", "base_failed", "pattern", "posterior", "kept"]
 
 
 def without(text: Column, chars: str) -> Column:
@@ -58,6 +60,9 @@ def word_stats(docs: DataFrame, text_col: str) -> DataFrame:
         .withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
         .withColumn("n_distinct", F.size(F.array_distinct("__w")).cast("long"))
     )
+    starts = F.sequence(F.lit(1), F.size("__w"), F.lit(BLOCK))
+    per_block = F.aggregate(F.transform(starts, lambda i: F.size(F.array_distinct(F.slice("__w", i, BLOCK)))), F.lit(0), lambda a, x: a + x)
+    df = df.withColumn("n_block_distinct", F.when(F.size("__w") > BLOCK, per_block.cast("long")).otherwise(F.col("n_distinct")))
     hashes = F.when(F.size("__w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("__w") - WINDOW + 1), lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("__h", hashes).withColumn("__again", F.size(F.array_distinct("__h")) < F.size("__h"))
     pairs = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -91,7 +96,7 @@ def votes() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
     per_word = F.col("word_chars") / n
-    variety = F.col("n_distinct") / n
+    variety = F.col("n_block_distinct") / n
     told = F.col("n_words") >= 20  # shares of a few words say nothing: abstain
     copied_lines = (F.col("n_dup_lines") / lines > 0.5) & (F.col("n_dup_lines") >= 3)
     return {
@@ -100,7 +105,7 @@ def votes() -> dict[str, Column]:
         "repeats": ballot(told, F.col("n_repeat_words") / n > 0.3),
         "lines": ballot(told, copied_lines),
         "word_size": ballot((per_word >= 3) & (per_word <= 10), (per_word < 2) | (per_word > 14)),
-        "variety": ballot(told & ((variety >= 0.3) | (F.col("n_words") > 2000)), (variety < 0.22) & (F.col("n_words") <= 2000)),
+        "variety": ballot(told & (variety >= 0.3), variety < 0.22),
         "shouting": ballot(F.col("n_exclaims") / n <= 0.1, F.col("n_exclaims") / n > 0.3),
     }
 
@@ -187,11 +192,11 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     staying = [c for c in carried(docs, OWN, keep)]
     clean = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*staying, text_col])])
     stats = word_stats(clean, text_col).withColumn("base_failed", base_failed()).withColumn("pattern", pattern())
-    facts = cut(stats.select(*[F.col(f"`{c}`") for c in staying], *STATS, "n_lines", "n_distinct", "n_exclaims", "base_failed", "pattern"))
+    facts = cut(stats.select(*[F.col(f"`{c}`") for c in staying], *STATS, "n_lines", "n_distinct", "n_block_distinct", "n_exclaims", "base_failed", "pattern"))
     counted = facts.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     # one row: the counted patterns are at most 3 ** len(VOTES)
     table = counted.agg(F.sort_array(F.collect_list(F.struct(F.col("pattern").alias("code"), "n"))).alias("patterns"))
     fitted = cut(table.select("patterns", expectation_maximisation(F.col("patterns")).alias("model")))
     scored = fitted.select(F.explode("patterns").alias("p"), "model").select(F.col("p.code").alias("pattern"), posterior(F.col("p.code"), F.col("model")).alias("posterior"))
     out = facts.join(F.broadcast(scored), "pattern")  # at most 3 ** len(VOTES) rows
-    return out.select(*[F.col(f"`{c}`") for c in staying], *STATS, "n_lines", "n_distinct", "n_exclaims", "base_failed", "pattern", "posterior", (~F.col("base_failed") & (F.col("posterior") >= KEEP)).alias("kept"))
+    return out.select(*[F.col(f"`{c}`") for c in staying], *STATS, "n_lines", "n_distinct", "n_block_distinct", "n_exclaims", "base_failed", "pattern", "posterior", (~F.col("base_failed") & (F.col("posterior") >= KEEP)).alias("kept"))

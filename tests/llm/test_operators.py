@@ -501,3 +501,18 @@ def test_html_names_are_evidence_only_on_small_or_link_heavy_elements():
     assert html_text.main_text('<article><p>See <a href="/x" title="the hidden cost of scale">this text</a> <b class="a hidden b">and that</b>.</p><p hidden>not this</p></article>') == "See this text and that."
     assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>") == "Let x=1 hold."
     assert html_text.main_text(f'<article data-comment-count="3">{prose(1)}<div class="share">Share this</div><section class="comments">{prose(2, 3)}</section></article>') == want
+
+
+def test_variety_votes_alike_at_every_length(spark):
+    rnd = random.Random(12)
+    stutter = lambda n: " ".join(f"w{i} " * 7 for i in range(n))
+    natural = " ".join(f"v{rnd.randrange(5000)}" for _ in range(30_000))
+    data = [("short", stutter(10), -1), ("long", stutter(300), -1), ("longer", stutter(3000), -1), ("natural", natural, 1), ("few words", "one two " * 5, -1), (None, "", -1)]
+    df = spark.createDataFrame(data, "name string, text string, want int")
+    stats = rows(quality_rules.word_stats(df, "text").withColumn("vote", quality_rules.votes()["variety"]))
+    for r in stats:
+        w = words(r["text"])
+        assert r["n_block_distinct"] == sum(len(set(w[i : i + 2000])) for i in range(0, len(w), 2000))
+        assert r["n_repeat_words"] == 0 or r["name"] == "few words"
+        assert r["vote"] == r["want"], r["name"]
+    assert len(set(words(natural))) / 30_000 < 0.3
