@@ -56,6 +56,26 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Accounts that mod-97 confirms; of a match in groups the longest confirmed run of them, as words may follow."""
+    out = []
+    m = IBAN.search(text)
+    while m:
+        end, at = m.end(), m.end()
+        while end > m.start():
+            a = text[m.start() : end].replace(" ", "")
+            if 15 <= len(a) <= 34 and mod97(a):
+                out.append((m.start(), end))
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
+        else:
+            at = text.find(" ", m.start(), m.end())
+            at = m.end() if at < 0 else at
+        m = IBAN.search(text, at)
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Matches of local@domain.domain; each @ is tried once, its local part found from the right."""
     out = []
@@ -101,10 +121,8 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         for m in PHONE.finditer(text):
             if 9 <= len(digits_of(m[0])) <= 15:
                 add("phone", m.start(), m.end())
-    for m in IBAN.finditer(text):
-        a = m[0].replace(" ", "")
-        if 15 <= len(a) <= 34 and mod97(a):
-            add("iban", m.start(), m.end())
+    for a, b in ibans(text):
+        add("iban", a, b)
     for m in SSN.finditer(text):
         add("ssn", m.start(), m.end())
     return out
@@ -129,7 +147,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii", keep: li
     """Append ``out``: array of (kind, start, end, score), code points, end exclusive, of each whole text.
 
     Null and empty texts have no spans.  Repeated rows are searched alike; all columns (or ``keep``)
-    are carried, one named ``out`` is replaced.  An empty table stays empty.  Failing matches are
-    dropped without another try.  Patterns have no nested repetition, so long texts take linear time.
+    are carried, one named ``out`` is replaced.  An empty table stays empty.  Failing matches of
+    the base kinds are dropped without another try.  Patterns have no nested repetition, so long texts take linear time.
     """
     return span_columns(docs, find, text_col, out, keep)

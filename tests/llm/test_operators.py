@@ -516,3 +516,14 @@ def test_variety_votes_alike_at_every_length(spark):
         assert r["n_repeat_words"] == 0 or r["name"] == "few words"
         assert r["vote"] == r["want"], r["name"]
     assert len(set(words(natural))) / 30_000 < 0.3
+
+
+def test_ibans_before_short_capitals():
+    spanish, belgian, german, swedish = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "SE45 5000 0000 0583 9825 7466"
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
+    for account in (spanish, belgian, german, swedish, spanish.replace(" ", "")):
+        for after in ("", ".", " BIC CAIXESBB", " EUR 50", " SWIFT", " BANK CODE ABCD", " A", f" {german}", f" OR {belgian}"):
+            want = [account, *[x for x in (german, belgian) if x in after]]
+            assert found(f"IBAN {account}{after}") == want, (account, after)
+    assert found("IBAN ES91 2100 0418 4502 0005 1333 BIC") == []
+    assert found(f"IBAN AB12 CODE ABCD {spanish} BIC") == [spanish]
