@@ -1,12 +1,12 @@
-"""N-gram Jaccard join by T-occurrence search (heap-merged short lists, DivideSkip probes of long ones).
+"""N-gram Jaccard join by T-occurrence search (candidates from short lists, probed in short and long ones).
 
 Plan: texts with equal shingle sets collapse to one class.  Every shingle's corpus frequency is
 counted; among its rarest shingles (as many as any partner must share one of) a class is met only
 through those that another class has too.  Classes that meet form candidate blocks, found by stars
 and distributed components.  A link can only lie inside a block.  Each block
 runs the T-occurrence search over its own inverted lists: with threshold T on a query's overlap, its
-T - 1 longest lists are set aside, the short rest is merged, and each survivor is probed by binary
-search in the long lists.  Lists whose documents are already one component are skipped, so a large
+T - 1 longest lists are set aside, the short rest is concatenated and made unique without counts, and
+each candidate of a fitting size is probed by binary search in the short and the long lists.  Lists whose documents are already one component are skipped, so a large
 group of near copies costs one pass and never all pairs.
 """
 
