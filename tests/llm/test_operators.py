@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pleat.llm import backoff_lm, bpe, fm_classifier, html_text, jaccard, metric_join, packing, pieces, pii, quality_rules, queries, secrets
 from pleat.llm.components import connected_components
@@ -69,6 +71,9 @@ def test_quality_rules(docs, none):
         assert r["word_chars"] == sum(map(len, w))
         assert r["n_symbols"] == sum(x in "#*$%&|<>" for x in t)
         assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["n_marked"] == sum(x[-1] in "#*$%&|<>" for x in w)
+        assert r["n_echoes"] == sum(x == y for x, y in zip(w, w[1:], strict=False))
+        assert r["n_capitals"] == sum("A" <= x <= "Z" for x in t)
         assert r["n_repeat_words"] == len(covered)
         assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (r["kept"] and r["base_failed"])
@@ -78,10 +83,11 @@ def test_quality_rules(docs, none):
 
 def python_em(counts):
     """The latent class fit in plain Python."""
-    k, size = len(quality_rules.VOTES), len(quality_rules.VOTES) + 1
     q = quality_rules
-    first = [[q.START_GOOD if c == 0 else q.START_HIT if c == 1 + r else q.START_PASS for r in range(k)] for c in range(size)]
-    shares = [q.START_PRIOR] + [(1 - q.START_PRIOR) / k] * k
+    k, size = len(q.VOTES), len(q.KINDS) + 1
+    kind = {r: c for c, pair in enumerate(q.KINDS.values(), 1) for r in pair}
+    first = [[q.START_GOOD if c == 0 else q.START_HIT if c == kind[r] else q.START_PASS for r in q.VOTES] for c in range(size)]
+    shares = [q.START_PRIOR] + [(1 - q.START_PRIOR) / (size - 1)] * (size - 1)
     prior, chance = list(shares), [[dict(f) for f in row] for row in first]
 
     def member(v):
@@ -103,12 +109,45 @@ def python_em(counts):
     return {v: member(v)[0] for v in counts}
 
 
+def votes_of(code):
+    size = len(quality_rules.VOTES)
+    return tuple(code // 3 ** (size - 1 - i) % 3 - 1 for i in range(size))
+
+
+def code_of(votes):
+    total = 0
+    for v in votes:
+        total = total * 3 + v + 1
+    return total
+
+
 def test_quality_rules_posterior_is_the_fit(docs):
     got = rows(quality_rules.judge(docs))
-    code = lambda p: tuple(p // 3 ** (len(quality_rules.VOTES) - 1 - i) % 3 - 1 for i in range(len(quality_rules.VOTES)))
-    want = python_em(Counter(code(r["pattern"]) for r in got))
+    want = python_em(Counter(votes_of(r["pattern"]) for r in got))
     for r in got:
-        assert r["posterior"] == pytest.approx(want[code(r["pattern"])], rel=1e-6, abs=1e-9)
+        assert r["posterior"] == pytest.approx(want[votes_of(r["pattern"])], rel=1e-6, abs=1e-9)
+
+
+@pytest.mark.parametrize("noisy", range(len(quality_rules.VOTES)))
+def test_a_noisy_rule_is_outvoted_and_a_pair_is_not(spark, noisy):
+    """One rule votes against a fifth of all texts at random: its lone votes do not reject, two of a kind do."""
+    rnd = random.Random(noisy)
+    size = len(quality_rules.VOTES)
+    faulty = lambda kind: tuple(-1 if r in pair else 1 for pair in [quality_rules.KINDS[kind]] for r in quality_rules.VOTES)
+    votes = [tuple(1 if rnd.random() < 0.97 else 0 for _ in range(size)) for _ in range(900)]
+    votes += [faulty(kind) for kind in quality_rules.KINDS for _ in range(25)]
+    votes = [tuple(-1 if i == noisy and rnd.random() < 0.2 else v for i, v in enumerate(vs)) for vs in votes]
+    counts = Counter(votes)
+    data = spark.createDataFrame([([(code_of(v), n) for v, n in counts.items()],)], "patterns array<struct<code:int,n:long>>")
+    model = data.select("patterns", quality_rules.expectation_maximisation(F.col("patterns")).alias("model"))
+    got = model.select(F.explode("patterns").alias("p"), "model").select("p.code", quality_rules.posterior(F.col("p.code"), F.col("model")).alias("q"))
+    post = {votes_of(r["code"]): r["q"] for r in got.collect()}
+    lone = tuple(-1 if i == noisy else 1 for i in range(size))
+    assert counts[lone] > 100 and post[lone] >= quality_rules.KEEP
+    for kind in quality_rules.KINDS:
+        assert post[faulty(kind)] < quality_rules.KEEP
+    want = python_em(counts)
+    assert all(post[v] == pytest.approx(want[v], rel=1e-6, abs=1e-9) for v in post)
 
 
 def luhn(d):
@@ -527,3 +566,27 @@ def test_ibans_before_short_capitals():
             assert found(f"IBAN {account}{after}") == want, (account, after)
     assert found("IBAN ES91 2100 0418 4502 0005 1333 BIC") == []
     assert found(f"IBAN AB12 CODE ABCD {spanish} BIC") == [spanish]
+
+
+def test_hostile_texts_take_linear_time_and_give_results():
+    start = time.perf_counter()
+    assert [x[:3] for x in pii.find("0" * 5000 + "1.2.3.4") if x[0] == "ip"] == [("ip", 0, 5007)]
+    assert [x for x in pii.find("9" * 5000 + ".2.3.4") if x[0] == "ip"] == []
+    for t in ("0" * 1_000_000, "1." * 500_000, "+1" * 500_000, "@a." * 300_000, "4 " * 500_000, "DE89 " * 200_000):
+        pii.find(t)
+    for t in ("user=" * 200_000, "a" * 1_000_000, "secret:" * 150_000, "AKIA" * 250_000, "x://" * 250_000, "\n \n" * 300_000):
+        secrets.find(t)
+    assert time.perf_counter() - start < 30
+    token = "".join("Aa0Bb1Cc2Dd3Ee4"[i % 15] + chr(97 + i * i % 26) for i in range(100))
+    text = f"user = jane.doe\nfile {token}"
+    assert {(k, text[a:b]) for k, a, b, _ in secrets.find(text)} == {("account", "user = jane.doe"), ("entropy", token)}
+
+
+def test_one_id_repeated_many_times_brings_one_row_to_the_fit(spark):
+    data = [(i, f"good prose number {i} here.", 1) for i in range(30)] + [(100 + i, f"bad### text### {i}###", 0) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    many = df.union(df.where("doc_id = 3").crossJoin(spark.range(500)).drop("id")).union(df.where("doc_id = 3").selectExpr("doc_id", "'zz last in order' as text", "quality"))
+    found = fm_classifier.labelled_rows(many, df.select("doc_id", "quality"), "doc_id", "text", 4000)
+    assert sorted(r["id"] for r in found.collect()) == sorted(i for i, _, _ in data if zlib.crc32(str(i).encode()) % 5)
+    one, other = (fm_classifier.fit_quality(x.drop("quality"), df.select("doc_id", "quality")) for x in (many, many.repartition(5)))
+    assert np.array_equal(one.weights, other.weights)
