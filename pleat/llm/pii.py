@@ -41,6 +41,12 @@ PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn":
 REPORT = 0.5
 
 
+def octet(part: str) -> bool:
+    """At most 255, with any number of leading zeros."""
+    digits = part.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -111,7 +117,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         for a, b in emails(text):
             add("email", a, b)
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in (m[0].partition(".")[0], m[1], m[2], m[3])):
+        if all(octet(p) for p in (m[0].partition(".")[0], m[1], m[2], m[3])):
             add("ip", m.start(), m.end())
     for m in CARD.finditer(text):
         d = digits_of(m[0])
