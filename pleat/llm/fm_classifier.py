@@ -154,15 +154,26 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents outside the held-out fifth; their features come to the driver.
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """At most ``sample`` rows (id, y, text) outside the held-out fifth, one for each id.
 
-    Null labels and ids are left out; of repeated labels the lowest counts. Which rows are taken
-    depends on their ids' hashes alone. The label table's size does not matter: a top-k by hash.
+    Null labels and ids are left out; of repeated labels the lowest counts, of several texts of one id
+    the one with the smallest hash (a null text counts as empty), chosen before anything leaves the
+    executors.  Which ids are taken depends on their hashes alone: a top-k, however large the tables.
     """
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull())
     own = own.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").select("id", "y", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(own), "id")
+    return texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "y", "t.text")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """Fit on ``labelled_rows``; their features, at most ``sample`` rows, come to the driver.
+
+    Without rows of both labels (empty tables too) every score is the smoothed share of label 1.
+    Input columns named otherwise than the ones given are never read.
+    """
+    texts = labelled_rows(docs, labels, id_col, text_col, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,16 +182,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 rows = [(idx[i:j].astype("<i4").tobytes(), val[i:j].astype("<f4").tobytes()) for i, j in zip(b[:-1], b[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "y", "i", "v"])
 
-    got = sorted({r["id"]: r for r in texts.mapInArrow(run, "id long, y int, i binary, v binary").collect()}.items())
-    rows = [(np.frombuffer(r["i"], "<i4").astype(np.int64), np.frombuffer(r["v"], "<f4")) for _, r in got]
-    return fit(rows, np.array([float(r["y"]) for _, r in got], dtype=np.float64))
+    got = sorted(texts.mapInArrow(run, "id long, y int, i binary, v binary").collect(), key=lambda r: r["id"])
+    rows = [(np.frombuffer(r["i"], "<i4").astype(np.int64), np.frombuffer(r["v"], "<f4")) for r in got]
+    return fit(rows, np.array([float(r["y"]) for r in got], dtype=np.float64))
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append score (0 to 1) and predicted (1 if score >= THRESHOLD) of each whole text.
 
-    Null and empty texts get the score of their statistics. All columns (or ``keep``) are carried;
-    one named like a new one is replaced. Ids, labels, lang and source are never read.
+    Null and empty texts get the score of their statistics. Repeated rows get the same score; an empty
+    table stays empty. All columns (or ``keep``) are carried; one named like a new one is replaced.
+    Ids, labels, lang and source are never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
