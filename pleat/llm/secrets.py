@@ -109,7 +109,11 @@ def redact(text: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret in ``text_col`` replaced by its kind in angle brackets; null stays null. Other columns are untouched."""
+    """``docs`` with every secret in ``text_col`` replaced by its kind in angle brackets.
+
+    Null stays null, an empty text empty; repeated rows are masked alike, an empty table stays empty.
+    Other columns are untouched, whatever their names.
+    """
     import pyarrow as pa
 
     def make():
