@@ -1,14 +1,18 @@
 """Main text of raw pages by composite text density (Sun, Song and Liao, 2011).
 
-Every element gets its characters, tags, link characters and link tags; its density is
-link-adjusted characters per tag.  The subtree with the largest sum of its children's densities is
-the article, with all siblings along the path to body that are as dense as the path's least dense
-element.  Elements that never hold an article's text are left out beforehand.
+Every element of the page, menus and footers too, gets its characters, tags, link characters and link
+tags; its density is link-adjusted characters per tag.  The subtree with the largest sum of its
+children's densities is the article's core.  The least density on its path to body is the threshold:
+siblings along the path that reach it belong to the article, the others do not.  Markup is only a tie
+break: beside the core, sparse headings and what stands in the core's own article or main element stay
+unless they are mostly links, as a page without links has so dense a body that a title falls short.
+Elements whose kind never is article text are left out of what is chosen from and written.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -23,21 +27,36 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}(?![a-z0-9:-])", re.I) for t in RAW}
+#: What swallows the rest of a page without any further end of a tag.
+TAIL = re.compile(r"<!--|<!\[CDATA\[|<[!?]")
 #: Elements whose content is never part of an article.
-OUT = frozenset("script style title noscript iframe template head nav footer aside form button select option textarea svg canvas object audio video dialog menu annotation annotation-xml map label input fieldset legend datalist".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
+OUT = frozenset("script style title noscript iframe template head nav footer aside form button select option textarea svg canvas audio video dialog menu annotation annotation-xml input fieldset legend datalist".split())
+#: Those that are not even measured: they hold no text of the page.
+UNSEEN = frozenset("script style title noscript iframe template head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul xmp".split())
 CELLS = frozenset("td th".split())
 #: What an open element is closed by, with the elements that shield it.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: By the tag that opens: what it may close.
+CLOSERS: dict[str, set[str]] = {}
+for _open, _tags in CLOSED_BY.items():
+    for _tag in _tags:
+        CLOSERS.setdefault(_tag, set()).add(_open)
 SHIELD = frozenset("ul ol dl table div section article body".split())
 #: Words of class and id that speak for menus, adverts, notices, sidebars, forms and reader comments (see ``settle``).
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|topbar|toolbar|footer|foot|share|sharing|social|related|recommend\w*|subscribe|subscription|newsletter|signup|login|search|pagination|pager|comment|comments|commentlist|disqus|reply|replies|respond|discussion|widget|skip|copyright|legal|disclaimer)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumb\w*|header|masthead|topbar|toolbar|footer|foot|share|sharing|social|related|recommend\w*|subscribe|subscription|newsletter|signup|login|search|pagination|pager|comment|comments|commentlist|disqus|reply|replies|respond|widget|skip|copyright|legal|disclaimer)(?:$|[\s_-]|\d)",
+    re.I,
+)
+#: Within article or main only names of menus, sidebars, notices, adverts, forms and sharing count.
+ASIDE_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notices|popup|modal|overlay|sidebar|menu|nav|navbar|navigation|breadcrumb\w*|share|sharing|social|subscribe|subscription|newsletter|signup|login|pagination|pager|comment|comments|commentlist|disqus|reply|replies|respond)(?:$|[\s_-]|\d)",
     re.I,
 )
 #: Those of them that mark what readers wrote, which no layout wrapper is named by.
-READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|reply|replies|respond|discussion)(?:$|[\s_-]|\d)", re.I)
+READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|reply|replies|respond)(?:$|[\s_-]|\d)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
@@ -53,8 +72,9 @@ class Node:
 
 
 def is_aside(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element stands outside any article, and else what its class and id name: layout, readers or nothing.
+    """Whether an element stands outside any article, and else what its class and id name: readers, a kind, layout or nothing.
 
+    A class or id that is such a word as a whole names a kind, one that holds it among others a layout.
     ``inside``: within article or main, where a header holds the title.
     """
     if tag in OUT or (tag == "header" and not inside):
@@ -67,8 +87,9 @@ def is_aside(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
         if name in ("class", "id"):
             if READERS.search(value):
                 named = "readers"
-            elif tag != "article" and ASIDE.search(value) and not (inside and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value, re.I) and not ASIDE.search(re.sub(r"header", "", value, flags=re.I))):
-                named = named or "layout"
+            elif tag != "article" and (ASIDE_INSIDE if inside else ASIDE).search(value):
+                whole = any((ASIDE_INSIDE if inside else ASIDE).fullmatch(w) for w in value.split())
+                named = named or ("kind" if whole else "layout")
         elif tag == "article":
             continue
         elif name == "hidden" or name == "role" and value.lower() in ROLES:
@@ -81,9 +102,10 @@ def is_aside(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
 def settle(root: Node) -> None:
     """Leave out elements that are named as asides where their text agrees with the name.
 
-    A name is no evidence on an element that holds an article, main or most of the page's text.  What
-    readers wrote and what is mostly links goes by its name; other text only in small elements (a
-    quarter of the page's text), and not if these together are most of the page.
+    A name is no evidence on an element that holds an article or main, nor on one with most of the
+    page's text unless the page has an article or main elsewhere.  What readers wrote, what is named by
+    a kind alone and what is mostly links goes by its name; other text only in small elements (a quarter
+    of the page's text), and not if these together are most of the page.
     """
     order, stack = [], [root]
     while stack:
@@ -99,10 +121,10 @@ def settle(root: Node) -> None:
             else:
                 node.size += c.size
                 node.links += c.size if node.tag == "a" else c.links
-                node.holds = node.holds or c.holds or (c.tag in ("article", "main") and not c.out and not c.named)
+                node.holds = node.holds or c.holds or (c.tag in ("article", "main") and not c.out and not c.named and c.size > 0)
     for node in order:
-        if node.named and not node.holds and 2 * node.size <= root.size:
-            node.out = node.out or node.named == "readers" or 2 * node.links >= node.size
+        if node.named and not node.holds and (2 * node.size <= root.size or root.holds and node.named != "layout"):
+            node.out = node.out or node.named != "layout" or 2 * node.links >= node.size
     small, covered = [], set()
     for node in order:
         if node.out or node.parent is not None and id(node.parent) in covered:
@@ -116,74 +138,98 @@ def settle(root: Node) -> None:
 
 
 def parse(html: str) -> Node:
-    """Forgiving tree of a page; unclosed and stray tags are resolved as browsers roughly do."""
+    """Forgiving tree of a page, in one pass; unclosed and stray tags are resolved as browsers roughly do."""
     root = here = Node("html", None, False)
-    depth = {"article": 0, "main": 0}
-    named = False
+    opened: Counter[str] = Counter()  # open elements by tag, so that stray tags need not be searched for
+    named = body = False
+
+    def leave(upto: Node) -> Node:
+        node = here
+        while node is not upto:
+            opened[node.tag] -= 1
+            node = node.parent
+        return node
+
     at, n = 0, len(html)
+    last = html.rfind(">") + 1  # no tag ends beyond
     while at < n:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else n]
+        m = TOKEN.search(html, at, last) if at < last else None
+        text = html[at : m.start()] if m else html[at:last] if at < last else ""
         if text:
             here.items.append(unescape(text))
         if not m:
+            rest = html[max(at, last) :]
+            tail = TAIL.search(rest)
+            here.items.append(unescape(rest[: tail.start()] if tail else rest))
+            if tail and tail[0] == "<![CDATA[":
+                here.items.append(rest[tail.end() :])
             break
         at = m.end()
+        if m.end() == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # a comment that never ends
         tag = (m[3] or m[7] or "").lower()
         if not tag:
             if m[1]:
                 here.items.append(m[1])
             continue
         if m[2] or m[6]:  # end tag
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = leave(up.parent)
+            continue
+        if any(opened[t] for t in CLOSERS.get(tag, ())):
             up = here
-            while up is not root and up.tag != tag:
+            while up is not root and up.tag not in SHIELD:
+                if tag in CLOSED_BY.get(up.tag, ()):
+                    here = leave(up.parent)
+                    break
                 up = up.parent
-            if up is not root:
-                while here is not up.parent:
-                    if here.tag in depth:
-                        depth[here.tag] -= 1
-                    here = here.parent
-            continue
-        up = here
-        while up is not root and up.tag not in SHIELD:
-            if tag in CLOSED_BY.get(up.tag, ()):
-                while here is not up.parent:
-                    here = here.parent
-                break
-            up = up.parent
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(c, Node) and c.tag == "body" for c in root.items)):
+        if tag == "html" or tag == "body" and body:
             continue
-        inside = depth["article"] > 0 or depth["main"] > 0
+        body = body or tag == "body"
+        inside = opened["article"] > 0 or opened["main"] > 0
         node = Node(tag, here, *is_aside(tag, m[4] or m[8] or "", inside))
         named = named or bool(node.named)
         here.items.append(node)
         if tag in RAW:
             end = RAW_END[tag].search(html, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[5]:
-            here = node
-            if tag in depth:
-                depth[tag] += 1
-        elif m[5] and tag not in VOID and tag not in ("br", "hr"):
+            if tag == "xmp":
+                node.items.append(html[at : end.start() if end else n])
+            at = html.find(">", end.end()) + 1 if end else n
+            if not at:
+                break
+        elif tag not in VOID:
             here = node
-            if tag in depth:
-                depth[tag] += 1
+            opened[tag] += 1
     if named:
         settle(root)
     return root
 
 
 def elements(root: Node) -> list[Node]:
-    """All kept elements, parents first, without recursion."""
+    """All elements that may hold text, parents first, without recursion."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(c for c in reversed(node.items) if isinstance(c, Node) and not c.out)
+        stack.extend(c for c in reversed(node.items) if isinstance(c, Node) and c.tag not in UNSEEN)
     return out
 
 
+def density(c: int, t: int, lc: int, lt: int, ratio: float) -> float:
+    """Composite text density of c characters, t tags, lc characters and lt tags of links; ratio is body's share of link text."""
+    if not c:
+        return 0.0
+    plain = max(c - lc, 1)
+    t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
+    base = log(c / plain * lc + ratio * c + e)
+    return max(0.0, c / t * log(max(c / lc * t / lt, 1e-9)) / max(log(base), 1e-9))
+
+
 def measure(nodes: list[Node]) -> None:
+    """Densities of all elements, and of each the sum of its children's."""
     for node in reversed(nodes):
         link = node.tag == "a"
         for c in node.items:
@@ -191,51 +237,50 @@ def measure(nodes: list[Node]) -> None:
                 size = len(" ".join(c.split()))
                 node.chars += size
                 node.link_chars += size if link else 0
-            elif not c.out:
+            elif c.tag not in UNSEEN:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.chars if link else c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
-    body = nodes[0]
-    ratio = body.link_chars / max(body.chars, 1)
+    ratio = nodes[0].link_chars / max(nodes[0].chars, 1)
     for node in nodes:
-        c, t, lc, lt = max(node.chars, 1), max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        if node.chars:
-            base = log(c / max(node.chars - node.link_chars, 1) * lc + ratio * c + e)
-            node.density = max(0.0, c / t * log(max(c / lc * t / lt, 1e-9)) / max(log(base), 1e-9)) if base > 1 + 1e-9 else c / t
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
     for node in nodes:
-        node.total = sum(c.density for c in node.items if isinstance(c, Node) and not c.out)
+        node.total = sum(c.density for c in node.items if isinstance(c, Node) and not c.out and c.tag not in UNSEEN)
 
 
 def article(root: Node) -> Node | None:
+    """The element that holds the article, its sparse siblings marked as out."""
     nodes = elements(root)
     measure(nodes)
-    if not nodes[0].chars:
+    open_, stack = [], [root]
+    while stack:  # what is not left out, with all its ancestors
+        node = stack.pop()
+        open_.append(node)
+        stack.extend(c for c in reversed(node.items) if isinstance(c, Node) and not c.out and c.tag not in UNSEEN)
+    if not root.chars:
         return None
-    marked = [x for x in nodes if x.tag in ("article", "main") and x.chars]
-    best = max(nodes, key=lambda x: x.total)
+    best = max(open_, key=lambda x: x.total)
     if best.total <= 0:
-        best = nodes[0]
-    for x in marked:  # an article element around the densest subtree, or the fullest one
-        up = best
-        while up is not None and up is not x:
-            up = up.parent
-        if up is x and x.tag == "article":
-            return x
-    if marked:
-        full = max(marked, key=lambda x: (x.chars - x.link_chars, x.tag == "article"))
-        if 2 * (full.chars - full.link_chars) >= best.chars - best.link_chars:
-            return full
-    least, up = best.density, best
+        best = root
+    least, up, own = best.density, best, None
     while up is not None:
-        least, up = min(least, up.density), up.parent
+        least = min(least, up.density)
+        own = up if up.tag == "article" or up.tag == "main" and own is None else own
+        up = up.parent
     top, sparse, here = best, [], best
+    within = own is not None and best is not own
     while here.parent is not None:
-        beside = [c for c in here.parent.items if isinstance(c, Node) and not c.out and c is not here and c.chars]
-        sparse += [c for c in beside if c.density < least]
+        for c in here.parent.items:
+            if isinstance(c, Node) and c is not here and c.chars and not c.out:
+                if c.density >= least or (within or c.tag in HEADINGS) and 2 * c.link_chars < c.chars:
+                    top = here.parent
+                else:
+                    sparse.append(c)
+            elif isinstance(c, str) and within and c.strip():
+                top = here.parent
         here = here.parent
-        if any(c.density >= least for c in beside):
-            top = here
+        within = within and here is not own
     for c in sparse:
         c.out = True
     return top
@@ -274,8 +319,10 @@ def main_text(html: str | None) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Append text (empty if there is none) and n_chars (its code points) of each whole page.
 
-    A null or empty page has the empty text. Repeated rows are read alike; all columns (or ``keep``)
-    are carried, one named text or n_chars is replaced. An empty table stays empty.
+    A null or empty page has the empty text. Markup that never ends swallows what a browser would
+    swallow: an open comment, script or style the rest of the page; an unfinished tag is text. Repeated
+    rows are read alike; all columns (or ``keep``) are carried, one named text or n_chars is replaced.
+    An empty table stays empty. Pages of any length take one pass.
     """
 
     def make():

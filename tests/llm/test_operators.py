@@ -590,3 +590,61 @@ def test_one_id_repeated_many_times_brings_one_row_to_the_fit(spark):
     assert sorted(r["id"] for r in found.collect()) == sorted(i for i, _, _ in data if zlib.crc32(str(i).encode()) % 5)
     one, other = (fm_classifier.fit_quality(x.drop("quality"), df.select("doc_id", "quality")) for x in (many, many.repartition(5)))
     assert np.array_equal(one.weights, other.weights)
+
+
+def brute_measures(node):
+    """(characters, tags, link characters, link tags) of an element by recursion."""
+    c = t = lc = lt = 0
+    for x in node.items:
+        if isinstance(x, str):
+            c += len(" ".join(x.split()))
+            lc += len(" ".join(x.split())) if node.tag == "a" else 0
+        elif x.tag not in html_text.UNSEEN:
+            a, b, d, f = brute_measures(x)
+            c, t, lc, lt = c + a, t + b + 1, lc + (a if node.tag == "a" else d), lt + f + (x.tag == "a")
+    return c, t, lc, lt
+
+
+def random_page(rnd, depth=0):
+    out = []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.choice(["div", "p", "section", "ul", "a", "nav", "footer", "h2"] if depth < 4 else ["p", "a", "b"])
+        inner = random_page(rnd, depth + 1) if kind in ("div", "section", "ul", "nav") and rnd.random() < 0.8 else " ".join(["word"] * rnd.randint(0, 30))
+        out.append(f"<{kind}>{inner}</{kind}>")
+    return "".join(out)
+
+
+def test_density_decides_which_subtree_is_the_article():
+    rnd = random.Random(21)
+    for _ in range(300):
+        root = html_text.parse(f"<body>{random_page(rnd)}</body>")
+        nodes = html_text.elements(root)
+        top = html_text.article(root)
+        c, _, lc, _ = brute_measures(root)
+        for node in nodes:
+            c1, t1, lc1, lt1 = brute_measures(node)
+            want = 0.0
+            if c1:
+                x, y = max(lc1, 1), max(t1, 1)
+                base = math.log(c1 / max(c1 - lc1, 1) * x + lc / max(c, 1) * c1 + math.e)
+                want = max(0.0, c1 / y * math.log(c1 / x * y / max(lt1, 1)) / math.log(base))
+            assert node.density == pytest.approx(want, rel=1e-9)
+        inside = lambda x, y: x is y or (x.parent is not None and inside(x.parent, y))
+        left = [x for x in nodes if not any(inside(x, y) for y in nodes if y.out)]
+        sums = {id(x): sum(k.density for k in x.items if isinstance(k, html_text.Node) and not k.out) for x in nodes}
+        best = max(left, key=lambda x: x.total)
+        assert top is None or best.total <= 0 or inside(best, top)
+        assert all(sums[id(x)] <= best.total + 1e-9 for x in left)
+
+
+def test_article_text_is_dropped_for_no_name_and_pages_take_one_pass():
+    body = f'<h2>Discussion</h2>{prose(2, 2)}'
+    want = html_text.main_text(f"<article>{prose(1)}{body}<p>Law is a body of text.</p><p>&lt;b&gt;raw</p></article>")
+    assert html_text.main_text(f'<article>{prose(1)}<section id="discussion">{body}</section><div class="legal"><p>Law is a body of text.</p></div><xmp><b>raw</xmp></article>') == want
+    short = '<body><nav><a href="/a">Home</a></nav><div class="ad">An advert that is longer than the article beside it, by far.</div><article><h1>Tiny.</h1><p>Tiny text.</p></article></body>'
+    assert html_text.main_text(short) == "Tiny.\nTiny text."
+    start = time.perf_counter()
+    assert html_text.main_text("<a " * 350_000) == ("<a " * 350_000).strip()
+    for page in ("<script>" + "</script " * 120_000, "</script " * 120_000, "<div>" * 60_000 + "</p>" * 60_000, "<p>" + "<b>" * 60_000 + "<li>" * 30_000, '<a "' * 200_000, "<!--" * 200_000, "<a '><b \">" * 30_000):
+        html_text.main_text(page)
+    assert time.perf_counter() - start < 20
