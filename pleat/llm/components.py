@@ -11,11 +11,29 @@ from pyspark.sql import functions as F
 
 from .runtime import cut
 
+#: A node with more edges than LIGHT and than a MOST-th of all is looked up by a broadcast instead of a
+#: shuffle. However large the graph, there are fewer than MOST such nodes.
+LIGHT, MOST = 256, 8192
+
+
+def with_least(e: DataFrame, n: int) -> DataFrame:
+    """``e`` (u, v), of at most n rows and without nulls, with m, the least v of each u.
+
+    The answers of nodes with many edges are broadcast (fewer than MOST rows) and their edges stay
+    where they are, so no node's edges meet in one task.
+    """
+    low = cut(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")))
+    limit = max(LIGHT, n // MOST)
+    heavy = low.where(F.col("d") > limit).select("u", F.col("m").alias("hm"))
+    met = e.join(F.broadcast(heavy), "u", "left")
+    light = met.where("hm is null").select("u", "v").join(low.where(F.col("d") <= limit).select("u", "m"), "u")
+    return met.where("hm is not null").select("u", "v", F.col("hm").alias("m")).unionByName(light)
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long) -> (node, component), component the smallest node reachable; only nodes with an edge to another node.
 
-    Nulls and loops are ignored, repeated edges count once.
+    Nulls and loops are ignored, repeated edges count once; no edges give no rows.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -24,12 +42,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _digest(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = with_least(both, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        least = with_least(cut(large), seen[0])
         small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+            least.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()

@@ -1,25 +1,29 @@
-"""N-gram Jaccard join by T-occurrence search (candidates from short lists, probed in short and long ones).
+"""N-gram Jaccard join by T-occurrence search with DivideSkip (Li, Lu and Lu, 2008).
 
 Plan: texts with equal shingle sets collapse to one class.  Every shingle's corpus frequency is
 counted; among its rarest shingles (as many as any partner must share one of) a class is met only
 through those that another class has too.  Classes that meet form candidate blocks, found by stars
-and distributed components.  A link can only lie inside a block.  Each block
-runs the T-occurrence search over its own inverted lists: with threshold T on a query's overlap, its
-T - 1 longest lists are set aside, the short rest is concatenated and made unique without counts, and
-each candidate of a fitting size is probed by binary search in the short and the long lists.  Lists whose documents are already one component are skipped, so a large
-group of near copies costs one pass and never all pairs.
+and distributed components.  A link can only lie inside a block.  Each block runs the T-occurrence
+search over its own inverted lists: a query needs T of its shingles in any larger partner, so some of
+its longest lists are set aside, the short ones are merged on a heap that skips what cannot reach the
+remaining threshold, and each candidate is probed in the long lists by binary search.  Lists whose
+documents are already one component are skipped, so a large group of near copies costs one pass and
+never all pairs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, with_least
 from .counts import answered, chunk_of, counts_of, deal
 from .runtime import cut, split_batch
 from .words import U64, mix, shingle_sets
@@ -30,6 +34,10 @@ RARITY_BITS = 44
 SHIFT = U64(64 - RARITY_BITS)
 #: A block of more shingles is dealt to cells, one for each pair of its parts, so that a task's memory is bounded.
 BLOCK_SHINGLES = 2_000_000
+#: The published cost ratio of a probe to a step of the merge, by which lists are called long.
+MU = 0.0085
+#: Unions after which lists are tested anew for documents of other components.
+STALE = 256
 
 
 def need(n, pct: int):
@@ -60,15 +68,71 @@ class Forest:
         self.members[a] += moved
 
 
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(document, count) of each document that at least ``least`` of the sorted lists hold, in order.
+
+    The lists' fronts lie on a heap.  If the smallest document is in too few of them, ``least - 1``
+    fronts are popped and their lists jump to the document that is then smallest: what they skip is in
+    fewer than ``least`` lists.
+    """
+    at = [0] * len(lists)
+    heap = [(own[0], k) for k, own in enumerate(lists) if own]
+    heapify(heap)
+    while len(heap) >= least:
+        doc = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == doc:
+            popped.append(heappop(heap)[1])
+        if len(popped) >= least:
+            yield doc, len(popped)
+            wanted = doc + 1
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                return
+            wanted = heap[0][0]
+        for k in popped:
+            own = lists[k]
+            at[k] = bisect_left(own, wanted, at[k])
+            if at[k] < len(own):
+                heappush(heap, (own[at[k]], k))
+
+
+def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(document, count) of each document that at least ``least`` of the sorted lists hold.
+
+    The longest lists, fewer than ``least``, are set aside; the rest is merged for the threshold that
+    is left, and the candidates are probed in the long lists.
+    """
+    if len(lists) < least:
+        return
+    lists = sorted(lists, key=len, reverse=True)
+    aside = min(least - 1, int(least / (MU * log2(max(len(lists[0]), 2)) + 1)))
+    for doc, count in merge_skip(lists[aside:], least - aside):
+        for own in lists[:aside]:
+            i = bisect_left(own, doc)
+            count += i < len(own) and own[i] == doc
+        if count >= least:
+            yield doc, count
+
+
 def link_sets(sets: list[np.ndarray], pct: int) -> np.ndarray:
-    """Component label of each set, sets linked when 100 * intersection >= pct * union. T-occurrence with DivideSkip."""
+    """Component label of each set, sets linked when 100 * intersection >= pct * union.
+
+    Sets are numbered by size, so that a query only looks for partners of its own size or more; these
+    share at least 2 * pct / (100 + pct) of its shingles.  A first pass tries each set against the
+    first one of each of its rarest lists, which joins large groups of near copies at once.
+    """
     n = len(sets)
     forest = Forest(n)
+    by_size = np.argsort([len(s) for s in sets], kind="stable") if n else np.zeros(0, np.int64)
+    sets = [sets[i] for i in by_size]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     tokens = np.concatenate(sets) if n else np.zeros(0, U64)
-    doc = np.repeat(np.arange(n, dtype=np.int32), size)
     if not len(tokens):
         return forest.label
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
     order = np.argsort(tokens, kind="stable").astype(np.int32)
     tokens = tokens[order]
     fresh = np.append(True, tokens[1:] != tokens[:-1])
@@ -84,52 +148,57 @@ def link_sets(sets: list[np.ndarray], pct: int) -> np.ndarray:
     del group
     start = np.cumsum(size) - size
 
-    def lists(x: int) -> tuple[np.ndarray, np.ndarray]:
+    def lists(x: int) -> np.ndarray:
         own = rank[start[x] : start[x] + size[x]].astype(np.int64)
-        own = own[np.argsort(length[own], kind="stable")]
-        short = size[x] - need(size[x], pct) + 1
-        return own[:short], own[short:]
+        return own[np.argsort(length[own], kind="stable")]
 
-    def overlaps(x: int, others: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def overlaps(own: np.ndarray, others: np.ndarray) -> np.ndarray:
         probe = (own[:, None] * n + others[None, :]).ravel()
         at = np.searchsorted(keys, probe)
         at[at == len(keys)] = 0
         return (keys[at] == probe).reshape(len(own), -1).sum(axis=0)
 
-    def linked(x: int, others: np.ndarray, short: np.ndarray, long: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """Which candidates reach the overlap; ``shared`` holds their counts in the short lists."""
-        total = shared + overlaps(x, others, long)
-        return others[100 * total >= pct * (size[x] + size[others] - total)]
-
-    def fits(x: int, others: np.ndarray) -> np.ndarray:
-        return others[(100 * size[others] >= pct * size[x]) & (100 * size[x] >= pct * size[others])]
-
-    for x in range(n):  # stars: the first document of each short list
+    for x in range(n):  # stars: the first document of each rare list
         if size[x]:
-            short, long = lists(x)
-            firsts = np.unique(posting[head[short]])
-            firsts = fits(x, firsts[forest.label[firsts] != forest.label[x]])
-            for y in firsts:
+            own = lists(x)
+            firsts = np.unique(posting[head[own[: size[x] - need(size[x], pct) + 1]]])
+            firsts = firsts[(100 * size[firsts] >= pct * size[x]) & (forest.label[firsts] != forest.label[x])]
+            for y in firsts.tolist():
                 if forest.label[y] != forest.label[x]:
-                    one = np.array([y])
-                    if len(linked(x, one, short, long, overlaps(x, one, short))):
-                        forest.union(x, int(y))
-    label = forest.label[posting]
-    mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
+                    shared = int(overlaps(own, np.array([y]))[0])
+                    if 100 * shared >= pct * (size[x] + size[y] - shared):
+                        forest.union(x, y)
+
+    def open_lists() -> np.ndarray:
+        label = forest.label[posting]
+        return np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
+
+    mixed, unions = open_lists(), 0
     for x in range(n):  # all others, in lists that still hold more than one component
         if not size[x]:
             continue
-        short, long = lists(x)
-        open_lists = short[mixed[short]]
-        if not len(open_lists):
+        own = lists(x)
+        own = own[mixed[own]]
+        least = -(-2 * pct * int(size[x]) // (100 + pct))
+        if len(own) < least:
             continue
-        met = np.concatenate([posting[head[t] : head[t] + length[t]] for t in open_lists])
-        met = fits(x, np.unique(met[forest.label[met] != forest.label[x]]))
-        for piece in np.array_split(met, max(1, len(met) * size[x] // 2_000_000)):
-            if len(piece):
-                for y in linked(x, piece, short, long, overlaps(x, piece, short)):
-                    forest.union(x, int(y))
-    return forest.label
+        most = np.searchsorted(size, 100 * size[x] // pct, side="right")
+        found = []
+        for t in own.tolist():
+            docs = posting[head[t] : head[t] + length[t]]
+            docs = docs[(docs > x) & (docs < most)]
+            docs = docs[forest.label[docs] != forest.label[x]]
+            if len(docs):
+                found.append(docs.tolist())
+        for y, shared in divide_skip(found, least):
+            if 100 * shared >= pct * (size[x] + size[y] - shared) and forest.label[x] != forest.label[y]:
+                forest.union(x, y)
+                unions += 1
+        if unions >= STALE:
+            mixed, unions = open_lists(), 0
+    label = np.empty(n, dtype=np.int64)
+    label[by_size] = by_size[forest.label]
+    return label
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -139,7 +208,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a null or empty one has none and links with nothing.  Two sets link when
     100 * intersection >= percent * union; component_id is the smallest id reachable by links.
     Rows with a null id have component_id null and link with nothing; repeated rows each keep their
-    row, rows that share an id but not a text are joined through that id.  Other columns are ignored.
+    row, rows that share an id but not a text are joined through that id.  An empty table stays empty.
+    Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -199,8 +269,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = cut(cogroups.applyInArrow(rarest, "s1 long, s2 long, tokens array<long>, text string"))
 
     # star of each shingle: every class with the smallest class that shares it
-    shared = met.select(F.explode("tokens").alias("token"), "s1")
-    stars = shared.withColumn("m", F.min("s1").over(Window.partitionBy("token"))).where("s1 <> m").select(F.col("s1").alias("u"), F.col("m").alias("v"))
+    shared = met.select(F.explode("tokens").alias("u"), F.col("s1").alias("v"))
+    rows = met.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    stars = with_least(shared, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     blocks = cut(connected_components(stars).withColumnRenamed("node", "s1").withColumnRenamed("component", "block"))
 
     named = meta.where("id is not null and n > 0")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pleat.llm import backoff_lm, bpe, fm_classifier, html_text, jaccard, metric_join, packing, pieces, pii, quality_rules, queries, secrets
+from pleat.llm import backoff_lm, bpe, components, fm_classifier, html_text, jaccard, metric_join, packing, pieces, pii, quality_rules, queries, secrets
 from pleat.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -386,6 +386,26 @@ def test_t_occurrence_search_matches_all_pairs():
         assert groups(label.tolist()) == groups([want[i] for i in range(len(own))])
 
 
+def test_merges_count_every_occurrence():
+    rnd = random.Random(17)
+    for _ in range(400):
+        lists = [sorted(rnd.sample(range(60), rnd.randint(0, 40))) for _ in range(rnd.randint(1, 14))]
+        count = Counter(d for own in lists for d in own)
+        for least in range(1, len(lists) + 1):
+            want = [(d, c) for d, c in sorted(count.items()) if c >= least]
+            assert list(jaccard.merge_skip(lists, least)) == want
+            assert list(jaccard.divide_skip(lists, least)) == want
+
+
+def test_long_lists_are_probed_and_not_merged(monkeypatch):
+    steps = []
+    plain = jaccard.merge_skip
+    monkeypatch.setattr(jaccard, "merge_skip", lambda lists, least: (steps.append((len(lists), least)), plain(lists, least))[1])
+    lists = [list(range(1000)) for _ in range(8)] + [[7, 9], [7], [7, 800]]
+    assert list(jaccard.divide_skip(lists, 10)) == [(7, 11)]
+    assert steps == [(2, 1)]  # 9 of 11 lists are long and leave a threshold of 1
+
+
 def test_large_blocks_are_dealt_to_cells(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
     got = {(r["doc_id"], r["component_id"]) for r in rows(jaccard.jaccard_components(docs, words=4, percent=85))}
@@ -393,9 +413,11 @@ def test_large_blocks_are_dealt_to_cells(docs, monkeypatch):
     assert {p for p in got if p[0] is not None} == set(brute_components(sets, 85).items())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("light", [256, 2])
+def test_components(spark, monkeypatch, light):
+    monkeypatch.setattr(components, "LIGHT", light)
     rnd = random.Random(8)
-    edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 430)] + [(7, 7), (None, 3)]
+    edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(180)] + [(600, 600 + i) for i in range(1, 40)] + [(i, i + 1) for i in range(400, 430)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in rows(connected_components(spark.createDataFrame(edges, "u long, v long")))}
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
