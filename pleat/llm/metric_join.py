@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -67,7 +67,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors of one label link when their cosine in double precision is at least ``cosine``; exact
     copies collapse first and count as links of each other.  A null label, id or vector, a zero one
     or one with a null or non-finite component links with nothing (component_id is its own id).
-    Vectors of another length link only among themselves.  Other columns are ignored.
+    Vectors of another length link only among themselves.  An empty table stays empty; rows that share
+    an id are vectors of their own.  Other columns are ignored.
+
+    Pivots are drawn by a hash at a label's own rate, without ranking a label's vectors; at most PIVOTS
+    of at most LABELS labels are collected and broadcast.  Fewer pivots only make cells larger.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
     label_type = rows.schema["label"].dataType.simpleString()
@@ -80,12 +84,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         .withColumn("dim", F.length("vec"))
     )
     spark = vectors.sparkSession
-    big = classes.groupBy("label", "dim").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "label").limit(LABELS)
-    big = big.withColumn("k", F.ceil(F.col("count") / CELL)).select("label", "dim", "k")
-    first = Window.partitionBy("label", "dim").orderBy(F.xxhash64("cid"), "cid")
-    sample = classes.join(F.broadcast(big), ["label", "dim"]).withColumn("r", F.row_number().over(first)).where(f"r <= k and r <= {PIVOTS}")
+    big = classes.groupBy("label", "dim").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "label", "dim").limit(LABELS)
+    # pivots are the classes whose hash falls under their label's rate: one for each CELL vectors of it
+    draw = F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 40)).cast("double")
+    drawn = classes.join(F.broadcast(big), ["label", "dim"]).where(draw * F.col("count") < (1 << 40) * F.ceil(F.col("count") / CELL).cast("double"))
     pivots: dict[tuple, list[bytes]] = {}
-    for p in sample.orderBy("r", "label").limit(PIVOTS).select("label", "dim", "vec").collect():
+    for p in drawn.orderBy(draw, "cid").limit(PIVOTS).select("label", "dim", "vec").collect():
         pivots.setdefault((p["label"], p["dim"]), []).append(bytes(p["vec"]))
     shared = spark.sparkContext.broadcast({k: unit(v) for k, v in pivots.items()})
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
