@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, with_least
-from .counts import answered, chunk_of, counts_of, deal
+from .counts import answered, counts_of, deal, grain
 from .runtime import cut, split_batch
 from .words import U64, mix, shingle_sets
 
@@ -34,6 +34,8 @@ RARITY_BITS = 44
 SHIFT = U64(64 - RARITY_BITS)
 #: A block of more shingles is dealt to cells, one for each pair of its parts, so that a task's memory is bounded.
 BLOCK_SHINGLES = 2_000_000
+#: Chunks of texts to a bucket of counts, so that chunks spread evenly.
+CHUNKS = 3
 #: The published cost ratio of a probe to a step of the merge, by which lists are called long.
 MU = 0.0085
 #: Unions after which lists are tested anew for documents of other components.
@@ -212,7 +214,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +239,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), part.column(1).take(pa.array(rows, pa.int64()))], names=["s1", "text"])
 
-    texts = docs.mapInArrow(distinct, "s1 long, text string").withColumn("chunk", chunk_of("s1", spark))
+    parts = grain(docs)
+    texts = docs.mapInArrow(distinct, "s1 long, text string").withColumn("chunk", F.pmod("s1", F.lit(CHUNKS * parts)))
     texts = deal(texts.select("chunk", "text"))
-    answers = answered(texts, lambda t: tally(chunk_sets(t, words)[0]), RARITY_BITS)
+    answers = answered(texts, lambda t: (*tally(chunk_sets(t, words)[0]), 0), RARITY_BITS, parts)
 
     def rarest(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         """Classes that share one of their rarest shingles with another, with those shingles."""

@@ -670,3 +670,30 @@ def test_article_text_is_dropped_for_no_name_and_pages_take_one_pass():
     for page in ("<script>" + "</script " * 120_000, "</script " * 120_000, "<div>" * 60_000 + "</p>" * 60_000, "<p>" + "<b>" * 60_000 + "<li>" * 30_000, '<a "' * 200_000, "<!--" * 200_000, "<a '><b \">" * 30_000):
         html_text.main_text(page)
     assert time.perf_counter() - start < 20
+
+
+def relational_backoff(docs, order=3, floor=2):
+    """The same scores by plain relations: exploded n-grams joined to count tables."""
+    w = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "), " "), lambda x: F.length(x) > 0)
+    rows_ = docs.select(F.monotonically_increasing_id().alias("row"), w.alias("w")).select("row", F.posexplode("w").alias("i", "x"), "w")
+    gram = lambda n, back=0: F.when(F.col("i") >= n - 1 + back, F.array_join(F.slice("w", F.col("i") - n - back + 2, n), " "))
+    exploded = rows_.select("row", "i", *[gram(n).alias(f"g{n}") for n in range(1, order + 1)], *[gram(n, 1).alias(f"c{n}") for n in range(1, order)])
+    total = exploded.count()
+    for n in range(1, order + 1):
+        table = exploded.where(f"g{n} is not null").groupBy(f"g{n}").agg(F.count("*").alias("n")).cache()
+        exploded = exploded.join(table.withColumnRenamed("n", f"n{n}"), f"g{n}", "left")
+        if n < order:
+            exploded = exploded.join(table.select(F.col(f"g{n}").alias(f"c{n}"), F.col("n").alias(f"m{n}")), f"c{n}", "left")
+    s = F.log(F.col("n1") / total)
+    for n in range(2, order + 1):
+        s = F.when(F.col(f"n{n}") >= floor, F.log(F.col(f"n{n}") / F.col(f"m{n - 1}"))).otherwise(s + F.when(F.col("i") >= n - 1, F.log(F.lit(0.4))).otherwise(0.0))
+    return exploded.groupBy("row").agg(F.count("*").alias("n"), F.sum(s).alias("s"))
+
+
+def test_backoff_is_the_relational_join(docs, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", 3000)
+    some = docs.union(docs.where("doc_id = 12")).union(docs.where("doc_id = 12"))
+    want = sorted((r["n"], round(r["s"], 6)) for r in relational_backoff(some).collect())
+    got = rows(backoff_lm.score_backoff(some, keep=["doc_id", "lang"]))
+    assert sorted((r["n_words"], round(r["log_score"], 6)) for r in got if r["n_words"]) == want
+    assert len(got) == some.count() and all(r["lang"] == "en" for r in got)
