@@ -327,6 +327,69 @@ def test_packer_respects_every_limit():
         assert sum(packing.loss_tokens(s, n) for s, n, _ in own) <= 40
 
 
+def plain_pack(items, limits):
+    """The dot-product heuristic in plain Python: the pieces of each sequence, the last one unfilled."""
+    cap = (limits.tokens, limits.segments, limits.loss)
+    items = [list(x) for x in items]
+    size = lambda x: (x[2], 1, packing.loss_tokens(*x[1:]))
+    demand = [sum(size(x)[d] for x in items) / cap[d] / cap[d] ** 2 for d in range(3)]
+    out = []
+    while items:
+        left, own = list(cap), []
+        while items and left[0] > 0:
+            fits = [x for x in items if all(size(x)[d] <= left[d] for d in range(3))]
+            best = max(fits, key=lambda x: sum(size(x)[d] * demand[d] * left[d] for d in range(3)), default=None)
+            if best is None or (left[1] == 1 and best[2] < left[0]):
+                best = max(items, key=lambda x: x[2])
+                take = min(left[0], max(0, best[3] - best[1]) + left[2], best[2])
+                if left[1] < 1 or take < 1:
+                    break
+            else:
+                take = best[2]
+            piece = [best[0], best[1], take, best[3]]
+            own.append(piece)
+            left = [a - b for a, b in zip(left, size(piece), strict=True)]
+            best[1], best[2] = best[1] + take, best[2] - take
+            items = [x for x in items if x[2]]
+        out.append([tuple(p) for p in own])
+    return out
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(64, 5, 64), packing.Limits(64, 64, 24), packing.Limits(64, 3, 40)])
+def test_the_heuristic_chooses_by_the_dot_product(limits):
+    rnd = random.Random(13)
+    for _ in range(40):
+        items = [(k, 0, n, rnd.randint(0, n)) for k, n in enumerate(rnd.sample(range(1, 60), rnd.randint(1, 25)))]
+        got = []
+        packer = packing.Packer(limits, lambda *a: None)
+        packer._finished = lambda pieces, size, got=got: got.append([tuple(p) for p in pieces])
+        rest = packer._pack(items)
+        assert got + ([rest] if rest else []) == plain_pack(items, limits)
+
+
+def test_loss_alone_closes_sequences(spark):
+    """Prompts bear no loss: only the answers' ids fill the third limit, and it decides what goes together."""
+    placed, seqs = [], defaultdict(list)
+    packer = packing.Packer(packing.Limits(tokens=64, segments=64, loss=16), lambda *a: placed.append(a))
+    for k in range(40):
+        packer.add(k, 16, 8 if k % 2 else 16)  # 8 loss-bearing ids in every second example, none in the others
+    packer.finish()
+    for key, start, n, seq, _ in placed:
+        seqs[seq].append((n, packing.loss_tokens(start, n, 8 if key % 2 else 16)))
+    full = [own for own in seqs.values() if sum(n for n, _ in own) == 64]
+    assert len(full) >= 9 and all(sum(x for _, x in own) <= 16 for own in seqs.values())
+    path = queries.vocabulary("byte_bpe_50k.json")
+    df = spark.createDataFrame([(i, "prompt words here " * 50 + "answer words here " * 50, m) for i, m in enumerate([None, 0, 150, 10_000] * 20)], "doc_id long, text string, masked int")
+    got = rows(packing.pack_documents(df, path, limits=packing.Limits(tokens=2048, segments=128, loss=512), masked_col="masked", keep=["doc_id", "masked"]))
+    total, loss = Counter(), Counter()
+    for r in got:
+        total[r["doc_id"]] += r["loss_tokens"]
+        loss[r["sequence_id"]] += r["loss_tokens"]
+        n = r["doc_tokens"]
+    assert max(loss.values()) <= 512 and n == 303
+    assert [total[i] for i in range(4)] == [302, 303, 153, 0]
+
+
 def brute_components(sets, pct):
     ids = sorted(sets)
     parent = {i: i for i in ids}
