@@ -235,7 +235,11 @@ def encode_sampled(docs: DataFrame, model: str, key_col: str = "doc_id", text_co
 
 
 def decode_pieces(docs: DataFrame, model: str, ids_col: str = "pieces", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """Append ``out``: the text of the ids in ``ids_col``, null for null ids; the inverse of every encoding."""
+    """Append ``out``: the text of the ids in ``ids_col``; the inverse of every encoding.
+
+    Null ids give null, no ids the empty text; repeated rows are read alike and an empty table stays
+    empty.  All columns (or ``keep``) are carried, one named ``out`` is replaced.
+    """
 
     def make():
         own = lattice(model, 1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,12 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; set one of our own only where none is set (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; one of our own only where none is set and driver and executors are one process, as in tests."""
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isEmpty() and (named := spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(named)
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pleat-checkpoint-"))
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return set_.get()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows from whatever store it is in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -760,3 +760,33 @@ def test_backoff_is_the_relational_join(docs, monkeypatch):
     got = rows(backoff_lm.score_backoff(some, keep=["doc_id", "lang"]))
     assert sorted((r["n_words"], round(r["log_score"], 6)) for r in got if r["n_words"]) == want
     assert len(got) == some.count() and all(r["lang"] == "en" for r in got)
+
+
+def test_clashing_names_give_way(docs):
+    names = ["pii", "secrets", "start", "offset", "length", "ids", "pieces", "decoded", "log_score", "n_words", "mean_log_score", "kept", "posterior", "pattern", "predicted", "n_chars", "n_shingles", "component_id", "chunk", "bucket", "rows", "block", "u", "v", "m"]
+    odd = docs.select("doc_id", "text", *[F.lit("mine").alias(n) for n in names])
+    path = queries.vocabulary("byte_bpe_50k.json")
+    model = queries.vocabulary("piece_bpe_32k.model")
+    blank = fm_classifier.fit_quality(docs, docs.limit(0).selectExpr("doc_id", "1 as quality"))
+    coded = pieces.encode_sampled(odd, model)
+    made = {
+        "pii": pii.find_pii(odd), "secrets": secrets.find_secrets(odd), "start": packing.pack_documents(odd, path), "pieces": coded, "decoded": pieces.decode_pieces(coded, model), "log_score": backoff_lm.score_backoff(odd),
+        "kept": quality_rules.judge(odd), "predicted": fm_classifier.score_quality(odd, blank), "component_id": jaccard.jaccard_components(odd), "text": html_text.extract_text(odd.withColumn("html", F.col("text"))),
+    }
+    for name, df in made.items():
+        assert len(df.columns) == len(set(df.columns))
+        got = df.collect()
+        assert len(got) >= docs.count() and all(r[name] != "mine" for r in got), name
+        assert "u" not in df.columns or all(r["u"] == "mine" for r in got)
+    assert sum(c == "mine" for c in made["pii"].first()) == len(names) - 1
+
+
+def test_no_checkpoint_folder_of_our_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pleat.llm import runtime
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)), master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={}))

@@ -55,3 +55,30 @@ def test_run(spark, folder):
     assert ids == set(range(120)) | {202} or ids == set(range(120))
     cache = bpe.piece_cache(queries.vocabulary("byte_bpe_50k.json"))
     assert sum(r["length"] for r in got if r["doc_id"] == 7) == len(cache.encode([data[7][1]])[0]) + 1
+
+
+def test_edges(spark, folder):
+    path, data = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, path).count() == 0, name
+    text = data[5][1]
+    odd = spark.createDataFrame([(5, text, "en", "s", 1), (5, text, "en", "s", 1), (5, "zz " + text, "en", "s", 2), (None, text, "en", "s", 3), (None, None, None, None, None), (6, "", "en", "s", 0)], COLUMNS)
+    single = corpus_pipeline.keep_one_of_each(spark, odd, path).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in single) == sorted([(5, text), (-1, text), (-1, ""), (6, "")])
+    assert corpus_pipeline.keep_by_rules(spark, odd, path).count() == 4
+    assert corpus_pipeline.keep_by_classifier(spark, docs.union(odd), path).where("doc_id is null and text is not null").count() == 1
+    assert corpus_pipeline.mask_secrets(spark, odd, path).count() == 6
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, odd, path).collect()} == {None, 5, 6}
+
+
+def test_run_leaves_only_the_last_stage(spark, folder, tmp_path):
+    import glob
+
+    path, _ = folder
+    got = corpus_pipeline.run(spark, path)
+    last = {f.rsplit("/", 2)[0] for f in got.inputFiles()}
+    assert len(last) == 1
+    kept = glob.glob(last.pop().removeprefix("file://").removeprefix("file:") + "/*")
+    assert [k.rsplit("/", 1)[1] for k in kept] == ["4-packing"]
