@@ -1,7 +1,7 @@
 """Connected components over DataFrames: alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 Each round moves every edge to a smaller neighbour; no group is ever collected, the edge count never
-grows, and every round is written to the shared checkpoint folder.
+grows, and every round is written to the shared checkpoint folder and removed after the next.
 """
 
 from __future__ import annotations
@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import Scratch
 
 #: A node with more edges than LIGHT and than a MOST-th of all is looked up by a broadcast instead of a
 #: shuffle. However large the graph, there are fewer than MOST such nodes.
 LIGHT, MOST = 256, 8192
 
 
-def with_least(e: DataFrame, n: int) -> DataFrame:
+def with_least(e: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """``e`` (u, v), of at most n rows and without nulls, with m, the least v of each u.
 
     The answers of nodes with many edges are broadcast (fewer than MOST rows) and their edges stay
     where they are, so no node's edges meet in one task.
     """
-    low = cut(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")))
+    low = scratch.write(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")))
     limit = max(LIGHT, n // MOST)
     heavy = low.where(F.col("d") > limit).select("u", F.col("m").alias("hm"))
     met = e.join(F.broadcast(heavy), "u", "left")
@@ -38,19 +38,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    e = cut(e.distinct())
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.write(e.distinct())
     seen = _digest(e)
     while True:
+        done = [scratch.folder()]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        least = with_least(cut(large), seen[0])
+        large = with_least(both, 2 * seen[0], scratch).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        done.append(scratch.folder())
+        large = scratch.write(large)
+        done.append(scratch.folder())
+        least = with_least(large, seen[0], scratch)
+        done.append(scratch.folder())
         small = (
             least.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
-        e = cut(small)
+        e = scratch.write(small)
+        scratch.remove(*done)
         now = _digest(e)
         if now == seen:
             break

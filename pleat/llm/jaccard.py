@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, with_least
 from .counts import answered, counts_of, deal, grain
-from .runtime import cut, split_batch
+from .runtime import Scratch, cut, split_batch
 from .words import U64, mix, shingle_sets
 
 #: Bits of a shingle by which its frequency is counted. Two shingles that fall together only look more
@@ -273,7 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # star of each shingle: every class with the smallest class that shares it
     shared = met.select(F.explode("tokens").alias("u"), F.col("s1").alias("v"))
     rows = met.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    stars = with_least(shared, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    stars = with_least(shared, rows, Scratch(docs.sparkSession)).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     blocks = cut(connected_components(stars).withColumnRenamed("node", "s1").withColumnRenamed("component", "block"))
 
     named = meta.where("id is not null and n > 0")

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -41,6 +42,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of a loop in the shared checkpoint folder, read again with their true sizes.
+
+    A checkpoint keeps the size that the optimiser guessed, a join's being the product of its sides';
+    carried from round to round these guesses grow to numbers of millions of digits on the driver.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again; its folder is that of ``folder``."""
+        self.made += 1
+        df.write.parquet(self.folder())
+        return self.spark.read.schema(df.schema).parquet(self.folder())
+
+    def folder(self) -> str:
+        return f"{self.root}/{self.made}"
+
+    def remove(self, *folders: str) -> None:
+        for f in folders:
+            remove_folder(self.spark, f)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
