@@ -8,13 +8,13 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .errors import LanguageError, ValueUnknown
+from .errors import LanguageError, NotYet, ValueUnknown
 from .frontend import apl as an
 from .frontend import j as jn
 from .frontend.dialect import MODERN, STANDARD, Dialect
 from .functions import text
 from .operators.verb import Distributed
-from .plans.values import Mat, Scalar, Table, Tuple, Vec
+from .plans.values import Mat, Scalar, Table, Tuple, Vec, next_sentence
 from .values import from_python, to_python
 
 
@@ -101,7 +101,15 @@ class Kernel:
         missing = [n for n in self.names if n not in given]
         if missing:
             raise ValueUnknown(f"nothing is bound to {', '.join('{' + n + '}' for n in missing)}", self.source, self.source.find("{" + missing[0] + "}"))
-        return Result(self.language.run(self.source, {n: bound(v) for n, v in given.items()}, out, read), self.source, self.language.name == "apl")
+        holes = {n: bound(v) for n, v in given.items()}
+        next_sentence()
+        try:
+            value = self.language.run(self.source, holes, out, read)
+        except (AttributeError, TypeError, ValueError) as e:
+            if any(isinstance(v, Distributed) for v in holes.values()):
+                raise NotYet(f"this program over distributed values ({e})") from e
+            raise
+        return Result(value, self.source, self.language.name == "apl")
 
     def deploy(self, target: str = "cluster", **_: object) -> Kernel:
         """Placement never changes a value: plans run where the session runs."""

@@ -426,7 +426,7 @@ def reduce_axis(u: Verb, axis: int, name: str) -> Verb:
 
     def two(x, y):
         if isinstance(y, Distributed):
-            return lower().infix(d.insert(u), x, y)
+            return lower().infix(d.insert(u), x, y, apl=True)
         return np.moveaxis(nwise(u, one_int(x), np.moveaxis(y.reshape(1) if y.ndim == 0 else y, axis, 0)), 0, axis)
 
     return d.derived("Reduce", name, one, two, (u,), extra={"apl": True})

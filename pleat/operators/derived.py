@@ -470,6 +470,8 @@ def under(u: Verb, v: Verb, ranked: bool = True) -> Verb:
 
     def one(y):
         f = lambda c: inv.monad(u.monad(v.monad(c)))
+        if isinstance(y, Distributed) and r == 0:
+            return inv.monad(lower().ranked(u, (0, 0, 0), v.monad(y)))
         return f(y) if isinstance(y, Distributed) or r >= INFINITE or v.scalar and u.scalar else apply_monad(f, r, y)
 
     def two(x, y):

@@ -21,6 +21,13 @@ INFINITE = 99
 class Distributed:
     """Base of values that live in a DataFrame."""
 
+    def __reduce__(self):
+        return Elsewhere, ()
+
+
+class Elsewhere(Distributed):
+    """What a distributed value becomes in a verb that is sent to a worker: nothing that can be used there."""
+
 
 def lower():
     from ..plans import lowering

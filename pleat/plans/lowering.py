@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DomainError, LengthError, NotYet
+from ..errors import DomainError, LanguageError, LengthError, NotYet
 from ..operators.verb import Distributed, Verb
-from ..values import ints, kind
-from . import scalars
-from .blocks import affine, scan, windowed
-from .values import POS, Frame, Mat, Runs, RunScalar, Scalar, Table, Tuple, Vec, _session, checkpointed, fresh, q
+from ..values import Box, frame_up, ints, kind, obj
+from . import rows, scalars
+from .blocks import affine, scan, spread
+from .values import POS, Frame, GroupFrame, Mat, Runs, RunScalar, Scalar, Table, Tuple, Vec, _sentence, _session, checkpointed, fresh, q
 
 __all__ = ["Table", "monad", "dyad", "reduce", "prefix", "suffix", "infix", "outfix", "key", "cut", "table", "inner", "ranked", "oblique", "amend", "agenda", "each", "shift", "take", "same", "settle", "gather", "first_atom", "table"]
 
@@ -90,7 +90,22 @@ def monad(v: Verb, y):
         y = y.trimmed()
         by = F.min_by if name != "{:" else F.max_by
         return Scalar(y.frame, by(y.col, order_key(y.frame)))
+    if isinstance(y, Vec) and rows.is_complex(type_of(y)):
+        return itemwise(v, [y])
     if isinstance(y, Vec):
+        if name in ("p:", "q:", "j.", "r.") or name == "!" and scalars.is_float(type_of(y)):
+            return itemwise(v, [y])
+        if name == "+." or name == "*.":
+            d = scalars.number(y.col, type_of(y)).cast("double")
+            parts = [d, F.lit(0.0)] if name == "+." else [F.abs(d), F.when(d < 0, float(np.pi)).otherwise(0.0)]
+            return Mat(y.trimmed().frame, parts)
+        if name == ",:":
+            return Mat(y.trimmed().frame, [y.col], None, turned=True)
+        if name == '":' or name == "⍕":
+            minus = "¯" if name == "⍕" else "_"
+            if type_of(y) != "string":
+                return Vec(y.frame, rows.by_value(_shown(minus), "string", y.col), y.front, y.back)
+            return y
         if name in ("}.", "}:"):
             return Vec(y.frame.dense(), y.col, y.front + (name == "}."), y.back + (name == "}:"))
         if name in (",", ";", "∊") and not y.type.simpleString().startswith("array"):
@@ -108,9 +123,9 @@ def monad(v: Verb, y):
         if name in ("I.", "⍸"):
             return indices(y, v.extra.get("origin", 0))
         if name == ";:" and y.type.simpleString() == "string":
-            return Vec(y.frame, F.regexp_extract_all(y.col, F.lit(r"(\S+)"), 1), y.front, y.back)
+            return Vec(y.frame, rows.by_value(_words, "array<string>", y.col), y.front, y.back)
         if name == "u:" and y.type.simpleString() == "bigint":
-            return Vec(y.frame, F.chr(y.col), y.front, y.back)
+            return Vec(y.frame, rows.by_value(chr, "string", y.col), y.front, y.back)
         if name in ("s:", "$."):
             return y
         if name == '".':
@@ -119,7 +134,10 @@ def monad(v: Verb, y):
             return bits(y)
         if name in ("?", "?."):
             seed = 16807 if name == "?." else None
-            return Vec(y.frame, F.floor(F.rand(seed) * y.col) if seed else F.floor(F.rand() * y.col), y.front, y.back)
+            n = y.col.cast("long")
+            bad = F.raise_error(F.lit("domain error: a roll of no whole number above 0")).cast("long")
+            drawn = F.floor((F.rand(seed) if seed else F.rand()) * n) + v.extra.get("origin", 0)
+            return Vec(y.frame, F.when((n <= 0) | (n != y.col), bad).otherwise(drawn), y.front, y.back)
         if name in ("p..",):
             raise NotYet("the derivative of a distributed polynomial")
     if isinstance(y, Mat):
@@ -143,6 +161,38 @@ def monad(v: Verb, y):
     raise NotYet(f"{name} of a distributed {type(y).__name__.lower()}")
 
 
+def _shown(minus: str):
+    from ..functions.text import show_number
+
+    return lambda x: show_number(x, 6 if minus == "_" else 10, minus)
+
+
+def _words(line: str) -> list[str]:
+    from ..functions.text import word_spans
+
+    return [w for w, _ in word_spans(line) if w != "\n"]
+
+
+def itemwise(v: Verb, args: list):
+    """A verb of rank 0 by the local evaluator, on vectors and local atoms."""
+    vecs = [a for a in args if isinstance(a, Vec)]
+    if len(vecs) == 2:
+        vecs = list(align(*vecs))
+    fixed = {k: np.asarray(a) for k, a in enumerate(args) if not isinstance(a, Vec)}
+    if any(isinstance(a, Distributed) or a.ndim for a in fixed.values()):
+        raise NotYet(f"{v} of a vector beside this argument")
+    host = vecs[0]
+    col, t, width = rows.by_item(v, [a.col for a in vecs], [type_of(a) for a in vecs], fixed)
+    if not width:
+        return Vec(host.frame, col, host.front, host.back)
+    if width < 0:
+        return Mat(host.trimmed().frame, None, col)
+    cell = fresh("cell")
+    f = host.trimmed().frame
+    g = Frame(f.df.withColumn(cell, col), f.order, f.pos, f if f.pos else None)
+    return Mat(g, [F.get(F.col(cell), F.lit(k)) for k in range(width)])
+
+
 def order_key(f: Frame) -> Column:
     """What min_by and max_by compare: the position, or the order as a struct."""
     if f.pos:
@@ -163,20 +213,38 @@ def tally(y):
     return np.asarray(len(y.parts) if isinstance(y, Tuple) else 1)
 
 
+def alike(c: Column, t: str) -> Column:
+    """What equal items share: floats are equal within a tolerance, so they are rounded to 44 binary digits.
+
+    Rounding parts two floats that lie that near to each other on either side of a step, about one pair
+    of neighbouring floats in 256; tolerant equality itself cannot be a key, as it is not transitive.
+    """
+    if not scalars.is_float(t):
+        return c
+    scale = F.pow(F.lit(2.0), 44 - F.floor(F.log2(F.abs(c))))
+    odd = (c == 0) | F.isnan(c) | (F.abs(c) == scalars.inf()) | (scale == scalars.inf())
+    return F.when(odd, c + 0.0).otherwise(F.rint(c * scale) / scale)
+
+
 def nub(y: Vec) -> Vec:
     p = y.placed()
-    first, name = fresh("first"), fresh("v")
-    df = p.frame.df.groupBy(p.col.alias(name)).agg(F.min(q(p.frame.pos)).alias(first))
+    first, name, k = fresh("first"), fresh("v"), fresh("k")
+    pos = F.col(q(p.frame.pos))
+    t = type_of(p)
+    if scalars.is_float(t):
+        df = p.frame.df.groupBy(alike(p.col, t).alias(k)).agg(F.min(pos).alias(first), F.min_by(p.col, pos).alias(name))
+    else:
+        df = p.frame.df.groupBy(p.col.alias(name)).agg(F.min(pos).alias(first))
     return Vec(Frame(df, [F.col(first)]), F.col(name))
 
 
 def nub_sieve(y: Vec) -> Vec:
     p = y.placed()
     first, name, k = fresh("first"), fresh("v"), fresh("k")
-    df = p.frame.df.withColumn(name, p.col)
+    df = p.frame.df.withColumn(name, alike(p.col, type_of(p)))
     heads = df.groupBy(F.col(name).alias(k)).agg(F.min(q(p.frame.pos)).alias(first))
     joined = df.join(heads, F.col(name).eqNullSafe(F.col(k))).drop(k)
-    return Vec(Frame(joined, [], p.frame.pos), F.col(first) == F.col(q(p.frame.pos)))
+    return Vec(Frame(joined, [], p.frame.pos, p.frame), F.col(first) == F.col(q(p.frame.pos)))
 
 
 def grade(y: Vec, down: bool, origin: int = 0) -> Vec:
@@ -235,6 +303,19 @@ def dyad(v: Verb, x, y):
         return x
     if name in ("]", "⊢"):
         return y
+    flat = all(isinstance(a, Vec) or isinstance(a, np.ndarray) and not a.ndim for a in (x, y))
+    if flat and (name in scalars.TWO or name in ("j.", "r.")):
+        if name in ("j.", "r.") or scalars.TWO.get(name) == "binomial" or any(isinstance(a, Vec) and rows.is_complex(type_of(a)) or isinstance(a, np.ndarray) and a.dtype.kind == "c" for a in (x, y)):
+            return itemwise(v, [x, y])
+        if scalars.TWO[name] == "circle" and isinstance(x, np.ndarray) and int(x) not in scalars.CIRCLE:
+            return itemwise(v, [x, y])
+    if name == "\\" or name == "⍀":
+        return expand(x, y)
+    if name == "⊂" and isinstance(x, Vec) and isinstance(y, Vec):
+        return partition(x, y)
+    if name == ",:" and isinstance(x, Vec) and isinstance(y, Vec):
+        a, b = (c.trimmed() for c in align(x, y))
+        return Mat(a.frame, [a.col, b.col], None, turned=True)
     if name in ("#", "/", "⌿") and v.node == "Prim" and isinstance(y, (Vec, Mat)):
         return copy(x, y)
     if isinstance(y, Vec) and not isinstance(x, Distributed):
@@ -250,8 +331,11 @@ def dyad(v: Verb, x, y):
             return Vec(Frame(p.frame.df.withColumn(p.frame.pos, F.pmod(pos - int(ints(x)), n)), [], p.frame.pos), p.col)
         if name in ("E.", "⍷"):
             return find(x, y)
-        if name == "#.":
-            raise NotYet("the base value of a distributed vector")
+        if name in ("#.", "⊥") and not np.ndim(x):
+            p = y.placed()
+            worth = F.pow(lit(x).cast("double"), (p.frame.count() - 1 - F.col(q(p.frame.pos))).cast("double"))
+            total = F.coalesce(F.sum(scalars.number(p.col, type_of(p)) * worth), F.lit(0.0))
+            return Scalar(p.frame, total if scalars.is_float(type_of(p)) or lit_type(x) == "double" else total.cast("long"))
         if name in ("#:", "⊤"):
             return digits(x, y)
         if name == "p.":
@@ -265,12 +349,12 @@ def dyad(v: Verb, x, y):
             return sparse_form(int(ints(x)), y)
         if name == '".':
             return Vec(y.frame, F.coalesce(y.col.try_cast("double"), lit(x)), y.front, y.back)
-        if name == "$" and kind(x) == "num":
+        if name in ("$", "⍴") and kind(x) == "num":
             return reshape(x, y)
         if name == '":':
             spec = np.ravel(x)[0]
             w, digits_ = (int(spec.real), int(spec.imag)) if isinstance(spec, complex) or np.iscomplexobj(spec) else (int(spec), 0)
-            shown = F.format_string(f"%.{digits_}f", y.col.cast("double"))
+            shown = rows.by_value(f"{{:.{digits_}f}}".format, "string", y.col.cast("double"))
             return Vec(y.frame, F.when(F.length(shown) > w, F.lit("*" * w)).otherwise(F.lpad(shown, w, " ")) if w else shown, y.front, y.back)
     if name in ("{", "⌷") and isinstance(y, Vec):
         return pick(x, y)
@@ -302,8 +386,6 @@ def dyad(v: Verb, x, y):
         return least_squares(x, y)
     if name in ("#.", "⊥") and isinstance(y, Mat):
         return Vec(y.frame, base(lit(x), y))
-    if name in ("⊂",) and v.node == "Prim":
-        raise NotYet("partitions of distributed vectors without a verb to apply; use a cut")
     if name in scalars.TWO:
         return scalar_dyad(v, x, y)
     raise NotYet(f"{name} of distributed values")
@@ -333,8 +415,8 @@ def scalar_dyad(v: Verb, x, y):
     if isinstance(x, Vec) and isinstance(y, Vec):
         a, b = align(x, y)
         out = Vec(a.frame, f(a.col, b.col, tx, ty), a.front, a.back)
-        if getattr(a, "source", None):
-            out.keys, out.source = a.keys, a.source
+        if hasattr(x, "keys") and isinstance(a.frame, GroupFrame):
+            out.keys = x.keys
         return out
     if isinstance(x, Vec):
         return Vec(x.frame, f(x.col, y.inline() if isinstance(y, Scalar) else lit(text_of(y)), tx, ty), x.front, x.back)
@@ -374,32 +456,19 @@ def matrix_dyad(f, x, y, tx, ty, left):
 
 def align(x: Vec, y: Vec) -> tuple[Vec, Vec]:
     """Both on one frame and at the same rows: as they are, by a shifted column, or by a join on positions."""
-    if x.frame is y.frame or (x.frame.dense() is y.frame.dense() and (x.frame.pos or x.front or x.back or y.front or y.back)):
-        f = x.frame if x.frame is y.frame else x.frame.dense()
+    if x.frame is not y.frame:
+        if y.frame.extends(x.frame):
+            x = Vec(y.frame, x.col, x.front, x.back)
+        elif x.frame.extends(y.frame):
+            y = Vec(x.frame, y.col, y.front, y.back)
+    if x.frame is y.frame:
         if (x.front, x.back) == (y.front, y.back):
-            return Vec(f, x.col, x.front, x.back), Vec(f, y.col, y.front, y.back)
+            return x, y
         if x.front + x.back == y.front + y.back:
-            f = f.dense()
+            g = x.frame.dense().windows()
             s = y.front - x.front
-            name, keep = fresh("near"), fresh("x")
-            df, w, own = windowed(f, max(0, -s), max(0, s))
-            df = df.withColumn(keep, x.col).withColumn(name, (F.lead(y.col, s) if s > 0 else F.lag(y.col, -s)).over(w)).where(own)
-            g = Frame(df, [], f.pos)
-            return Vec(g, F.col(keep), x.front, x.back), Vec(g, F.col(name), x.front, x.back)
-    if getattr(x, "source", None) and getattr(y, "source", None) and x.source[0] is y.source[0] and x.source[1] == y.source[1]:
-        # groups of one table by the same keys: one row a key on either side, no positions needed
-        vb, twins = fresh("y"), [fresh("key") for _ in x.keys]
-        right = y.frame.df.select(*[k.alias(t) for k, t in zip(y.keys, twins, strict=True)], y.col.alias(vb))
-        met = F.lit(True)
-        for k, t in zip(x.keys, twins, strict=True):
-            met = met & k.eqNullSafe(F.col(t))
-        g = Frame(x.frame.df.join(right, met).drop(*twins), x.frame.order)
-        out = []
-        for c in (x.col, F.col(vb)):
-            v = Vec(g, c)
-            v.keys, v.source = x.keys, x.source
-            out.append(v)
-        return out[0], out[1]
+            near = g.add((F.lead(y.col, s) if s > 0 else F.lag(y.col, -s)).over(g.window), max(0, -s), max(0, s))
+            return Vec(g, x.col, x.front, x.back), Vec(g, near, x.front, x.back)
     a, b = x.placed(), y.placed()
     va, vb, pb = fresh("x"), fresh("y"), fresh("p")
     left = a.frame.df.select(F.col(q(a.frame.pos)).alias(POS), a.col.alias(va))
@@ -431,6 +500,45 @@ def truth_table(v: Verb, x, y):
     return Vec(host.frame, out, host.front, host.back)
 
 
+def expand(x, y):
+    """y's items where the mask x has ones, fill elsewhere: the n-th one takes the n-th item, by a join on that number."""
+    if not isinstance(x, Vec) or not isinstance(y, Vec):
+        raise NotYet("this expansion of distributed values")
+    a, b = x.placed(), y.placed()
+    run, name = scan(a.frame, flag(a).cast("long"), "sum")
+    v, at = fresh("v"), fresh("at")
+    right = b.frame.df.select((F.col(q(b.frame.pos)) + 1).alias(at), b.col.alias(v))
+    total = Scalar(a.frame, F.coalesce(F.sum(flag(a).cast("long")), F.lit(0))).inline()
+    fits = F.when(total != b.frame.count(), F.raise_error(F.lit("length error: as many items as ones are wanted")).cast("boolean")).otherwise(flag(a))
+    joined = run.df.withColumn(name, F.when(fits, F.col(name))).join(right, F.col(name) == F.col(at), "left")
+    blank = F.lit(" ") if isinstance(b.type, T.StringType) else F.lit(0)
+    return Vec(Frame(joined, [], a.frame.pos, a.frame), F.coalesce(F.col(v), blank.cast(b.type)))
+
+
+def partition(x: Vec, y: Vec) -> Vec:
+    """Runs of y that begin where the flags x rise; zeros leave items out. Each run is a box, an array column."""
+    a, b = (c.placed() for c in align(x, y))
+    f = a.frame
+    g = f.windows()
+    before = g.add(F.lag(a.col, 1).over(g.window), 1, 0)
+    n = scalars.number(a.col, type_of(a))
+    rise = (n > 0) & (n > F.coalesce(scalars.number(before, type_of(a)), F.lit(0)))
+    run, name = scan(g, rise.cast("long"), "sum")
+    pos = F.col(q(f.pos))
+    key_ = fresh("key")
+    kept = run.df.where(n > 0).withColumn(key_, F.col(name) - 1)
+    own = F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), b.col.alias("v")))), lambda s: s["v"])
+    v = fresh("v")
+    return Vec(Frame(kept.groupBy(key_).agg(own.alias(v)), [], key_), F.col(v))
+
+
+def flag(x: Vec) -> Column:
+    """A mask's items as Booleans; numbers other than 0 and 1 are refused."""
+    if type_of(x) == "boolean":
+        return x.col
+    return F.when((x.col != 0) & (x.col != 1), F.raise_error(F.lit("domain error: a mask of other numbers than 0 and 1")).cast("boolean")).otherwise(x.col.cast("boolean"))
+
+
 def copy(x, y):
     """A Boolean mask filters; counts repeat rows."""
     if isinstance(x, Vec):
@@ -438,14 +546,7 @@ def copy(x, y):
             if x.frame is not y.frame:
                 raise NotYet("a mask and a matrix of different tables")
             return Mat(Frame(y.frame.df.where(x.col.cast("boolean")), y.frame.ordering(), None), y.cols, y.cell)
-        a, b = align(x, y)
-        b = Vec(b.frame, b.col, b.front, b.back).trimmed() if (b.front or b.back) else b
-        if a.front or a.back:
-            name_m, name_v = fresh("m"), fresh("v")
-            f = a.frame.dense()
-            pos = F.col(q(f.pos))
-            df = f.df.where((pos >= a.front) & (pos < f.count() - a.back)).select((pos - a.front).alias(POS), a.col.alias(name_m), y.col.alias(name_v))
-            a, b = Vec(Frame(df, [], POS), F.col(name_m)), Vec(Frame(df, [], POS), F.col(name_v))
+        a, b = (v.trimmed() for v in align(x, y))
         f = b.frame
         if a.type.simpleString() == "boolean":
             return Vec(Frame(f.df.where(a.col), f.ordering() if f.pos or f.order else [], None), b.col)
@@ -464,43 +565,54 @@ def copy(x, y):
     return Vec(Frame(df, [F.col(POS), F.col(k)]), F.col(name))
 
 
+#: Items of a take that are put together in one row, and of a local side or a second vector that every row meets.
+FEW = 1 << 16
+
+
 def take(x, y: Vec, fill=None):
-    """The first x items (last if negative); more than there are adds fill."""
+    """The first x items (last if negative); more than there are adds fill.
+
+    Few items are collected into one array in order, which is padded and spread out again.
+    """
     k = int(ints(x))
     y = y.trimmed()
-    name = fresh("v")
+    name, at = fresh("v"), fresh("at")
+    t = y.type
+    blank = (F.lit(fill) if fill is not None else F.lit(" ") if isinstance(t, T.StringType) else F.lit(0)).cast(t)
+    if abs(k) > FEW:
+        p = y.placed()
+        pos = F.col(q(p.frame.pos))
+        place = pos if k >= 0 else pos - p.frame.count() - k
+        part = p.frame.df.select(place.alias(at), p.col.alias(name)).where((F.col(at) >= 0) & (F.col(at) < abs(k)))
+        slots = _session().range(abs(k)).withColumnRenamed("id", POS)
+        df = slots.join(part, F.col(POS) == F.col(at), "left").select(POS, F.coalesce(F.col(name), blank).alias(name))
+        return Vec(Frame(df, [], POS), F.col(name))
     if k >= 0 and not y.frame.pos:
-        f = Frame(y.frame.df.orderBy(*y.frame.ordering()).limit(k), y.frame.order)
-        head = Vec(f, y.col).placed()
-        part = head.frame.df.select(F.col(q(head.frame.pos)).alias(POS), head.col.alias(name))
+        order = y.frame.ordering()
+        top = y.frame.df.select("*", y.col.alias(name)).orderBy(*order).limit(k)
+        part = top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias(at), name)  # at most FEW rows
     else:
         p = y.placed()
         pos = F.col(q(p.frame.pos))
-        if k >= 0:
-            part = p.frame.df.where(pos < k).select(pos.alias(POS), p.col.alias(name))
-        else:
-            at = pos - p.frame.count() - k
-            part = p.frame.df.select(at.alias(POS), p.col.alias(name)).where(f"{POS} >= 0")
-    slots = _session().range(abs(k)).withColumnRenamed("id", fresh("slot"))
-    slot = slots.columns[0]
-    t = part.schema[name].dataType
-    blank = F.lit(fill) if fill is not None else F.lit(" ") if isinstance(t, T.StringType) else F.lit(0)
-    df = slots.join(part, F.col(slot) == F.col(POS), "left").select(F.col(slot).alias("__at"), F.coalesce(F.col(name), blank.cast(t)).alias(name)).withColumnRenamed("__at", POS)
+        part = p.frame.df.where(pos < k if k >= 0 else pos >= p.frame.count() + k).select(pos.alias(at), p.col.alias(name))
+    got = part.agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("p"), F.col(name).alias("v")))).alias("a"))
+    short = F.lit(0) if k >= 0 else F.lit(-k) - F.size("a")
+    own = F.transform(F.sequence(F.lit(0), F.lit(abs(k) - 1)), lambda i: F.when((i >= short) & (i - short < F.size("a")), F.get("a", i - short)["v"]).otherwise(blank)) if k else F.array().cast(T.ArrayType(t))
+    df = got.select(F.posexplode(own).alias(at, name)).select(F.col(at).cast("long").alias(POS), name)
     return Vec(Frame(df, [], POS), F.col(name))
 
 
 def shift(x, y: Vec, fill=None):
     k = int(ints(x))
     p = y.placed()
-    name = fresh("v")
-    df, w, own = windowed(p.frame, max(0, -k), max(0, k))
     blank = F.lit(0 if fill is None else fill.item() if isinstance(fill, np.generic) else fill)
-    moved = (F.lead(p.col, k) if k > 0 else F.lag(p.col, -k)).over(w) if k else p.col
-    pos = F.col(q(p.frame.pos))
-    n = p.frame.count()
-    inside = (pos < n - k) if k > 0 else (pos >= -k)
-    df = df.withColumn(name, F.when(inside, moved).otherwise(blank)).where(own)
-    return Vec(Frame(df, [], p.frame.pos), F.col(name))
+    if not k:
+        return p
+    g = p.frame.windows()
+    moved = g.add((F.lead(p.col, k) if k > 0 else F.lag(p.col, -k)).over(g.window), max(0, -k), max(0, k))
+    pos = F.col(q(g.pos))
+    inside = (pos < g.count() - k) if k > 0 else (pos >= -k)
+    return Vec(g, F.when(inside, moved).otherwise(blank))
 
 
 def find(x, y: Vec) -> Vec:
@@ -509,12 +621,11 @@ def find(x, y: Vec) -> Vec:
     if y.type.simpleString() == "string" and kind(x) == "char":
         return Vec(y.frame, y.col.contains("".join(want)), y.front, y.back)
     p = y.placed()
-    name = fresh("hit")
-    df, w, own = windowed(p.frame, 0, len(want) - 1)
+    g = p.frame.windows()
     hit = F.lit(True)
     for k, v in enumerate(want):
-        hit = hit & F.coalesce((F.lead(p.col, k).over(w) if k else p.col) == F.lit(v), F.lit(False))
-    return Vec(Frame(df.withColumn(name, hit).where(own), [], p.frame.pos), F.col(name))
+        hit = hit & F.coalesce((F.lead(p.col, k).over(g.window) if k else p.col) == F.lit(v), F.lit(False))
+    return Vec(g, g.add(hit, 0, max(0, len(want) - 1)))
 
 
 def sparse_form(code: int, y: Vec):
@@ -560,8 +671,26 @@ def reshape(x, y: Vec):
     return Mat(Frame(rows, [], POS), [F.get(F.col(cell), F.lit(i)) for i in range(k)])
 
 
+def index_error() -> Column:
+    return F.raise_error(F.lit("index error"))
+
+
 def pick(x, y: Vec):
-    """Items at positions: local ones by a filter, distributed ones by a join, in x's order."""
+    """Items at positions: local ones by a filter, distributed ones by a join, in x's order.
+
+    Positions that were just looked up in another column of y's table need none: the items join by the
+    values that were looked up.
+    """
+    found = getattr(x, "found", None)
+    if found is not None and y.frame is found["table"].frame and not (y.front or y.back):
+        k, v = fresh("k"), fresh("v")
+        table, by = found["table"], F.max_by if found["last"] else F.min_by
+        order = order_key(table.frame)
+        t = type_of(table)
+        seen = table.frame.df.groupBy(alike(table.col, t).alias(k)).agg(by(F.struct(y.col.alias("v")), order).alias(v))
+        asked = found["asked"]
+        joined = asked.frame.df.join(seen, alike(asked.col, type_of(asked)) == F.col(k), "left")
+        return Vec(Frame(joined, asked.frame.order, asked.frame.pos, asked.frame), F.when(F.col(v).isNull(), index_error().cast(y.type)).otherwise(F.col(v)["v"]))
     p = y.placed()
     pos = F.col(q(p.frame.pos))
     if isinstance(x, Vec):
@@ -571,12 +700,15 @@ def pick(x, y: Vec):
         n = p.frame.count()
         left = left.withColumn(i, F.when(F.col(i) < 0, F.col(i) + n).otherwise(F.col(i)))
         right = p.frame.df.select(pos.alias(at), p.col.alias(v))
-        return Vec(Frame(left.join(right, F.col(i) == F.col(at), "left"), [], POS), F.col(v))
+        df = left.join(right, F.col(i) == F.col(at), "left")
+        return Vec(Frame(df, [], POS), F.when(F.col(at).isNull(), index_error().cast(p.type)).otherwise(F.col(v)))
+    if isinstance(x, Distributed):
+        raise NotYet("items at positions that are no vector")
     at = [int(v) for v in np.ravel(ints(x))]
     if np.ndim(x) == 0:
         k = at[0]
         hit = pos == k if k >= 0 else pos == p.frame.count() + k
-        return Scalar(p.frame, F.max(F.when(hit, p.col)))
+        return Scalar(p.frame, F.when(F.count(F.when(hit, 1)) == 0, index_error().cast(p.type)).otherwise(F.max(F.when(hit, p.col))))
     idx = _session().createDataFrame([(i, a) for i, a in enumerate(at)], "i long, a long")
     return pick(Vec(Frame(idx, [], "i"), F.col("a")), y)
 
@@ -585,55 +717,78 @@ def from_literal(x: Vec, y) -> Vec:
     values = F.array(*[value_of(v) for v in np.ravel(y).tolist()])
     n = len(np.ravel(y))
     i = x.col.cast("int")
-    return Vec(x.frame, F.get(values, F.when(i < 0, i + n).otherwise(i)), x.front, x.back)
+    i = F.when((i < -n) | (i >= n), index_error().cast("int")).when(i < 0, i + n).otherwise(i)
+    return Vec(x.frame, F.get(values, i), x.front, x.back)
 
 
 def index_of(x, y, last: bool, origin: int):
     """Position of each value of y in x, by one equi-join with x's distinct values; absent gives x's length."""
     if isinstance(x, np.ndarray):
         values = np.ravel(x).tolist()
-        hay = F.array(*[F.lit(v) for v in values])
+        ty = type_of(y)
+        hay = F.array(*[alike(value_of(v), "double" if isinstance(v, float) else "") for v in values])
+        item = alike(y.col, ty) if scalars.is_float(ty) else y.col
         if last:
-            found = F.when(F.array_position(F.reverse(hay), y.col) > 0, len(values) - F.array_position(F.reverse(hay), y.col)).otherwise(len(values))
+            found = F.when(F.array_position(F.reverse(hay), item) > 0, len(values) - F.array_position(F.reverse(hay), item)).otherwise(len(values))
         else:
-            found = F.when(F.array_position(hay, y.col) > 0, F.array_position(hay, y.col) - 1).otherwise(len(values))
+            found = F.when(F.array_position(hay, item) > 0, F.array_position(hay, item) - 1).otherwise(len(values))
         return Vec(y.frame, found.cast("long") + origin, y.front, y.back)
-    a = x.placed()
-    pos = F.col(q(a.frame.pos))
     agg = F.max if last else F.min
     if isinstance(y, np.ndarray):
-        one = lambda v: Scalar(a.frame, F.coalesce(agg(F.when(a.col == lit(v), pos)), F.count(F.lit(1))) + origin)
+        a = x.placed()
+        pos = F.col(q(a.frame.pos))
+        ta = type_of(a)
+        one = lambda v: Scalar(a.frame, F.coalesce(agg(F.when(scalars.equal(a.col, lit(v), ta, "double" if v.dtype.kind == "f" else "string" if v.dtype.kind in "OU" else "bigint", False), pos)), F.count(F.lit(1))) + origin)
         if kind(y) == "char" or not y.ndim:
             return one(text_of(y))
         return Tuple([one(np.asarray(v)) for v in np.ravel(y)])
     k, at = fresh("k"), fresh("at")
-    seen = a.frame.df.groupBy(a.col.alias(k)).agg(agg(pos).alias(at))
     b = y.trimmed()
-    joined = b.frame.df.join(seen, b.col == F.col(k), "left")
-    return Vec(Frame(joined, b.frame.order, b.frame.pos), F.coalesce(F.col(at), a.frame.count()) + origin)
+    table = x.trimmed()
+
+    def plan() -> tuple[DataFrame, Column]:
+        a = table.placed()
+        seen = a.frame.df.groupBy(alike(a.col, type_of(a)).alias(k)).agg(agg(F.col(q(a.frame.pos))).alias(at))
+        return b.frame.df.join(seen, alike(b.col, type_of(b)) == F.col(k), "left"), a.frame.count()
+
+    joined, n = plan()
+    out = Vec(Frame(joined, b.frame.order, b.frame.pos, b.frame), F.coalesce(F.col(at), n) + origin)
+    if not origin:
+        out.found = {"table": table, "asked": b, "last": last}
+    return out
+
+
+def hay_of(y: np.ndarray, t: str) -> list:
+    """The items of a local list as keys beside a column of type t."""
+    values = np.ravel(y).tolist()
+    if not scalars.is_float(t):
+        return values
+    return [alike(F.lit(float(v)), t) for v in values]
 
 
 def member(x, y):
     if isinstance(y, np.ndarray):
-        return Vec(x.frame, F.coalesce(x.col.isin(np.ravel(y).tolist()), F.lit(False)), x.front, x.back)
+        t = type_of(x)
+        return Vec(x.frame, F.coalesce(alike(x.col, t).isin(hay_of(y, t)), F.lit(False)), x.front, x.back)
     b = y.trimmed()
     k, hit = fresh("k"), fresh("hit")
-    own = b.frame.df.select(b.col.alias(k)).distinct().withColumn(hit, F.lit(True))
+    own = b.frame.df.select(alike(b.col, type_of(b)).alias(k)).distinct().withColumn(hit, F.lit(True))
     a = x.trimmed()
-    joined = a.frame.df.join(own, a.col == F.col(k), "left")
-    return Vec(Frame(joined, a.frame.order, a.frame.pos), F.col(hit).isNotNull())
+    joined = a.frame.df.join(own, alike(a.col, type_of(a)) == F.col(k), "left")
+    return Vec(Frame(joined, a.frame.order, a.frame.pos, a.frame), F.col(hit).isNotNull())
 
 
 def less(x, y, keep: bool):
     """x's items that y has not (has, if ``keep``), duplicates and order kept."""
     a = x.trimmed()
+    t = type_of(a)
     if isinstance(y, np.ndarray):
-        hit = a.col.isin(np.ravel(y).tolist())
+        hit = alike(a.col, t).isin(hay_of(y, t))
         return Vec(Frame(a.frame.df.where(hit if keep else ~hit), a.frame.ordering() if a.frame.pos or a.frame.order else []), a.col)
     b = y.trimmed()
     k = fresh("k")
-    own = b.frame.df.select(b.col.alias(k))
-    df = a.frame.df.join(own, a.col == F.col(k), "left_semi" if keep else "left_anti")
+    own = b.frame.df.select(alike(b.col, type_of(b)).alias(k))
+    df = a.frame.df.join(own, alike(a.col, t) == F.col(k), "left_semi" if keep else "left_anti")
     return Vec(Frame(df, a.frame.ordering() if a.frame.pos or a.frame.order else []), a.col)
 
 
@@ -742,6 +897,11 @@ def reduce(u: Verb, y):
             return Scalar(y.frame, F.coalesce(F.sum(y.col * F.pow(F.lit(c), pos())), F.lit(0.0)))
         if u.node not in ("Prim",):
             raise NotYet(f"{u}/ of a distributed vector")
+        if rows.is_complex(type_of(y)):
+            if u.name != "+":
+                raise NotYet(f"{u}/ of distributed complex numbers")
+            part = lambda k: F.coalesce(F.sum(y.col[k]), F.lit(0.0)).alias(k)
+            return Scalar(y.frame, F.struct(part("re"), part("im")))
         if u.name in ("[", "⊣"):
             return Scalar(y.frame, F.min_by(y.col, order_key(y.frame)))
         if u.name in ("]", "⊢"):
@@ -804,7 +964,11 @@ def prefix(u: Verb, y, backward: bool = False):
         if not backward:
             f, name = scan(p.frame, p.col.cast("double") * F.pow(F.lit(c), pos), "sum")
             return Vec(f, F.col(name))
-        f, name = affine(p.frame, p.col, c, True)
+        if abs(c) == 1:
+            sign = F.when((pos % 2 == 0) | (F.lit(c) > 0), 1.0).otherwise(-1.0)
+            f, name = scan(p.frame, p.col * sign, "sum", True)
+            return Vec(f, F.col(name) * sign)
+        f, name = affine(p.frame, p.col, c)
         return Vec(f, F.col(name))
     what = scan_kind(u)
     if what is not None:
@@ -843,26 +1007,33 @@ def suffix(u: Verb, y):
     return prefix(u, y, True)
 
 
-def infix(u: Verb, x, y: Vec):
+def infix(u: Verb, x, y: Vec, apl: bool = False):
+    """u over windows of x items; for a negative x over chunks in J, over windows from their ends on in APL."""
     k = int(ints(x))
-    if k < 0:
-        p = y.placed()
-        return grouped(u, p.frame, p.col, [F.floor(F.col(q(p.frame.pos)) / -k).cast("long")], by_key=True)
     p = y.placed()
-    if k == 0:
-        raise NotYet("windows of no items over a distributed vector")
-    df, w, own = windowed(p.frame, k - 1, 0)
-    frame = w.rowsBetween(-(k - 1), 0)
-    made = Frame(df, [], p.frame.pos)
+    pos = F.col(q(p.frame.pos))
+    if k < 0 and not apl:
+        return grouped(u, p.frame, p.col, [F.floor(pos / -k).cast("long")], by_key=True)
+    if k == 0:  # between all items and at both ends there is nothing, n + 1 times
+        nothing = np.asarray(u.monad(np.zeros(0, np.int64)))
+        if nothing.ndim or nothing.dtype.kind not in "bif":
+            raise NotYet(f"{u} over windows of no items of a distributed vector")
+        ends = p.frame.df.select((pos + 1).alias(POS)).unionByName(_session().range(1).withColumnRenamed("id", POS))
+        return Vec(Frame(ends, [], POS), value_of(nothing[()]))
+    back, k = k < 0, abs(k)
+    g = p.frame.windows()
+    frame = g.window.rowsBetween(-(k - 1), 0)
 
     def finish(c: Column) -> Vec:
-        name = fresh("w")
-        out = df.withColumn(name, c).where(own & (F.col(q(p.frame.pos)) >= k - 1))
-        out = out.withColumn(p.frame.pos, F.col(q(p.frame.pos)) - (k - 1)).drop(*[x for x in out.columns if x.startswith("__home")])
-        return Vec(Frame(out, [], p.frame.pos), F.col(name))
+        return Vec(g, g.add(c, k - 1, 0), k - 1, 0)
 
-    runs = Runs(made, p.col, lambda a: a.over(frame), F.lit(k), finish, F.col(q(p.frame.pos)))
-    return close(u.monad(runs))
+    if back and u.node == "Reduce" and u.parts[0].name in ("⊣", "⊢", "[", "]"):
+        raise NotYet("ends of reversed windows over a distributed vector")
+    runs = Runs(p.frame, p.col, lambda a: a.over(frame), F.lit(k), finish, pos)
+    try:
+        return close(u.monad(runs))
+    except NotYet:
+        return each_window(u, p, k, back)
 
 
 def close(v):
@@ -884,24 +1055,30 @@ def outfix(u: Verb, x, y: Vec):
 
 
 def grouped(u: Verb, f: Frame, col: Column, keys: list[Column], by_key: bool = False, where: Column | None = None, leave: Column | None = None) -> Vec:
-    """u over groups of rows, one row a group in the order of first rows (or of the key); rows of ``leave`` only open groups."""
-    names = [fresh("key") for _ in keys]
-    first = fresh("first")
+    """u over groups of rows, one row a group in the order of first rows; rows of ``leave`` only open groups.
+
+    ``by_key``: the key counts the groups from 0 on, so it is their position.
+    """
     pos = F.col(q(f.pos)) if f.pos else None
-    source = f.df if where is None else f.df.where(where)
-    for n_, k in zip(names, keys, strict=True):
-        source = source.withColumn(n_, k)
+    made = f.__dict__.setdefault("_groups", {})
+    same_groups = (_sentence[0], tuple(str(k) for k in keys), by_key, None if where is None else str(where), None if leave is None else str(leave))
+    if same_groups not in made:
+        names = [fresh("key") for _ in keys]
+        source = f.df if where is None else f.df.where(where)
+        for n_, k in zip(names, keys, strict=True):
+            source = source.withColumn(n_, k)
+        if leave is not None:  # aggregates skip nulls
+            out = fresh("out")
+            source = source.withColumn(out, leave)
+        first = None if by_key else F.min(order_key(f)) if f.pos or f.order else F.lit(0)
+        made[same_groups] = (GroupFrame(source, names, first), None if leave is None else out)
+    g, out = made[same_groups]
+    names, source = g.names, g.source
 
     def finish(c: Column) -> Vec:
-        name = fresh("g")
-        aggs = [c.alias(name)]
-        if not by_key:
-            aggs.append(F.min(order_key(f)).alias(first) if f.pos or f.order else F.lit(0).alias(first))
-        df = source.groupBy(*names).agg(*aggs)
-        out = Vec(Frame(df, [F.col(n_) for n_ in names] if by_key else [F.col(first)]), F.col(name))
-        out.keys = [F.col(n_) for n_ in names]
-        out.source = (f, tuple(str(k) for k in keys)) if where is None and not by_key else None
-        return out
+        v = Vec(g, g.add(c))
+        v.keys = [F.col(n_) for n_ in names]
+        return v
 
     def scans(c: Column, what: str, backward: bool) -> Vec:
         from .blocks import FOLDS
@@ -910,14 +1087,94 @@ def grouped(u: Verb, f: Frame, col: Column, keys: list[Column], by_key: bool = F
         name = fresh("s")
         return Vec(Frame(source.withColumn(name, FOLDS[what][0](c).over(w)), f.order, f.pos), F.col(name))
 
-    if leave is not None:  # aggregates skip nulls
-        out = fresh("out")
-        source = source.withColumn(out, leave)
-        col, size = F.when(~F.col(out), col), F.count(F.when(~F.col(out), 1))
+    if leave is not None:
+        own, size = F.when(~F.col(out), col), F.count(F.when(~F.col(out), 1))
     else:
-        size = F.count(F.lit(1))
-    runs = Runs(Frame(source, f.order, f.pos), col, lambda a: a, size, finish, pos, scans)
-    return close(u.monad(runs))
+        own, size = col, F.count(F.lit(1))
+    runs = Runs(Frame(source, f.order, f.pos), own, lambda a: a, size, finish, pos, scans)
+    try:
+        return close(u.monad(runs))
+    except NotYet:
+        return each_group(u, g, f, col if leave is None else None, by_key)
+
+
+def probe(u: Verb, t: T.DataType) -> str:
+    """The type of u's result on a few items of type t; a list of results is refused."""
+    few = {"string": np.array(["a", "b", "c"], dtype=object), "boolean": np.array([True, False, True]), "double": np.array([1.5, 2.5, 4.0])}.get(t.simpleString(), np.array([1, 2, 4], np.int64))
+    try:
+        out = np.asarray(u.monad(few))
+    except LanguageError as e:
+        raise NotYet(f"{u} over runs of a distributed vector: {e}") from None
+    if out.ndim or out.dtype.kind not in "bif":
+        raise NotYet(f"{u} over runs of a distributed vector: its result is no number")
+    return {"b": "boolean", "i": "bigint", "f": "double"}[out.dtype.kind]
+
+
+def one_value(u: Verb, items_: np.ndarray, t: str):
+    """u of a run as a value of type t."""
+    out = np.asarray(u.monad(items_))
+    if out.ndim:
+        raise DomainError("results of several items")
+    v = out[()].item() if isinstance(out[()], np.generic) else out[()]
+    return float(v) if t == "double" else v
+
+
+def each_group(u: Verb, g: GroupFrame, f: Frame, col: Column | None, by_key: bool) -> Vec:
+    """Any verb on the items of every group, in order: one group at a time in Python, so a group must fit a worker."""
+    if col is None:
+        raise NotYet(f"{u} over cuts without their ends")
+    at, v, name = fresh("at"), fresh("v"), fresh("g")
+    if not (f.pos or f.order):
+        raise NotYet("items of groups in order; name an order with Table(order=...)")
+    source = g.source.select(*g.names, order_key(f).alias(at), col.alias(v))
+    t = source.schema[v].dataType
+    kind_ = probe(u, t)
+    first = source.schema[at]
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([*(source.schema[n] for n in g.names), StructField(g.first, first.dataType), StructField(name, T._parse_datatype_string(kind_))])
+    names, first_name = g.names, g.first
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        order = pc.sort_indices(table.column(at)) if not pa.types.is_struct(table.schema.field(at).type) else pa.array(sorted(range(table.num_rows), key=lambda i: tuple(table.column(at)[i].as_py().values())))
+        table = table.take(order)
+        own = table.column(v).to_numpy() if not pa.types.is_string(table.schema.field(v).type) else np.array(table.column(v).to_pylist(), dtype=object)
+        out = one_value(u, own, kind_)
+        cols = [table.column(n).slice(0, 1) for n in names] + [table.column(at).slice(0, 1), pa.chunked_array([pa.array([out])])]
+        return pa.Table.from_arrays([c.combine_chunks() for c in cols], names=[*names, first_name, name]).cast(_arrow(schema))
+
+    df = source.groupBy(*g.names).applyInArrow(run, schema)
+    out = Vec(Frame(df, [], g.names[0]) if by_key else Frame(df, [F.col(first_name)]), F.col(name))
+    out.keys = [F.col(n) for n in g.names]
+    return out
+
+
+def _arrow(schema):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def each_window(u: Verb, p: Vec, k: int, back: bool) -> Vec:
+    """Any verb on every window, block by block in Python."""
+    b, home, v, at, name = (fresh(x) for x in ("b", "home", "v", "at", "w"))
+    kind_ = probe(u, p.type)
+    df = spread(p.frame, k - 1, 0, b, home).select(b, (F.col(b) == F.col(home)).alias(home), F.col(q(p.frame.pos)).alias(at), p.col.alias(v))
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by(at)
+        own, pos = table.column(home).to_pylist(), table.column(at).to_pylist()
+        items_ = table.column(v).to_numpy() if not pa.types.is_string(table.schema.field(v).type) else np.array(table.column(v).to_pylist(), dtype=object)
+        ends = [i for i in range(k - 1, len(pos)) if own[i]]
+        made = [one_value(u, items_[i - k + 1 : i + 1][::-1] if back else items_[i - k + 1 : i + 1], kind_) for i in ends]
+        return pa.table({POS: pa.array([pos[i] - k + 1 for i in ends], pa.int64()), name: pa.array(made, {"boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64()}[kind_])})
+
+    return Vec(Frame(df.groupBy(b).applyInArrow(run, f"{POS} long, {name} {kind_}"), [], POS), F.col(name))
 
 
 def key(u: Verb, x, y):
@@ -930,14 +1187,9 @@ def key(u: Verb, x, y):
         if x.frame is not y.frame:
             raise NotYet("keys and values of different tables")
         return grouped(u, y.frame, y.col, x.columns())
-    a, b = align(x, y)
-    if a.front or a.back:
-        n, v = fresh("k"), fresh("v")
-        f = a.frame.dense()
-        pos = F.col(q(f.pos))
-        df = f.df.where((pos >= a.front) & (pos < f.count() - a.back)).select((pos - a.front).alias(POS), a.col.alias(n), b.col.alias(v))
-        return grouped(u, Frame(df, [], POS), F.col(v), [F.col(n)])
-    return grouped(u, b.frame, b.col, [a.col])
+    a, b = (v.trimmed() for v in align(x, y))
+    t = type_of(a)
+    return grouped(u, b.frame, b.col, [alike(a.col, t)])
 
 
 def run_fold(u: Verb, y: Runs) -> Column:
@@ -1022,7 +1274,7 @@ def cut(u: Verb, k: int, x, y):
     if a.front or a.back:
         raise NotYet("a cut of shifted views; take them apart first")
     f = b.frame.dense()
-    mark = a.col.cast("boolean")
+    mark = flag(a)
     run, name = scan(f, mark.cast("long"), "sum")
     seg = F.col(name)
     if abs(k) == 2:
@@ -1030,21 +1282,25 @@ def cut(u: Verb, k: int, x, y):
         keep = seg < Scalar(f, F.coalesce(F.sum(mark.cast("long")), F.lit(0))).inline()
     else:
         keep = seg > 0
+        seg = seg - 1
     return grouped(u, run, b.col, [seg], by_key=True, where=keep, leave=mark if k < 0 else None)
 
 
 def table(u: Verb, x, y):
-    """u of every pair: a local side spreads over columns or rows, two distributed sides meet pair by pair."""
+    """u of every pair: a local side spreads over columns or rows; of two distributed sides the right one, FEW items at most, meets every row."""
     if isinstance(x, Vec) and isinstance(y, np.ndarray):
         return Mat(x.trimmed().frame, [u.dyad(x.trimmed(), np.asarray(v)).col for v in np.ravel(y)])
     if isinstance(y, Vec) and isinstance(x, np.ndarray):
         t = y.trimmed()
         return Mat(t.frame, [u.dyad(np.asarray(v), t).col for v in np.ravel(x)], None, turned=True)
-    a, b = x.placed(), y.placed()
-    i, j, va, vb = fresh("i"), fresh("j"), fresh("x"), fresh("y")
-    pairs = a.frame.df.select(F.col(q(a.frame.pos)).alias(i), a.col.alias(va)).crossJoin(b.frame.df.select(F.col(q(b.frame.pos)).alias(j), b.col.alias(vb)))
-    f = Frame(pairs, [F.col(i), F.col(j)])
-    return u.dyad(Vec(f, F.col(va)), Vec(f, F.col(vb)))
+    a, b = x.trimmed(), y.placed()
+    got = F.array_sort(F.collect_list(F.struct(F.col(q(b.frame.pos)).alias("p"), b.col.alias("v"))))
+    some = F.when(F.count(F.lit(1)) > FEW, F.raise_error(F.lit(f"a table of pairs whose right side has more than {FEW} items"))).otherwise(got)
+    few = b.frame.df.limit(FEW + 1).agg(some.alias("a")).select(F.transform("a", lambda s: s["v"])).scalar()
+    tx, ty = type_of(a), type_of(b)
+    name = fresh("few")
+    g = Frame(a.frame.df.withColumn(name, few), a.frame.order, a.frame.pos, a.frame)
+    return Mat(g, None, F.transform(name, lambda v: scalars.dyad(u.name, a.col, v, tx, ty, apl_of(u))))
 
 
 def oblique(u: Verb, y):
@@ -1111,15 +1367,38 @@ class Rows(Distributed):
 def ranked(u: Verb, ranks, y, x=None):
     m = ranks[0] if x is None else ranks[2]
     if isinstance(y, Mat) and m == 1 and x is None:
-        out = on_rows(u, y)
-        return out
+        return on_rows(u, y)
     if isinstance(y, (Vec, Scalar)) and x is None:
-        return u.monad(y) if m != 1 or isinstance(y, Scalar) else u.monad(y)
+        return on_atoms(u, y) if m == 0 and isinstance(y, Vec) else u.monad(y)
     if x is not None:
+        if m == 0 and isinstance(y, Vec) and u.node != "Prim":
+            raise NotYet(f"{u} between atoms of distributed vectors")
         return u.dyad(x, y)
     return u.monad(y)
 
 
+def on_atoms(u: Verb, y: Vec):
+    """A verb on each item of a vector: a fold of one item is the item, a count of one is 1, the rest is elementwise."""
+    if u.node == "Reduce":
+        return y
+    if u.node == "Fork":
+        f, g, h = u.parts
+        return g.dyad(on_atoms(f, y), on_atoms(h, y))
+    if u.node == "NounFork":
+        return u.parts[1].dyad(u.parts[0], on_atoms(u.parts[2], y))
+    if u.node == "Hook":
+        return u.parts[0].dyad(y, on_atoms(u.parts[1], y))
+    if u.node == "Atop" and len(u.parts) == 2 and all(isinstance(p, Verb) for p in u.parts):
+        return on_atoms(u.parts[0], on_atoms(u.parts[1], y))
+    if u.name in ("#", "≢"):
+        return Vec(y.frame, F.lit(1).cast("long"), y.front, y.back)
+    if u.name in ("[", "]", "⊢", "⊣", "{.", "{:", "|.", "⌽", ",", "~.", "/:~"):
+        return y
+    if u.node == "Prim" and u.name in scalars.ONE:
+        return u.monad(y)
+    raise NotYet(f"{u} on each item of a distributed vector")
+
+
 def on_rows(u: Verb, y: Mat):
     """A verb on each row of a matrix: folds go across columns, trains combine, the rest is elementwise."""
     if u.node == "Reduce":
@@ -1192,25 +1471,30 @@ def each(u: Verb, y):
 # actions
 
 
+def plain(v):
+    """A complex item as a number."""
+    return complex(v["re"], v["im"]) if isinstance(v, Row) and v.asDict().keys() == {"re", "im"} else v
+
+
 def gather(v) -> np.ndarray:
     """A distributed value as a local array; for results whose size is known to be small."""
     if isinstance(v, np.ndarray):
         return v
     if isinstance(v, Scalar):
-        return np.asarray(v.to_df().first()[0])
+        return np.asarray(plain(v.to_df().first()[0]))
     if isinstance(v, Tuple):
         return np.array(list(v.to_df().first()))
     if isinstance(v, Vec):
-        rows = v.to_df("v", "p").orderBy("p").collect()
-        values = [r["v"] for r in rows]
+        found = v.to_df("v", "p").orderBy("p").collect()
+        values = [plain(r["v"]) for r in found]
         if values and isinstance(values[0], str):
             return np.array(values, dtype=object) if any(len(s) != 1 for s in values) else np.array(values, "<U1")
         if values and isinstance(values[0], list):
-            return np.array(values)
+            return obj(Box(np.array(r)) for r in values)
         return np.array(values) if values else np.zeros(0, np.int64)
     if isinstance(v, Mat):
-        rows = v.to_df(pos="p").orderBy("p").collect()
-        out = np.array([r[1] if v.cols is None else list(r)[1:] for r in rows])
+        found = v.to_df(pos="p").orderBy("p").collect()
+        out = frame_up([np.array(r[1] if v.cols is None else list(r)[1:]) for r in found], (len(found),))
         return out.T if v.turned else out
     raise NotYet("gathering this value")
 

@@ -37,7 +37,7 @@ def equal(a: Column, b: Column, ta: str, tb: str, apl: bool, tolerance: float |
 
 def divide(a: Column, b: Column, apl: bool) -> Column:
     a, b = a.cast("double"), b.cast("double")
-    zero = F.when(a == 0, 1.0).otherwise(F.raise_error(F.lit("division by zero")).cast("double")) if apl else F.when(a == 0, 0.0).otherwise(F.signum(a) * inf())
+    zero = F.when(a == 0, 1.0).otherwise(refused("division by zero")) if apl else F.when(a == 0, 0.0).otherwise(F.signum(a) * inf())
     return F.when(b == 0, zero).otherwise(a / b)
 
 
@@ -64,9 +64,35 @@ def gcd(a: Column, b: Column) -> Column:
     return done["a"]
 
 
+def refused(why: str, t: str = "double") -> Column:
+    return F.raise_error(F.lit(f"domain error: {why}")).cast(t)
+
+
+def ln(c: Column, apl: bool) -> Column:
+    zero = refused("logarithm of zero") if apl else -inf()
+    return F.when(c == 0, zero).when(c < 0, refused("logarithm of a negative number")).otherwise(F.ln(c))
+
+
+def power(a: Column, b: Column) -> Column:
+    """Java's power, but for complex results, which are refused, and for one to any power."""
+    return F.when(a == 1, 1.0).when((a < 0) & (b != F.rint(b)) & (F.abs(b) < inf()), refused("power of a negative number that is complex")).otherwise(F.pow(a, b))
+
+
+def within(c: Column, ok: Column, value: Column) -> Column:
+    return F.when(ok | F.isnan(c), value).otherwise(refused("circle function whose result is complex"))
+
+
+def truth(c: Column, t: str) -> Column:
+    """0 and 1 as Booleans; other numbers are refused."""
+    if t == "boolean":
+        return c
+    return F.when((c != 0) & (c != 1), refused("logic of other numbers than 0 and 1", "boolean")).otherwise(c.cast("boolean"))
+
+
 CIRCLE = {
-    0: lambda c: F.sqrt(1 - c * c), 1: F.sin, 2: F.cos, 3: F.tan, 4: lambda c: F.sqrt(1 + c * c), 5: F.sinh, 6: F.cosh, 7: F.tanh, 9: lambda c: c, 10: F.abs, 11: lambda c: c * 0,
-    -1: F.asin, -2: F.acos, -3: F.atan, -4: lambda c: F.when(c == -1, 0.0).otherwise((c + 1) * F.sqrt((c - 1) / (c + 1))), -5: F.asinh, -6: F.acosh, -7: F.atanh, -9: lambda c: c, -10: lambda c: c,
+    0: lambda c: within(c, F.abs(c) <= 1, F.sqrt(1 - c * c)), 1: F.sin, 2: F.cos, 3: F.tan, 4: lambda c: F.sqrt(1 + c * c), 5: F.sinh, 6: F.cosh, 7: F.tanh, 9: lambda c: c, 10: F.abs, 11: lambda c: c * 0,
+    12: lambda c: F.when(c < 0, math.pi).otherwise(0.0), -1: lambda c: within(c, F.abs(c) <= 1, F.asin(c)), -2: lambda c: within(c, F.abs(c) <= 1, F.acos(c)), -3: F.atan,
+    -4: lambda c: F.when(c == -1, 0.0).otherwise(within(c, F.abs(c) >= 1, (c + 1) * F.sqrt((c - 1) / (c + 1)))), -5: F.asinh, -6: lambda c: within(c, c >= 1, F.acosh(c)), -7: lambda c: within(c, F.abs(c) <= 1, F.atanh(c)), -9: lambda c: c, -10: lambda c: c,
 }
 #: Spellings of both notations, by what they do.
 ONE = {
@@ -96,9 +122,9 @@ def monad(name: str, c: Column, t: str, apl: bool) -> Column:
     if what == "exp":
         return F.exp(d)
     if what == "ln":
-        return F.when(d == 0, F.raise_error(F.lit("logarithm of zero")).cast("double") if apl else -inf()).when(d < 0, F.raise_error(F.lit("logarithm of a negative number")).cast("double")).otherwise(F.ln(d))
+        return ln(d, apl)
     if what == "sqrt":
-        return F.when(d < 0, F.raise_error(F.lit("root of a negative number")).cast("double")).otherwise(F.sqrt(d))
+        return F.when(d < 0, refused("root of a negative number")).otherwise(F.sqrt(d))
     if what == "abs":
         return F.abs(n)
     if what in ("floor", "ceil"):
@@ -128,11 +154,11 @@ def dyad(name: str, a: Column, b: Column, ta: str, tb: str, apl: bool, left=None
     if what == "divide":
         return divide(x, y, apl)
     if what == "power":
-        return F.pow(x.cast("double"), y.cast("double"))
+        return power(x.cast("double"), y.cast("double"))
     if what == "log":
-        return divide(F.ln(y.cast("double")), F.ln(x.cast("double")), apl)
+        return divide(ln(y.cast("double"), apl), ln(x.cast("double"), apl), apl)
     if what == "root":
-        return F.pow(y.cast("double"), 1 / x.cast("double"))
+        return power(y.cast("double"), divide(F.lit(1.0), x, apl))
     if what == "residue":
         return residue(x, y, floats)
     if what in ("min", "max"):
@@ -147,7 +173,7 @@ def dyad(name: str, a: Column, b: Column, ta: str, tb: str, apl: bool, left=None
             return {"lt": x < y, "gt": x > y, "le": x <= y, "ge": x >= y}[what]
         return {"lt": (x < y) & ~same, "gt": (x > y) & ~same, "le": (x < y) | same, "ge": (x > y) | same}[what]
     if what in ("nor", "nand"):
-        p, r = x.cast("boolean"), y.cast("boolean")
+        p, r = truth(a, ta), truth(b, tb)
         return ~(p | r) if what == "nor" else ~(p & r)
     if what in ("gcd", "lcm"):
         if ta == tb == "boolean":

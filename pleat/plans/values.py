@@ -9,6 +9,7 @@ them, without moving all rows to one task.
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 from dataclasses import dataclass, field
 
@@ -31,13 +32,27 @@ def q(name: str) -> str:
     return f"`{name}`"
 
 
+#: The sentence that is being run: extensions of a frame are shared within one.
+_sentence = [0]
+
+
+def next_sentence() -> None:
+    _sentence[0] += 1
+
+
 @dataclass(eq=False)
 class Frame:
-    """Rows in an order: by the dense column ``pos`` (0 to n - 1) if there is one, else by ``order``."""
+    """Rows in an order: by the dense column ``pos`` (0 to n - 1) if there is one, else by ``order``.
+
+    ``base`` is a frame whose rows and columns this one has too, at the same positions.  Positions that
+    the caller ``claimed`` are verified before anything counts on them.
+    """
 
     df: DataFrame
     order: list[Column] = field(default_factory=list)
     pos: str | None = None
+    base: Frame | None = None
+    claimed: bool = False
 
     def ordering(self) -> list[Column]:
         if self.pos:
@@ -46,6 +61,14 @@ class Frame:
             raise NotYet("the rows of this table have no order; name one with Table(order=...)")
         return self.order
 
+    def extends(self, other: Frame) -> bool:
+        f = self
+        while f is not None:
+            if f is other or f is getattr(other, "_dense", None):
+                return True
+            f = f.base
+        return False
+
     def dense(self) -> Frame:
         """This frame with dense positions, columns unchanged.
 
@@ -54,6 +77,9 @@ class Frame:
         elsewhere.  Partitions then shift by the counts of those before them: one row per partition.
         """
         if self.pos:
+            if self.claimed:
+                verify_positions(self.df, self.pos)
+                self.claimed = False
             return self
         if getattr(self, "_dense", None) is None:
             mark, part, base = fresh("mark"), fresh("part"), fresh("base")
@@ -68,7 +94,117 @@ class Frame:
 
     def count(self) -> Column:
         """Number of rows as a scalar subquery."""
-        return self.df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        f = self
+        while f.base is not None:
+            f = f.base
+        return f.df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    def trim(self, front: int, back: int) -> Frame:
+        """This dense frame without its first and last rows; one frame for all columns that ask for the same."""
+        made = self.__dict__.setdefault("_trims", {})
+        if (front, back) not in made:
+            made[front, back] = TrimFrame(self, front, back)
+        return made[front, back]
+
+    def windows(self) -> WindowFrame:
+        """The extension of this dense frame that takes window columns; one for a sentence."""
+        held = getattr(self, "_windows", None)
+        if held is None or held[0] != _sentence[0]:
+            self._windows = held = (_sentence[0], WindowFrame(self))
+        return held[1]
+
+
+class TrimFrame(Frame):
+    """A dense frame's rows between its first ``front`` and last ``back``, with positions of their own."""
+
+    def __init__(self, parent: Frame, front: int, back: int):
+        self.parent, self.front, self.back = parent, front, back
+        self.order, self.pos, self.base, self.claimed = [], fresh("pos"), None, False
+        self._made: tuple = (None, None)
+
+    @property
+    def df(self) -> DataFrame:
+        whole = self.parent.df
+        if self._made[0] is not whole:
+            at = F.col(q(self.parent.pos))
+            keep = at >= self.front
+            if self.back:
+                keep = keep & (at < self.parent.count() - self.back)
+            self._made = (whole, whole.where(keep).withColumn(self.pos, at - self.front))
+        return self._made[1]
+
+
+class WindowFrame(Frame):
+    """A dense frame with columns that look at neighbouring rows: windows over blocks of rows, all in one exchange.
+
+    Each block holds copies of the neighbours that its widest window needs; the copies leave at the end.
+    """
+
+    def __init__(self, base: Frame):
+        self.base, self.order, self.pos, self.claimed = base, [], base.pos, False
+        self.before = self.after = 0
+        self.columns: dict[str, Column] = {}
+        self.block, self.home = fresh("b"), fresh("home")
+        self.window = Window.partitionBy(self.block).orderBy(F.col(q(base.pos)))
+        self._made: tuple = (None, None, None)
+
+    def add(self, col: Column, before: int, after: int) -> Column:
+        name = fresh("w")
+        self.columns[name] = col
+        self.before, self.after = max(self.before, before), max(self.after, after)
+        return F.col(name)
+
+    @property
+    def df(self) -> DataFrame:
+        from .blocks import spread
+
+        whole, size = self.base.df, len(self.columns)
+        if self._made[0] is not whole or self._made[1] != size:
+            df = spread(self.base, self.before, self.after, self.block, self.home).withColumns(self.columns)
+            self._made = (whole, size, df.where(F.col(self.block) == F.col(self.home)).drop(self.block, self.home))
+        return self._made[2]
+
+
+class GroupFrame(Frame):
+    """One row a group of ``source``: all columns that ask for the same groups are aggregates of one pass."""
+
+    def __init__(self, source: DataFrame, names: list[str], first: Column | None):
+        self.source, self.names = source, names
+        self.base, self.claimed = None, False
+        self.pos = None if first is not None else names[0]  # without first rows the key itself is the position
+        self.first = fresh("first")
+        self.order = [F.col(self.first)] if first is not None else []
+        self.aggs = [first.alias(self.first)] if first is not None else []
+        self._made: DataFrame | None = None
+
+    def add(self, agg: Column) -> Column:
+        name = fresh("g")
+        self.aggs.append(agg.alias(name))
+        self._made = self._dense = None
+        return F.col(name)
+
+    @property
+    def df(self) -> DataFrame:
+        if self._made is None:
+            self._made = self.source.groupBy(*self.names).agg(*self.aggs)
+        return self._made
+
+
+_verified: set = set()
+
+
+def verify_positions(df: DataFrame, pos: str) -> None:
+    """Refuse positions other than 0 to n - 1, once each: by their number, bounds and the exclusive or of their hashes."""
+    key = (df.sparkSession.sparkContext.applicationId, df.select(q(pos)).semanticHash())
+    if key in _verified:
+        return
+    c = F.col(q(pos)).cast("long")
+    n, known, low, high, mark = df.agg(F.count(F.lit(1)), F.count(c), F.min(c), F.max(c), F.bit_xor(F.xxhash64(c))).first()
+    if n:
+        want = None if (known, low, high) != (n, 0, n - 1) else df.sparkSession.range(n).agg(F.bit_xor(F.xxhash64("id"))).first()[0]
+        if want is None or want != mark:
+            raise DomainError(f"column {pos} does not hold the positions 0 to {n - 1}; name it as an order instead")
+    _verified.add(key)
 
 
 class Scalar(Distributed):
@@ -117,14 +253,7 @@ class Vec(Distributed):
         """The same vector on a frame of its own rows."""
         if not self.front and not self.back:
             return self
-        f = self.frame.dense()
-        pos = F.col(q(f.pos))
-        keep = pos >= self.front
-        if self.back:
-            keep = keep & (pos < f.count() - self.back)
-        name = fresh("v")
-        df = f.df.where(keep).select((pos - self.front).alias(POS), self.col.alias(name))
-        return Vec(Frame(df, [], POS), F.col(name))
+        return Vec(self.frame.dense().trim(self.front, self.back), self.col)
 
     def placed(self) -> Vec:
         """On a frame with dense positions."""
@@ -207,29 +336,44 @@ class RunScalar(Distributed):
 class Table:
     """A DataFrame to bind: an order (column names, ``-name`` for descending) or a dense position column.
 
-    ``table["c"]`` is a vector, ``table.matrix("a", "b")`` a matrix of columns, ``table.cells("e")`` one
-    of array cells.  Columns must be of one type per matrix and free of nulls where a verb counts on it.
+    ``table["c"]`` is a vector (of complex numbers, if c holds structs of re and im or c_re and c_im are
+    columns), ``table.matrix("a", "b")`` a matrix of columns, ``table.cells("e")`` one
+    of array cells.  Columns must be of one type per matrix.  Nulls are refused by the column's name as
+    rows are read; ``whole=True`` states that there are none, which lets filters reach the files.
     """
 
-    def __init__(self, df: DataFrame, order: list[str] | None = None, pos: str | None = None):
+    def __init__(self, df: DataFrame, order: list[str] | None = None, pos: str | None = None, whole: bool = False):
         if df.isStreaming and (order or pos):
             raise NotYet("an order over a stream")
         cols = [F.col(q(c[1:])).desc() if c.startswith("-") else F.col(q(c)) for c in order or []]
-        self.frame = Frame(df, cols, pos)
+        self.frame = Frame(df, cols, pos, None, pos is not None)
+        self.whole = whole
+
+    def known(self, name: str, col: Column, nullable: bool, kind: T.DataType) -> Column:
+        if self.whole or not nullable:
+            return col
+        return F.coalesce(col, F.raise_error(F.lit(f"column {name} holds nulls, which are not read")).cast(kind))
 
     def __getitem__(self, name: str) -> Vec:
-        kind = self.frame.df.schema[name].dataType
+        fields = self.frame.df.schema
+        if name not in fields.names and {f"{name}_re", f"{name}_im"} <= set(fields.names):
+            return Vec(self.frame, F.struct(self[f"{name}_re"].col.cast("double").alias("re"), self[f"{name}_im"].col.cast("double").alias("im")))
+        if name not in fields.names:
+            raise DomainError(f"the table has no column {name}")
+        kind = fields[name].dataType
         if isinstance(kind, T.DecimalType):
             raise DomainError(f"column {name} holds decimals, which are not read")
+        col = self.known(name, F.col(q(name)), fields[name].nullable, kind)
         if isinstance(kind, T.TimestampType):
-            return Vec(self.frame, F.unix_micros(F.col(q(name))))
+            return Vec(self.frame, F.unix_micros(col))
         if isinstance(kind, T.TimestampNTZType):
-            return Vec(self.frame, F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {q(name)})"))
+            made = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {q(name)})")
+            return Vec(self.frame, self.known(name, made, fields[name].nullable, T.LongType()))
         if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
-            return Vec(self.frame, F.col(q(name)).cast("long"))
+            return Vec(self.frame, col.cast("long"))
         if isinstance(kind, T.FloatType):
-            return Vec(self.frame, F.col(q(name)).cast("double"))
-        return Vec(self.frame, F.col(q(name)))
+            return Vec(self.frame, col.cast("double"))
+        return Vec(self.frame, col)
 
     def matrix(self, *names: str) -> Mat:
         kinds = {self[n].type.simpleString() for n in names}
@@ -238,14 +382,20 @@ class Table:
         return Mat(self.frame, [self[n].col for n in names])
 
     def cells(self, name: str) -> Mat:
-        return Mat(self.frame, None, F.transform(F.col(q(name)), lambda v: v.cast("double")))
+        kind = self.frame.df.schema[name].dataType
+        col = self.known(name, F.col(q(name)), self.frame.df.schema[name].nullable, kind)
+        one = lambda v: self.known(name, v, kind.containsNull, kind.elementType).cast("double")
+        return Mat(self.frame, None, F.transform(col, one))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir; to one of our own only where none is set (tests)."""
+    """``df`` written to the folder of spark.checkpoint.dir; to one of our own only where none is set and all runs in one process (tests)."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pleat-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise DomainError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pleat-"))
     return df.checkpoint()
 
 
