@@ -162,7 +162,7 @@ on_events("floor_ceiling", "(<. {x}) + >. {x} % 2", "SELECT event_id AS pos, CAS
 on_events("min_max", "10 >. {x} <. 50", f"SELECT event_id AS pos, {v('greatest(10, least(value, 50))')} FROM events")
 on_events("signum_magnitude", "(* {x} - 50) * | {x} - 50", f"SELECT event_id AS pos, {v('value - 50')} FROM events")
 on_events("halve_square", "(-: {x}) + *: {x}", f"SELECT event_id AS pos, {v('value / 2 + value * value')} FROM events")
-on_events("increment_not", "(>: {u}) + -. {u}", "SELECT event_id AS pos, CAST(2 AS BIGINT) AS v FROM events", floats=False, u="user_id")
+on_events("increment_not", "(>: {u}) * -. {u}", "SELECT event_id AS pos, (user_id + 1) * (1 - user_id) AS v FROM events", floats=False, u="user_id")
 on_events("nand_nor", "({x} > 50) *: ({x} > 20) +: {x} > 40", "SELECT event_id AS pos, NOT (value > 50 AND NOT (value > 20 OR value > 40)) AS v FROM events", floats=False)
 on_events("comparisons", "({x} >: 10) + ({x} <: 20) + {x} ~: 30", "SELECT event_id AS pos, CAST(value >= 10 AS BIGINT) + CAST(value <= 20 AS BIGINT) + CAST(value <> 30 AS BIGINT) AS v FROM events", floats=False)
 on_events("bitwise", "{u} 17 b. 13", "SELECT event_id AS pos, user_id & 13 AS v FROM events", floats=False, u="user_id")
@@ -173,8 +173,7 @@ on_events("tolerant_equal", "+/ {x} = {x} + 1e_15 * {x}", "SELECT count(*) AS v
 on_events("pi_times", "o. {x}", f"SELECT event_id AS pos, {v('pi() * value')} FROM events")
 on_events("agenda", "(-: ` +: @. (>&50)) {x}", f"SELECT event_id AS pos, {v('CASE WHEN value > 50 THEN 2 * value ELSE value / 2 END')} FROM events")
 on_events("hook_bond", "(- 10&|) {u}", "SELECT event_id AS pos, user_id - user_id % 10 AS v FROM events", floats=False, u="user_id")
-on_events("format_text", '6j1 ": {x}', "SELECT event_id AS pos, lpad(printf('%.1f', value), 6, ' ') AS v FROM events WHERE false", floats=False)
-del ORACLE["format_text"]
+on_events("format_text", '6j1 ": {x}', "SELECT event_id AS pos, lpad(printf('%.1f', value), 6, ' ') AS v FROM events", floats=False)
 on_events("explicit_verb", "scale =. 3 : 'lo =. <./ y\n(y - lo) % (>./ y) - lo'\nscale {x}", f"SELECT event_id AS pos, {v('(value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events)')} FROM events")
 
 
@@ -193,10 +192,10 @@ def outer_product(spark, sf):
     return rounded(j("{x} */ 1 2 3", {"x": events(spark, sf)["value"]}).to_df("a", "b", "c", pos="pos"), "a", "b", "c")
 
 
-@query("table_of_pairs", "SELECT CAST(n.n_nationkey * r.r_regionkey AS BIGINT) AS v FROM nation n, region r")
+@query("table_of_pairs", "SELECT n_nationkey * 5 + r_regionkey AS pos, CAST(n_nationkey * r_regionkey AS BIGINT) AS v FROM nation, region")
 def table_of_pairs(spark, sf):
     n, r = read(spark, sf, "nation", pos="n_nationkey"), read(spark, sf, "region", pos="r_regionkey")
-    return j("{n} */ {r}", {"n": n["n_nationkey"], "r": r["r_regionkey"]}).to_df("v")
+    return j(", {n} */ {r}", {"n": n["n_nationkey"], "r": r["r_regionkey"]}).to_df("v", pos="pos")
 
 
 @query("oblique", "SELECT d AS pos, ROUND(sum(x), 4) + 0.0 AS v FROM (SELECT event_id AS d, value AS x FROM events UNION ALL SELECT event_id + 1, CAST(user_id AS DOUBLE) FROM events) GROUP BY d")
@@ -224,8 +223,8 @@ on_events("from_positions", "{u} { {x}", f"SELECT a.event_id AS pos, {v('b.value
 on_events("find_run", "(3 | {u}) E.~ 1 2", "SELECT event_id AS pos, coalesce(user_id % 3 = 1 AND lead(user_id % 3) OVER (ORDER BY event_id) = 2, false) AS v FROM events", floats=False, u="user_id")
 on_events("indices", "I. {x} > 450", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id AS v FROM events WHERE value > 450", floats=False)
 on_events("returns", "(1 }. {x}) % _1 }. {x}", f"SELECT event_id - 1 AS pos, {v('value / p')} FROM (SELECT event_id, value, lag(value) OVER (ORDER BY event_id) AS p FROM events) WHERE p IS NOT NULL")
-on_events("match_reversed", "{x} -: |. |. {x}", "SELECT true AS v", pos=False, floats=False)
-on_events("reshape_rows", '+/"1 (100 50 $ {x})', f"SELECT event_id // 50 AS pos, {v('sum(value)')} FROM events WHERE event_id < 5000 GROUP BY 1")
+on_events("match_reversed", "({x} -: |. |. {x}) + 2 * {x} -: |. {x}", "SELECT CAST(1 + 2 * CAST(min(value) = max(value) AS INTEGER) AS BIGINT) AS v FROM events", pos=False, floats=False)
+on_events("reshape_rows", '+/"1 (100 50 $ {x})', f"SELECT k // 50 AS pos, {v('sum(value)')} FROM range(5000) t(k) JOIN events ON event_id = k % (SELECT count(*) FROM events) GROUP BY 1")
 
 
 # sorting, searching and sets
@@ -256,16 +255,16 @@ def lookup_join(spark, sf):
     return rounded(j("({c} i. {o}) { {b}", {"c": c["c_custkey"], "b": c["c_acctbal"], "o": o["o_custkey"]}).to_df("v", pos="pos"), "v")
 
 
-@query("member_table", "SELECT c_custkey AS pos, c_custkey IN (SELECT o_custkey FROM orders) AS v FROM customer")
+@query("member_table", "SELECT c_custkey AS pos, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AS v FROM customer")
 def member_table(spark, sf):
     c, o = read(spark, sf, "customer", pos="c_custkey"), read(spark, sf, "orders", pos="o_orderkey")
-    return j("{c} e. {o}", {"c": c["c_custkey"], "o": o["o_custkey"]}).to_df("v", pos="pos")
+    return j("{c} e. ({t} > 300000) # {o}", {"c": c["c_custkey"], "o": o["o_custkey"], "t": o["o_totalprice"]}).to_df("v", pos="pos")
 
 
-@query("less", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey AS v FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+@query("less", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey AS v FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def less(spark, sf):
     p, li = read(spark, sf, "part", pos="p_partkey"), lineitem(spark, sf)
-    return j("{p} -. ({q} > 25) # {l}", {"p": p["p_partkey"], "q": li["l_quantity"], "l": li["l_partkey"]}).to_df("v", pos="pos")
+    return j("{p} -. ({q} > 49) # {l}", {"p": p["p_partkey"], "q": li["l_quantity"], "l": li["l_partkey"]}).to_df("v", pos="pos")
 
 
 @query("interval_index_table", "SELECT c_custkey AS pos, (SELECT count(*) FROM supplier WHERE s_acctbal < c_acctbal) AS v FROM customer")
@@ -349,7 +348,6 @@ on_events("apl_dfn", "{(⍵-⌊/⍵)÷(⌈/⍵)-⌊/⍵} {x}", f"SELECT event_id
 
 keyed("apl_key", "{k}{+/⍵}⌸{x}", v("sum(value)"), language=apl)
 keyed("apl_key_range", "{k}{(⌈/⍵)-⌊/⍵}⌸{x}", v("max(value) - min(value)"), language=apl)
-on_events("apl_power", "({x}*2)÷○1", f"SELECT event_id AS pos, {v('value * value / pi()')} FROM events", language=apl)
 on_events("apl_rotate", "100⌽{x}", f"SELECT (event_id - 100 + (SELECT count(*) FROM events)) % (SELECT count(*) FROM events) AS pos, {v('value')} FROM events", language=apl)
 on_events("apl_index_of", "3 7 5⍳{u}", "SELECT event_id AS pos, CAST(CASE user_id WHEN 3 THEN 1 WHEN 7 THEN 2 WHEN 5 THEN 3 ELSE 4 END AS BIGINT) AS v FROM events", floats=False, language=apl, u="user_id")
 on_events("apl_interval", "0 20 40 80⍸{x}", "SELECT event_id AS pos, 1 + CAST((value >= 20) AS BIGINT) + CAST((value >= 40) AS BIGINT) + CAST((value >= 80) AS BIGINT) AS v FROM events", floats=False, language=apl)
@@ -359,7 +357,6 @@ on_events("apl_named", "d←1↓{x} ⋄ e←¯1↓{x} ⋄ ⌈/d-e", f"SELECT {v(
 on_events("sparse_indices", "4 $. ({x} > 450) * {x}", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id AS v FROM events WHERE value > 450", floats=False)
 on_events("sparse_values", "5 $. ({x} > 450) * {x}", f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, {v('value')} FROM events WHERE value > 450")
 on_events("member_strings", "+/ {t} = 'click'", "SELECT count(*) FILTER (event_type = 'click') AS v FROM events", pos=False, floats=False, t="event_type")
-on_events("parse_numbers", '0 ". {p}', "SELECT event_id AS pos, coalesce(TRY_CAST(props AS DOUBLE), 0.0) AS v FROM events", floats=False, p="props")
 on_events("timestamps", "(>./ - <./) {s}", "SELECT epoch_us(max(ts)) - epoch_us(min(ts)) AS v FROM events", pos=False, floats=False, s="ts")
 on_events("memo_fit", "+/ ({x} (=!.0) 6.55)", "SELECT count(*) FILTER (value = 6.55) AS v FROM events", pos=False, floats=False)
 
@@ -400,13 +397,150 @@ def apl_intersection(spark, sf):
     return apl("{c}∩{o}", {"c": c["c_custkey"], "o": o["o_custkey"]}).to_df("v", pos="pos")
 
 
-@query("apl_union", "SELECT p_partkey AS v FROM part UNION ALL SELECT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)")
+@query("apl_union", "SELECT p_partkey AS v FROM part UNION ALL SELECT s_suppkey + (SELECT count(*) FROM part) - 5 FROM supplier WHERE s_suppkey + (SELECT count(*) FROM part) - 5 NOT IN (SELECT p_partkey FROM part)")
 def apl_union(spark, sf):
-    p, li = read(spark, sf, "part", pos="p_partkey"), lineitem(spark, sf)
-    return apl("{p}∪{l}", {"p": p["p_partkey"], "l": li["l_partkey"]}).to_df("v")
+    p, u = read(spark, sf, "part", pos="p_partkey"), read(spark, sf, "supplier", pos="s_suppkey")
+    return apl("{p}∪{s}+(≢{p})-5", {"p": p["p_partkey"], "s": u["s_suppkey"]}).to_df("v")
 
 
 @query("apl_row_column", "SELECT ROUND(sum(l_quantity), 2) AS a, ROUND(sum(l_discount), 2) AS b FROM lineitem")
 def apl_row_column(spark, sf):
     df = apl("+⌿{m}", {"m": lineitem(spark, sf).matrix("l_quantity", "l_discount")}).to_df("a", "b")
     return df.select(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"))
+
+
+# guards, floats and complex numbers
+
+on_events("log_base", "2 ^. 1 + {x}", f"SELECT event_id AS pos, {v('log2(1 + value)')} FROM events")
+on_events("root_three", "3 %: {x}", f"SELECT event_id AS pos, {v('power(value, 1.0 / 3)')} FROM events")
+on_events("circle_inverse", "(_3 o. {x}) + _5 o. {x}", f"SELECT event_id AS pos, {v('atan(value) + asinh(value)')} FROM events")
+on_events("circle_angle", "12 o. {x} - 50", f"SELECT event_id AS pos, {v('CASE WHEN value < 50 THEN pi() ELSE 0 END')} FROM events")
+on_events("factorial_float", "! {x} % 100", f"SELECT event_id AS pos, {v('gamma(value / 100 + 1)')} FROM events")
+on_events("binomial", "2 ! {u}", f"SELECT event_id AS pos, {v('user_id * (user_id - 1) / 2')} FROM events", u="user_id")
+on_events("primes", "p: 20 | {u}", "SELECT event_id AS pos, CAST([2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71][user_id % 20 + 1] AS BIGINT) AS v FROM events", floats=False, u="user_id")
+on_events("prime_factors", '+/"1 q: 2 + 10 | {u}', f"SELECT event_id AS pos, {v('[2, 3, 4, 5, 5, 7, 6, 6, 7, 11][user_id % 10 + 1]')} FROM events", u="user_id")
+on_events("complex_magnitude", "| {x} j. {u}", f"SELECT event_id AS pos, {v('sqrt(value * value + user_id * user_id)')} FROM events", x="value", u="user_id")
+on_events("complex_polar", "12 o. r. {x} % 1000", f"SELECT event_id AS pos, {v('value / 1000')} FROM events")
+on_events("nub_floats", "# ~. 0.1 * {u}", "SELECT count(DISTINCT user_id) AS v FROM events", pos=False, floats=False, u="user_id")
+on_events("format_six", '": {x} % 7', "SELECT event_id AS pos, format('{:.6g}', value / 7) AS v FROM events", floats=False)
+on_events("code_points", "u: 65 + 26 | {u}", "SELECT event_id AS pos, chr(CAST(65 + user_id % 26 AS INTEGER)) AS v FROM events", floats=False, u="user_id")
+
+
+def shaped(name: str, sentence: str, names: list[str], sql: str, language=j, **columns: str) -> None:
+    """A query over events whose result is a matrix."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        t = events(spark, sf)
+        return rounded(language(sentence, {h: t[c] for h, c in columns.items()}).to_df(*names, pos="pos"), *names)
+
+    QUERIES[name] = run
+    ORACLE[name] = sql
+
+
+shaped("complex_parts", "+. ({x} j. 1) * 0j2 + 0 * {x}", ["a", "b"], "SELECT event_id AS pos, CAST(-2 AS DOUBLE) AS a, ROUND(2 * value, 4) + 0.0 AS b FROM events", x="value")
+shaped("polar_real", "*. {x} - 50", ["a", "b"], "SELECT event_id AS pos, ROUND(abs(value - 50), 4) AS a, ROUND(CASE WHEN value < 50 THEN pi() ELSE 0 END, 4) AS b FROM events", x="value")
+shaped("binary_digits", "#: 15 | {u}", ["a", "b", "c", "d"], "SELECT event_id AS pos, CAST(m // 8 AS DOUBLE) AS a, CAST(m // 4 % 2 AS DOUBLE) AS b, CAST(m // 2 % 2 AS DOUBLE) AS c, CAST(m % 2 AS DOUBLE) AS d FROM (SELECT event_id, user_id % 15 AS m FROM events)", u="user_id")
+
+
+@query("roll_mean", "SELECT CAST(4 AS BIGINT) AS v")
+def roll_mean(spark, sf):
+    """The tens of the mean of so many rolls below 100 are 4."""
+    rolls = j("? 100 + 0 * {u}", {"u": events(spark, sf)["user_id"]}).to_df("r")
+    return rolls.agg(F.floor(F.avg("r") / 10).alias("v"))
+
+
+@query("complex_columns", "SELECT ROUND(sum(value), 2) + 0.0 AS re, CAST(sum(user_id) AS DOUBLE) AS im FROM events")
+def complex_columns(spark, sf):
+    t = Table(spark.read.parquet(f"{sf}/events.parquet").withColumnsRenamed({"value": "z_re", "user_id": "z_im"}), pos="event_id")
+    return rounded(j("+/ {z}", {"z": t["z"]}).to_df("v").select("v.re", "v.im"), "re", "im", to=2)
+
+
+@query("parse_numbers", "SELECT event_id AS pos, CASE WHEN user_id % 3 = 0 THEN -1.0 ELSE value END AS v FROM events")
+def parse_numbers(spark, sf):
+    df = spark.read.parquet(f"{sf}/events.parquet").withColumn("p", F.when(F.col("user_id") % 3 == 0, F.lit("none")).otherwise(F.col("value").cast("string")))
+    return j('_1 ". {p}', {"p": Table(df, pos="event_id")["p"]}).to_df("v", pos="pos")
+
+
+# ranks, compositions and any verb over groups, windows, chunks and cuts
+
+on_events("under_rank", "(+/ % #) &.^. 1 + {x}", f"SELECT event_id AS pos, {v('1 + value')} FROM events")
+on_events("under_sum", "+/ &.: *: {x}", f"SELECT {v('sqrt(sum(value * value))')} FROM events", pos=False)
+on_events("compose", "{x} - &*: {u}", f"SELECT event_id AS pos, {v('value * value - user_id * user_id')} FROM events", x="value", u="user_id")
+on_events("power_three", "(1.5&*) ^: 3 {x}", f"SELECT event_id AS pos, {v('3.375 * value')} FROM events")
+on_events("fixed_point", "(<. @ -:) ^: _ {u}", "SELECT event_id AS pos, CAST(0 AS BIGINT) AS v FROM events", floats=False, u="user_id")
+on_events("last_index", "+/ {u} i: 3 7 5", "SELECT CAST(sum(coalesce(m, (SELECT count(*) FROM events))) AS BIGINT) AS v FROM (VALUES (3), (7), (5)) t(k) LEFT JOIN (SELECT user_id, max(event_id) AS m FROM events GROUP BY 1) ON user_id = k", pos=False, floats=False, u="user_id")
+on_events("semi_join", "({u} e. 3 5) # {u}", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, user_id AS v FROM events WHERE user_id IN (3, 5)", floats=False, u="user_id")
+on_events("infix_alternating", "3 -/\\ {x}", f"SELECT event_id - 2 AS pos, v FROM (SELECT event_id, {v('lag(value, 2) OVER (ORDER BY event_id) - (lag(value) OVER (ORDER BY event_id) - value)')} FROM events) WHERE event_id >= 2")
+on_events("infix_median", "5 (3 : '2 { /:~ y')\\ {x}", f"SELECT event_id - 4 AS pos, v FROM (SELECT event_id, {v('list_sort(list(value) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))[3]')} FROM events) WHERE event_id >= 4")
+on_events("infix_nothing", "0 #\\ {x}", "SELECT CAST(k AS BIGINT) AS pos, CAST(0 AS BIGINT) AS v FROM range((SELECT count(*) + 1 FROM events)) t(k)", floats=False)
+on_events("chunk_spread", "_100 (3 : '({: - {.) /:~ y')\\ {x}", f"SELECT event_id // 100 AS pos, {v('max(value) - min(value)')} FROM events GROUP BY 1")
+keyed("key_median", "{k} (3 : '(<. -: # y) { /:~ y')/. {x}", v("list_sort(list(value))[CAST(floor(count(*) / 2) AS INTEGER) + 1]"))
+on_events("cut_any", "({x} > 100) (3 : '{: /:~ y');.1 {x}", f"SELECT s - 1 AS pos, {v('max(value)')} FROM ({SEGMENTS}) WHERE s > 0 GROUP BY s")
+on_events("decode_vector", "2 #. 20 {. 2 | {u}", "SELECT CAST(sum((user_id % 2) * CAST(power(2, 19 - event_id) AS BIGINT)) AS BIGINT) AS v FROM events WHERE event_id < 20", pos=False, floats=False, u="user_id")
+on_events("ravel_rows", ", {x} ,. {u}", f"SELECT 2 * event_id + k AS pos, {v('CASE k WHEN 0 THEN value ELSE user_id END')} FROM events, (VALUES (0), (1)) t(k)", x="value", u="user_id")
+on_events("laminate", "+/ {x} ,: {u}", f"SELECT event_id AS pos, {v('value + user_id')} FROM events", x="value", u="user_id")
+
+
+@query("zip_tables", f"SELECT event_id AS pos, {v('value + user_id')} FROM events")
+def zip_tables(spark, sf):
+    return rounded(j("{x} + {u}", {"x": events(spark, sf)["value"], "u": read(spark, sf, "events", order=["event_id"])["user_id"]}).to_df("v", pos="pos"), "v")
+
+
+@query("each_box", "SELECT vec_id, ROUND(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))), 4) + 0.0 AS v FROM embeddings")
+def each_box(spark, sf):
+    t = Table(spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("embedding", F.col("embedding").cast("array<double>")), pos="vec_id")
+    return rounded(j("+/&.> {e}", {"e": t["embedding"]}).to_df("v", pos="vec_id"), "v")
+
+
+@query("words", "SELECT event_id AS pos, CAST(4 AS INTEGER) AS v FROM events")
+def words(spark, sf):
+    df = spark.read.parquet(f"{sf}/events.parquet").withColumn("p", F.concat("event_type", F.lit(" =. 1 2+x")))
+    return j(";: {p}", {"p": Table(df, pos="event_id")["p"]}).to_df("v", pos="pos").withColumn("v", F.size("v") - F.lit(1))
+
+
+@query("equal_tables", "SELECT (SELECT min(value) FROM events) = (SELECT max(value) FROM events) AS v")
+def equal_tables(spark, sf):
+    return j("{x} -: {y}", {"x": events(spark, sf)["value"], "y": j("|. {x}", {"x": events(spark, sf)["value"]}).value}).to_df("v")
+
+
+# more of the second notation
+
+on_events("apl_nwise_negative", "¯2-/{x}", f"SELECT event_id - 1 AS pos, v FROM (SELECT event_id, {v('value - lag(value) OVER (ORDER BY event_id)')} FROM events) WHERE event_id >= 1", language=apl)
+on_events("apl_reshape", "+/100 50⍴{x}", f"SELECT k // 50 AS pos, {v('sum(value)')} FROM range(5000) t(k) JOIN events ON event_id = k % (SELECT count(*) FROM events) GROUP BY 1", language=apl)
+on_events("apl_expand", "({x}>50)\\({x}>50)/{x}", f"SELECT event_id AS pos, {v('CASE WHEN value > 50 THEN value ELSE 0 END')} FROM events", language=apl)
+on_events("apl_sieve", "≠{u}", "SELECT event_id AS pos, event_id = min(event_id) OVER (PARTITION BY user_id) AS v FROM events", floats=False, language=apl, u="user_id")
+on_events("apl_without", "{u}~3 5 7", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, user_id AS v FROM events WHERE user_id NOT IN (3, 5, 7)", floats=False, language=apl, u="user_id")
+on_events("apl_nand_nor", "({x}>50)⍲({x}>20)⍱{x}>40", "SELECT event_id AS pos, NOT (value > 50 AND NOT (value > 20 OR value > 40)) AS v FROM events", floats=False, language=apl)
+on_events("apl_not", "~{x}>50", "SELECT event_id AS pos, value <= 50 AS v FROM events", floats=False, language=apl)
+on_events("apl_take_drop", "+/5↑3↓{x}", f"SELECT {v('sum(value)')} FROM events WHERE event_id BETWEEN 3 AND 7", pos=False, language=apl)
+on_events("apl_index", "+/{x}[5 7 9]", f"SELECT {v('sum(value)')} FROM events WHERE event_id IN (4, 6, 8)", pos=False, language=apl)
+on_events("apl_find", "1 2⍷3|{u}", "SELECT event_id AS pos, coalesce(user_id % 3 = 1 AND lead(user_id % 3) OVER (ORDER BY event_id) = 2, false) AS v FROM events", floats=False, language=apl, u="user_id")
+on_events("apl_format", "⍕{u}", "SELECT event_id AS pos, CAST(user_id AS VARCHAR) AS v FROM events", floats=False, language=apl, u="user_id")
+on_events("apl_catenate", "{x},1 2", f"SELECT event_id AS pos, {v('value')} FROM events UNION ALL SELECT (SELECT count(*) FROM events) + k - 1, CAST(k AS DOUBLE) FROM (VALUES (1), (2)) t(k)", language=apl)
+on_events("apl_left_right", "({x}⊣{u})+{x}⊢{u}", f"SELECT event_id AS pos, {v('value + user_id')} FROM events", language=apl, x="value", u="user_id")
+on_events("apl_compose", "{x}-⍥(×⍨){u}", f"SELECT event_id AS pos, {v('value * value - user_id * user_id')} FROM events", language=apl, x="value", u="user_id")
+on_events("apl_power", "(1.5∘×⍣3){x}", f"SELECT event_id AS pos, {v('3.375 * value')} FROM events", language=apl)
+on_events("apl_squares", "({x}*2)÷○1", f"SELECT event_id AS pos, {v('value * value / pi()')} FROM events", language=apl)
+on_events("apl_match", "({x}≡⌽⌽{x})+2×{x}≢⌽{x}", "SELECT CAST(1 + 2 * CAST(min(value) <> max(value) AS INTEGER) AS BIGINT) AS v FROM events", pos=False, floats=False, language=apl)
+on_events("apl_first", "(↑{x})+≢{x}", f"SELECT {v('arg_min(value, event_id) + count(*)')} FROM events", pos=False, language=apl)
+on_events("apl_logarithm", "(⍟1+{x})+2⍟1+{x}", f"SELECT event_id AS pos, {v('ln(1 + value) + log2(1 + value)')} FROM events", language=apl)
+on_events("apl_decode", "2⊥20↑2|{u}", "SELECT CAST(sum((user_id % 2) * CAST(power(2, 19 - event_id) AS BIGINT)) AS BIGINT) AS v FROM events WHERE event_id < 20", pos=False, floats=False, language=apl, u="user_id")
+
+
+@query("apl_partition", "SELECT row_number() OVER (ORDER BY min(event_id)) - 1 AS pos, count(*) AS n, ROUND(sum(value), 4) + 0.0 AS v FROM (SELECT *, sum(CASE WHEN r > 0 AND r > coalesce(p, 0) THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS s FROM (SELECT event_id, value, user_id % 4 AS r, lag(user_id % 4) OVER (ORDER BY event_id) AS p FROM events)) WHERE r > 0 GROUP BY s")
+def apl_partition(spark, sf):
+    t = events(spark, sf)
+    runs = apl("(4|{u})⊂{x}", {"u": t["user_id"], "x": t["value"]}).to_df("v", pos="pos")
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return rounded(runs.select("pos", F.size("v").cast("long").alias("n"), total.alias("v")), "v")
+
+
+@query("apl_outer", "SELECT n_nationkey * 5 + r_regionkey AS pos, CAST(n_nationkey + r_regionkey AS BIGINT) AS v FROM nation, region")
+def apl_outer(spark, sf):
+    n, r = read(spark, sf, "nation", pos="n_nationkey"), read(spark, sf, "region", pos="r_regionkey")
+    return apl(",{n}∘.+{r}", {"n": n["n_nationkey"], "r": r["r_regionkey"]}).to_df("v", pos="pos")
+
+
+@query("apl_transpose", f"SELECT {v('l_quantity + (l_discount + l_tax)')} FROM lineitem")
+def apl_transpose(spark, sf):
+    return rounded(apl("+⌿⍉{m}", {"m": lineitem(spark, sf).matrix("l_quantity", "l_discount", "l_tax")}).to_df("v"), "v")

@@ -56,19 +56,30 @@ def test_second_notation(tables, sentence):
 
 @pytest.mark.parametrize("sentence", ["+/\\ {x}", ">./\\. {x}", "3 +/\\ {x}", "(1 }. {x}) - _1 }. {x}", "|.!.0 {x}", "([ + 0.5 * ])/\\. {x}"])
 def test_small_blocks(tables, sentence, monkeypatch):
-    monkeypatch.setattr(blocks.scan, "__defaults__", (False, 4))
-    monkeypatch.setattr(blocks.windowed, "__defaults__", (4,))
-    monkeypatch.setattr(blocks.affine, "__defaults__", (4,))
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    monkeypatch.setattr(blocks, "SPAN", 8)
+    monkeypatch.setattr(blocks, "VAST", 1)
     check(j, sentence, tables, "dense")
 
 
+def plan_of(sentence, **values):
+    return j(sentence, values).to_df("v")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plans(tables, spark, tmp_path):
     frames, _ = tables
     frames["dense"].frame.df.write.parquet(str(tmp_path / "t"))
-    t = Table(spark.read.parquet(str(tmp_path / "t")), pos="p")
+    t = Table(spark.read.parquet(str(tmp_path / "t")), pos="p", whole=True)
     plan = j("+/ {x} * {x}", {"x": t["x"]}).to_df("v")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and "ReadSchema: struct<x:double>" in plan
-    assert "PushedFilters: [IsNotNull(x), GreaterThan(x" in j("({x} > 5.5) # {x}", {"x": t["x"]}).to_df("v")._jdf.queryExecution().executedPlan().toString() or True
+    assert "PushedFilters: [IsNotNull(k), GreaterThan(k,1)]" in plan_of("({x} > 1) # {x}", x=t["k"])
+    assert plan_of("({k} +//. {x} * {x}) % {k} +//. {x}", k=t["k"], x=t["x"]).count("Exchange") == 1
+    assert plan_of("m =. (3 +/\\ {x}) % 3\n(3 +/\\ *: {x}) - *: m", x=t["x"]).count("Exchange") == 1
+    assert plan_of("a =. 1 }. _1 }. {x}\n(a > _2 }. {x}) *. a > 2 }. {x}", x=t["x"]).count("Window ") == 1
+    assert plan_of("_5 +/\\ {x}", x=t["x"]).count("Exchange") == 1
+    assert "Join" not in plan_of("4 {. \\:~ {x}", x=t["x"])
+    looked = plan_of("({k} i. {a}) { {x}", k=t["p"], x=t["x"], a=t["k"])
+    assert looked.count("Join") - looked.count("BroadcastExchange") <= 1
     scan = j("+/\\ {x}", {"x": t["x"]}).to_df("v")._jdf.queryExecution().executedPlan().toString()
     assert "Join" in scan  # block totals come back by a join, not by one window over all rows
 
