@@ -54,7 +54,7 @@ def by_item(v: Verb, cols: list[Column], types: list[str], fixed: dict[int, np.n
     t, width = TYPES[out.dtype.kind], out.shape[1] if out.ndim == 2 else 0
     ragged = v.name == "q:"  # factors: as many as a number has
 
-    def run(*series):
+    def run(*series: pd.Series) -> pd.Series:
         got = call([to_array(s) for s in series])
         if got.ndim == 2:
             lists = [[x for x in row if x] if ragged else row for row in got.tolist()]
@@ -62,10 +62,15 @@ def by_item(v: Verb, cols: list[Column], types: list[str], fixed: dict[int, np.n
         kind = {"boolean": np.bool_, "bigint": np.int64, "double": np.float64, COMPLEX: np.complex128}.get(t)
         return from_array(got.astype(kind) if kind else got)
 
-    made = F.pandas_udf(run, f"array<{t}>" if width else t, F.PandasUDFType.SCALAR)
-    return made(*cols), t, -1 if ragged else width
+    if t == COMPLEX and not width:
+        run.__annotations__["return"] = pd.DataFrame
+    return F.pandas_udf(run, f"array<{t}>" if width else t)(*cols), t, -1 if ragged else width
 
 
 def by_value(f, result: str, col: Column) -> Column:
     """A Python function of one value, batch by batch."""
-    return F.pandas_udf(lambda s: s.map(f), result, F.PandasUDFType.SCALAR)(col)
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(f)
+
+    return F.pandas_udf(run, result)(col)

@@ -82,13 +82,6 @@ def within(c: Column, ok: Column, value: Column) -> Column:
     return F.when(ok | F.isnan(c), value).otherwise(refused("circle function whose result is complex"))
 
 
-def truth(c: Column, t: str) -> Column:
-    """0 and 1 as Booleans; other numbers are refused."""
-    if t == "boolean":
-        return c
-    return F.when((c != 0) & (c != 1), refused("logic of other numbers than 0 and 1", "boolean")).otherwise(c.cast("boolean"))
-
-
 CIRCLE = {
     0: lambda c: within(c, F.abs(c) <= 1, F.sqrt(1 - c * c)), 1: F.sin, 2: F.cos, 3: F.tan, 4: lambda c: F.sqrt(1 + c * c), 5: F.sinh, 6: F.cosh, 7: F.tanh, 9: lambda c: c, 10: F.abs, 11: lambda c: c * 0,
     12: lambda c: F.when(c < 0, math.pi).otherwise(0.0), -1: lambda c: within(c, F.abs(c) <= 1, F.asin(c)), -2: lambda c: within(c, F.abs(c) <= 1, F.acos(c)), -3: F.atan,
@@ -173,8 +166,12 @@ def dyad(name: str, a: Column, b: Column, ta: str, tb: str, apl: bool, left=None
             return {"lt": x < y, "gt": x > y, "le": x <= y, "ge": x >= y}[what]
         return {"lt": (x < y) & ~same, "gt": (x > y) & ~same, "le": (x < y) | same, "ge": (x > y) | same}[what]
     if what in ("nor", "nand"):
-        p, r = truth(a, ta), truth(b, tb)
-        return ~(p | r) if what == "nor" else ~(p & r)
+        p, r = x.cast("boolean"), y.cast("boolean")
+        out = ~(p | r) if what == "nor" else ~(p & r)
+        for c, t in ((x, ta), (y, tb)):
+            if t != "boolean":
+                out = F.when((c != 0) & (c != 1), refused("logic of other numbers than 0 and 1", "boolean")).otherwise(out)
+        return out
     if what in ("gcd", "lcm"):
         if ta == tb == "boolean":
             return a | b if what == "gcd" else a & b

@@ -94,6 +94,62 @@ def test_refusals(tables):
         j("+/\\ {x}", {"x": Table(frames["dense"].frame.df)["x"]}).to_df("v", pos="p")
 
 
+MORE = [
+    "! {x}", "2 ! {k}", "p: {k}", "q: 2 + {k}", "{x} j. {k}", "| {x} j. {k}", "+. {x} j. {k}", "+/ {x} j. {k}", "% {x} j. 1", "0 +/\\ {x}", "3 (3 : '(/:~ y) {~ 1')\\ {x}", "{k} (3 : '{. \\:~ y')/. {x}", "_5 (3 : '(<./ y) + # y')\\ {x}", "{b} (3 : '-/ y');.1 {x}",
+    "3 -/\\ {x}", "(+/ % #) &.^. 1 + {x}", '(+/ % #)"0 {x}', "{x} ,: {k}", "~. 0.1 * {k}", "(0.1 * {k}) e. 0.2 0.3", "{x} */ {k}", "2 <\\ {k}", "2 #. {k}", "([ + 0.9 * ])/\\. {x}", "([ + _1 * ])/\\. {x}", "([ + 1.5 * ])/\\. {x}", "(19 }. {x}) + 20 +/\\ {x}", "30 {. ({x} > 5) # {x}",
+    "8 o. {x}", "_25 {. {x}", "(3 }. {x}) - 4 +/\\ {x}", "(+/\\ {x}) - {x}", "({k} +//. {x}) % {k} #/. {x}",
+]
+MORE_APL = ["¯2-/{x}", "¯3⌈/{x}", "{b}\\{b}/{x}", "{k}⊂{x}", "4 5⍴{x}", "{x}∘.+{k}", "≠{k}", "{k}~0", "{x}[1 3]"]
+
+
+@pytest.mark.parametrize("sentence", MORE)
+def test_more_of_the_first_notation(tables, sentence):
+    check(j, sentence, tables, "dense")
+
+
+@pytest.mark.parametrize("sentence", MORE_APL)
+def test_more_of_the_second_notation(tables, sentence):
+    check(apl, sentence, tables, "dense")
+
+
+def refused(language, sentence, match, **values):
+    with pytest.raises(Exception, match=match):
+        language(sentence, values).to_df("v").collect()
+
+
+def test_what_has_no_answer_is_refused(spark):
+    df = spark.createDataFrame([(0, -1.0, 5), (1, 4.0, 0), (2, None, 2)], "p long, x double, k long")
+    t, some = Table(df, pos="p"), Table(df.where("p < 2"), pos="p")
+    for sentence in ("+/ {x}", "({x} > 0) # {x}", "(+/ % #) {x}", "+/\\ {x}"):
+        refused(j, sentence, "column x holds nulls", x=t["x"])
+    x, k = some["x"], some["k"]
+    for sentence in ("2 ^. {x}", "{x} ^ 0.5", "3 %: {x}", "_1 o. 8 * {x}", "%: {x}", "0 o. 9 * {x}"):
+        refused(j, sentence, "domain error", x=x)
+    for sentence in ("{k} +: 1", "{k} *: 1"):
+        refused(j, sentence, "logic of other numbers", k=k)
+    refused(j, "{k} { {x}", "index error", k=k, x=x)
+    refused(j, "{k} { 1 2 3", "index error", k=k)
+    refused(j, "7 { {x}", "index error", x=x)
+    refused(apl, "?{k}", "domain error", k=k)
+    refused(apl, "{x}÷0", "division by zero", x=x)
+    for gapped in ([5, 7, 9], [0, 1, 1], [1, 2, 3]):
+        pos = spark.createDataFrame([(p, 1.0) for p in gapped], "p long, x double")
+        refused(j, "|. {x}", "does not hold the positions", x=Table(pos, pos="p")["x"])
+        assert j("+/ {x}", {"x": Table(pos, pos="p")["x"]}).tolist() == 3.0  # nothing counts on them
+    for sentence in ("(<: ^: (>&3)) {k}", "({+/,⍵}⌺3) {x}"):
+        with pytest.raises(NotYet):
+            (apl if "⌺" in sentence else j)(sentence, {"x": x} if "⌺" in sentence else {"k": k})
+
+
+def test_empty_tables(spark):
+    t = Table(spark.createDataFrame([], "p long, x double, k long"), pos="p")
+    for sentence, want in (("+/ {x}", 0), ("<./ {x}", float("inf")), (">./ {x}", float("-inf")), ("*/ {x}", 1), ("# {x}", 0)):
+        assert j(sentence, {"x": t["x"]}).tolist() == want
+    for sentence in ("+/\\ {x}", "3 +/\\ {x}", "~. {x}", "/:~ {x}", "({x} > 0) # {x}", "{k} +//. {x}", "|. {x}", "([ + 0.5 * ])/\\. {x}"):
+        assert j(sentence, {n: t[n] for n in "xk" if f"{{{n}}}" in sentence}).tolist() == []
+    assert j("3 {. {x}", {"x": t["x"]}).tolist() == [0, 0, 0]
+
+
 def test_streams(spark, tmp_path):
     from pleat.streaming import over_stream
 
