@@ -30,6 +30,10 @@ def bound(v):
     return from_python(v)
 
 
+#: Items of a distributed vector that are shown from either end.
+SHOWN = 500
+
+
 class Result:
     """What a program came to: a local array or a distributed value."""
 
@@ -76,7 +80,14 @@ class Result:
         return table.__arrow_c_stream__(requested_schema)
 
     def __str__(self) -> str:
-        return text.display_nested(self.local()) if self.nested else text.display(self.local())
+        """The value as the notation shows it; of a long distributed vector the first and last SHOWN items."""
+        show = text.display_nested if self.nested else text.display
+        if isinstance(self.value, Vec):
+            from .plans import lowering
+
+            head, tail, left = lowering.ends(self.value, SHOWN)
+            return show(head) if not left else f"{show(head)}\n({left} more)\n{show(tail)}"
+        return show(self.local())
 
 
 class Kernel:

@@ -676,6 +676,11 @@ class Machine:
             old = self.get(target.name)
             if old is None:
                 raise ValueUnknown(f"{target.name} has no value")
+            if isinstance(old, Distributed):
+                if len(axes) != 1 or axes[0] is None or isinstance(v, Distributed):
+                    raise NotYet("this indexed assignment to a distributed value")
+                self.store(Val(name=target.name), d.lower().amend(v, np.asarray(axes[0]) - self.origin, old))
+                return
             where = np.arange(old.size).reshape(old.shape)
             at = a.index(where, axes, self.origin)
             from ..functions.structural import common_mixed

@@ -447,6 +447,8 @@ def power_until(u: Verb, g: Verb) -> Verb:
     def run(step, y):
         for _ in range(MOST_ROUNDS):
             nxt = step(y)
+            if isinstance(nxt, Distributed):
+                nxt = lower().settle(nxt)
             if truth(g.dyad(nxt, y)):
                 return nxt
             y = nxt
@@ -654,7 +656,7 @@ def composite(m, y):
 
 
 def amend_verb(u: Verb) -> Verb:
-    return derived("AmendVerb", f"{u}}}", lambda y: composite(u.monad(y), y), lambda x, y: structural.amend(x, u.dyad(x, y), y), (u,))
+    return derived("AmendVerb", f"{u}}}", lambda y: composite(u.monad(y), y), lambda x, y: amend_noun(u.dyad(x, y)).dyad(x, y), (u,))
 
 
 def fit(u: Verb, n) -> Verb:

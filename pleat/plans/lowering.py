@@ -108,8 +108,17 @@ def monad(v: Verb, y):
             return y
         if name in ("}.", "}:"):
             return Vec(y.frame.dense(), y.col, y.front + (name == "}."), y.back + (name == "}:"))
-        if name in (",", ";", "∊") and not y.type.simpleString().startswith("array"):
+        boxes = y.type.simpleString().startswith("array")
+        if name in (",", ";", "∊") and not boxes:
             return y
+        if name in (";", "∊") and boxes:
+            return raze(y)
+        if name in (">", "⊃") and boxes:
+            return open_boxes(y)
+        if name == "L.":
+            return np.asarray(int(boxes))
+        if name == "3!:0":
+            return np.asarray({"boolean": 1, "bigint": 4, "double": 8, "string": 2}.get(type_of(y), 32 if boxes else 16))
         if name in ("|.", "⌽", "⊖"):
             p = y.placed()
             pos = F.col(q(p.frame.pos))
@@ -193,6 +202,26 @@ def itemwise(v: Verb, args: list):
     return Mat(g, [F.get(F.col(cell), F.lit(k)) for k in range(width)])
 
 
+def raze(y: Vec) -> Vec:
+    """The items of all boxes, in order."""
+    p = y.placed()
+    i, v = fresh("i"), fresh("v")
+    df = p.frame.df.select(F.col(q(p.frame.pos)).alias(POS), F.posexplode(p.col).alias(i, v))
+    return Vec(Frame(df, [F.col(POS), F.col(i)]), F.col(v))
+
+
+def open_boxes(y: Vec) -> Mat:
+    """The boxes as rows, short ones filled to the length of the longest."""
+    t = y.trimmed()
+    most, own = fresh("most"), fresh("own")
+    longest = t.frame.df.agg(F.max(F.size(t.col)).alias("n")).scalar()
+    item = t.type.elementType
+    blank = (F.lit(" ") if isinstance(item, T.StringType) else F.lit(0)).cast(item)
+    g = Frame(t.frame.df.withColumn(most, longest).withColumn(own, t.col), t.frame.order, t.frame.pos, t.frame if t.frame.pos else None)
+    more = F.array_repeat(blank, F.col(most) - F.size(own))
+    return Mat(g, None, F.concat(F.col(own), more))
+
+
 def order_key(f: Frame) -> Column:
     """What min_by and max_by compare: the position, or the order as a struct."""
     if f.pos:
@@ -309,7 +338,7 @@ def dyad(v: Verb, x, y):
             return itemwise(v, [x, y])
         if scalars.TWO[name] == "circle" and isinstance(x, np.ndarray) and int(x) not in scalars.CIRCLE:
             return itemwise(v, [x, y])
-    if name == "\\" or name == "⍀":
+    if name in ("\\", "⍀", "#^:_1"):
         return expand(x, y)
     if name == "⊂" and isinstance(x, Vec) and isinstance(y, Vec):
         return partition(x, y)
@@ -1339,22 +1368,46 @@ def inner(u: Verb, v: Verb, x, y):
 
 
 def least_squares(x, y):
-    """Solution of y a = x by the normal equations: one aggregate of all products, solved on the driver."""
+    """Solution of y a = x by orthogonal factors: each task reduces its rows to one triangle, triangles are reduced alike."""
     if not isinstance(y, Mat) or not isinstance(x, Vec) or x.frame is not y.frame:
         raise NotYet("least squares of these arguments")
     cols = [c.cast("double") for c in y.columns()]
     k = len(cols)
-    aggs = [F.sum(cols[i] * cols[j]) for i in range(k) for j in range(i, k)] + [F.sum(c * x.col) for c in cols]
-    got = list(y.frame.df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
-    gram = np.zeros((k, k))
-    at = 0
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = got[at]
-            at += 1
-    if np.linalg.matrix_rank(gram) < k:
+    names = [f"c{i}" for i in range(k + 1)]
+
+    def triangle(batches):
+        import pyarrow as pa
+
+        held = np.zeros((0, k + 1))
+        for batch in batches:
+            block = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[: k + 1]], axis=1)
+            held = np.linalg.qr(np.vstack([held, block]), mode="r")
+        if len(held):
+            yield pa.RecordBatch.from_arrays([*(pa.array(held[:, i]) for i in range(k + 1)), pa.array([task_number() % 64] * len(held), pa.int64())], names=[*names, "g"])
+
+    def again(table):
+        import pyarrow as pa
+
+        r = np.linalg.qr(np.stack([table.column(n).to_numpy() for n in names], axis=1), mode="r")
+        return pa.table({n: r[:, i] for i, n in enumerate(names)})
+
+    schema = ", ".join(f"{n} double" for n in names)
+    rows_ = y.frame.df.select(*[c.alias(n) for c, n in zip([*cols, x.col.cast("double")], names, strict=True)])
+    tops = rows_.mapInArrow(triangle, f"{schema}, g long").groupBy("g").applyInArrow(again, schema)  # at most 64 triangles
+    got = np.array([list(r) for r in tops.collect()])
+    if len(got) < k:
+        raise DomainError("fewer rows than columns")
+    r = np.linalg.qr(got, mode="r")
+    top = r[:k, :k]
+    if np.abs(np.diag(top)).min() <= np.abs(np.diag(top)).max() * np.finfo(float).eps * k:
         raise DomainError("a singular argument")
-    return np.linalg.solve(gram, np.array(got[at:]))
+    return np.linalg.solve(top, r[:k, k])
+
+
+def task_number() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
 
 
 class Rows(Distributed):
@@ -1437,14 +1490,23 @@ def amend(x, m, y: Vec):
     if not isinstance(y, Vec) or isinstance(x, Distributed):
         raise NotYet("this amend of distributed values")
     p = y.placed()
+    if isinstance(m, Distributed):
+        raise NotYet("new values at distributed positions")
     at = [int(v) for v in np.ravel(ints(m))]
     pos = F.col(q(p.frame.pos))
     n = p.frame.count()
     values = np.broadcast_to(x, np.shape(m)).ravel()
     out = p.col
-    for a, v in zip(at, values, strict=True):
-        out = F.when(pos == (a if a >= 0 else n + a), F.lit(v.item())).otherwise(out)
-    return Vec(p.frame, out)
+    if len(at) <= 16:
+        for a, v in zip(at, values, strict=True):
+            out = F.when(pos == (a if a >= 0 else n + a), value_of(v).cast(p.type)).otherwise(out)
+        return Vec(p.frame, out)
+    i, v, k = fresh("i"), fresh("v"), fresh("k")
+    t = p.type
+    new = _session().createDataFrame([(a, j_, w.item()) for j_, (a, w) in enumerate(zip(at, values, strict=True))], f"{i} long, {k} long, {v} {T._parse_datatype_string(t.simpleString()).simpleString() if values.dtype.kind != 'i' else 'bigint'}")
+    new = new.withColumn(i, F.when(F.col(i) < 0, F.col(i) + n).otherwise(F.col(i))).groupBy(i).agg(F.max_by(v, k).alias(v))  # the last of equal positions counts
+    joined = p.frame.df.join(F.broadcast(new), pos == F.col(i), "left")  # as many rows as the sentence lists
+    return Vec(Frame(joined, [], p.frame.pos, p.frame), F.when(F.col(i).isNull(), p.col).otherwise(F.col(v).cast(t)))
 
 
 def agenda(verbs: list[Verb], pick_: Verb, y):
@@ -1499,6 +1561,18 @@ def gather(v) -> np.ndarray:
     raise NotYet("gathering this value")
 
 
+def ends(v: Vec, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first and last ``most`` items and how many lie between; all items first if there are none between."""
+    p = v.placed()
+    pos = F.col(q(p.frame.pos))
+    head = gather(Vec(Frame(p.frame.df.where(pos < 2 * most + 1), [], p.frame.pos), p.col))
+    if len(head) <= 2 * most:
+        return head, head[:0], 0
+    n = int(p.frame.df.agg(F.max(pos)).first()[0]) + 1
+    tail = gather(Vec(Frame(p.frame.df.where(pos >= n - most).withColumn(p.frame.pos, pos - (n - most)), [], p.frame.pos), p.col))
+    return head[:most], tail, n - 2 * most
+
+
 def first_atom(v) -> np.ndarray:
     if isinstance(v, Vec):
         t = v.placed()

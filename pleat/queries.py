@@ -503,8 +503,19 @@ def equal_tables(spark, sf):
     return j("{x} -: {y}", {"x": events(spark, sf)["value"], "y": j("|. {x}", {"x": events(spark, sf)["value"]}).value}).to_df("v")
 
 
+on_events("expand", "({x} > 50) #^:_1 ({x} > 50) # {x}", f"SELECT event_id AS pos, {v('CASE WHEN value > 50 THEN value ELSE 0 END')} FROM events")
+on_events("raze_boxes", "; _3 <\\ {x}", f"SELECT event_id AS pos, {v('value')} FROM events")
+on_events("open_boxes", '+/"1 > _100 <\\ {x}', f"SELECT event_id // 100 AS pos, {v('sum(value)')} FROM events GROUP BY 1")
+on_events("level", "(L. _3 <\\ {x}) + 3!:0 {x}", "SELECT CAST(9 AS BIGINT) AS v", pos=False, floats=False)
+on_events("amend_many", "(i. 100) (2 * i. 100)} {u}", "SELECT event_id AS pos, CASE WHEN event_id < 200 AND event_id % 2 = 0 THEN event_id // 2 ELSE user_id END AS v FROM events", floats=False, u="user_id")
+
+
 # more of the second notation
 
+on_events("apl_assign", "A←{x} ⋄ A[2 3]←0 ⋄ A", f"SELECT event_id AS pos, {v('CASE WHEN event_id IN (1, 2) THEN 0 ELSE value END')} FROM events", language=apl)
+on_events("apl_enlist", "∊(4|{u})⊂{x}", f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, {v('value')} FROM events WHERE user_id % 4 > 0", language=apl, x="value", u="user_id")
+on_events("apl_until", "{⌊⍵÷2}⍣≡{u}", "SELECT event_id AS pos, CAST(0 AS BIGINT) AS v FROM events", floats=False, language=apl, u="user_id")
+
 on_events("apl_nwise_negative", "¯2-/{x}", f"SELECT event_id - 1 AS pos, v FROM (SELECT event_id, {v('value - lag(value) OVER (ORDER BY event_id)')} FROM events) WHERE event_id >= 1", language=apl)
 on_events("apl_reshape", "+/100 50⍴{x}", f"SELECT k // 50 AS pos, {v('sum(value)')} FROM range(5000) t(k) JOIN events ON event_id = k % (SELECT count(*) FROM events) GROUP BY 1", language=apl)
 on_events("apl_expand", "({x}>50)\\({x}>50)/{x}", f"SELECT event_id AS pos, {v('CASE WHEN value > 50 THEN value ELSE 0 END')} FROM events", language=apl)

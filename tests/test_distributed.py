@@ -99,7 +99,8 @@ MORE = [
     "3 -/\\ {x}", "(+/ % #) &.^. 1 + {x}", '(+/ % #)"0 {x}', "{x} ,: {k}", "~. 0.1 * {k}", "(0.1 * {k}) e. 0.2 0.3", "{x} */ {k}", "2 <\\ {k}", "2 #. {k}", "([ + 0.9 * ])/\\. {x}", "([ + _1 * ])/\\. {x}", "([ + 1.5 * ])/\\. {x}", "(19 }. {x}) + 20 +/\\ {x}", "30 {. ({x} > 5) # {x}",
     "8 o. {x}", "_25 {. {x}", "(3 }. {x}) - 4 +/\\ {x}", "(+/\\ {x}) - {x}", "({k} +//. {x}) % {k} #/. {x}",
 ]
-MORE_APL = ["¯2-/{x}", "¯3⌈/{x}", "{b}\\{b}/{x}", "{k}⊂{x}", "4 5⍴{x}", "{x}∘.+{k}", "≠{k}", "{k}~0", "{x}[1 3]"]
+MORE += ["{b} #^:_1 {b} # {x}", "; 3 <\\ {k}", "> 3 <\\ {k}", "L. 3 <\\ {k}", "3!:0 {x}", "9 (1 3 _1)} {x}", "(100 + i. 18) (i. 18)} {x}", "{x} %. (1 + 0 * {k}) ,. {k}", "(<. @ -:) ^: _ {k}"]
+MORE_APL = ["A←{x} ⋄ A[2 3]←0 ⋄ A", "∊{k}⊂{x}", "(⌊÷∘2)⍣≡{k}", "¯2-/{x}", "¯3⌈/{x}", "{b}\\{b}/{x}", "{k}⊂{x}", "4 5⍴{x}", "{x}∘.+{k}", "≠{k}", "{k}~0", "{x}[1 3]"]
 
 
 @pytest.mark.parametrize("sentence", MORE)
@@ -141,6 +142,19 @@ def test_what_has_no_answer_is_refused(spark):
             (apl if "⌺" in sentence else j)(sentence, {"x": x} if "⌺" in sentence else {"k": k})
 
 
+def test_long_vectors_are_shown_by_their_ends(spark):
+    t = Table(spark.range(5000).selectExpr("id as p", "id as x"), pos="p")
+    shown = str(j("{x}", {"x": t["x"]})).split("\n")
+    assert shown[0].startswith("0 1 2 ") and shown[1] == "(4000 more)" and shown[2].endswith(" 4998 4999")
+
+
+def test_least_squares_keeps_its_digits(spark):
+    rows = [(i, 1.0, 1e7 + i, 3.0 + 2.0 * (1e7 + i)) for i in range(40)]
+    t = Table(spark.createDataFrame(rows, "p long, a double, b double, y double").repartition(5), pos="p")
+    got = j("{y} %. {m}", {"y": t["y"], "m": t.matrix("a", "b")}).tolist()
+    assert got[1] == pytest.approx(2.0, rel=1e-9) and got[0] == pytest.approx(3.0, abs=1e-2)
+
+
 def test_empty_tables(spark):
     t = Table(spark.createDataFrame([], "p long, x double, k long"), pos="p")
     for sentence, want in (("+/ {x}", 0), ("<./ {x}", float("inf")), (">./ {x}", float("-inf")), ("*/ {x}", 1), ("# {x}", 0)):
