@@ -10,6 +10,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .api import apl, j
 from .plans.values import Table
@@ -18,8 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf: str, name: str, order: list[str] | None = None, pos: str | None = None) -> Table:
-    return Table(spark.read.parquet(f"{sf}/{name}.parquet"), order, pos)
+    """A table of a folder; its schema is read from the files once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return Table(spark.read.schema(_schemas[path]).parquet(path), order, pos)
 
 
 def events(spark: SparkSession, sf: str) -> Table:
@@ -328,6 +336,7 @@ on_events("outfix_sum", "100 +/\\. {x}", f"SELECT event_id - 99 AS pos, v FROM (
 on_events("drawdown", ">./ 1 - {x} % >./\\ {x}", f"SELECT {v('max(d)')} FROM (SELECT 1 - value / max(value) {W} AS d FROM events)", pos=False)
 on_events("bollinger_fraction", "m =. (20 +/\\ {x}) % 20\ns =. %: 0 >. ((20 +/\\ *: {x}) % 20) - *: m\n(+/ (19 }. {x}) > m + 2 * s) % # m", f"SELECT {v('avg(CASE WHEN value > m + 2 * s THEN 1.0 ELSE 0.0 END)')} FROM (SELECT value, event_id, avg(value) {ROLL} AS m, stddev_pop(value) {ROLL} AS s FROM events) WHERE event_id >= 19", pos=False)
 on_events("peaks", "a =. 1 }. _1 }. {x}\n+/ (a > _2 }. {x}) *. a > 2 }. {x}", "SELECT count(*) AS v FROM (SELECT value, lag(value) OVER (ORDER BY event_id) AS p, lead(value) OVER (ORDER BY event_id) AS n FROM events) WHERE value > p AND value > n", pos=False, floats=False)
+on_events("golden_cross", "c =. (30 }. (20 +/\\ {x}) % 20) > (50 +/\\ {x}) % 50\n+/ (}. c) > }: c", "SELECT count(*) AS v FROM (SELECT event_id, c, lag(c) OVER (ORDER BY event_id) AS p FROM (SELECT event_id, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > avg(value) OVER (ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS c FROM events) WHERE event_id >= 49) WHERE c AND NOT p", pos=False, floats=False)
 on_events("frame_rms", "%: _1000 (+/ % #)\\ *: {x}", f"SELECT event_id // 1000 AS pos, {v('sqrt(avg(value * value))')} FROM events GROUP BY 1")
 on_events("ewma_backward", "([ + 0.5 * ])/\\. {x}", "WITH RECURSIVE t(e, a) AS (SELECT max(event_id), arg_max(value, event_id) FROM events UNION ALL SELECT ev.event_id, ev.value + 0.5 * t.a FROM t JOIN events ev ON ev.event_id = t.e - 1) SELECT e AS pos, ROUND(a, 4) + 0.0 AS v FROM t")
 
@@ -446,7 +455,7 @@ shaped("binary_digits", "#: 15 | {u}", ["a", "b", "c", "d"], "SELECT event_id AS
 def roll_mean(spark, sf):
     """The tens of the mean of so many rolls below 100 are 4."""
     rolls = j("? 100 + 0 * {u}", {"u": events(spark, sf)["user_id"]}).to_df("r")
-    return rolls.agg(F.floor(F.avg("r") / 10).alias("v"))
+    return rolls.agg(F.floor((F.avg("r") - 4.5) / 10).alias("v"))
 
 
 @query("complex_columns", "SELECT ROUND(sum(value), 2) + 0.0 AS re, CAST(sum(user_id) AS DOUBLE) AS im FROM events")
