@@ -31,7 +31,7 @@ FLOOR = 2
 BACKOFF = 0.4
 BITS = 64
 #: Bytes of text to a chunk.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 14 << 20
 
 
 def grams(col: pa.ChunkedArray, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
