@@ -94,7 +94,10 @@ def monad(v: Verb, y):
         return itemwise(v, [y])
     if isinstance(y, Vec):
         if name in ("p:", "q:", "j.", "r.") or name == "!" and scalars.is_float(type_of(y)):
-            return itemwise(v, [y])
+            out = itemwise(v, [y])
+            if name == "r.":
+                out.angle = scalars.unit_angle(scalars.number(y.col, type_of(y)).cast("double"))
+            return out
         if name == "+." or name == "*.":
             d = scalars.number(y.col, type_of(y)).cast("double")
             parts = [d, F.lit(0.0)] if name == "+." else [F.abs(d), F.when(d < 0, float(np.pi)).otherwise(0.0)]
@@ -334,6 +337,8 @@ def dyad(v: Verb, x, y):
         return y
     flat = all(isinstance(a, Vec) or isinstance(a, np.ndarray) and not a.ndim for a in (x, y))
     if flat and (name in scalars.TWO or name in ("j.", "r.")):
+        if scalars.TWO.get(name) == "circle" and isinstance(x, np.ndarray) and x[()] == 12 and hasattr(y, "angle"):
+            return Vec(y.frame, y.angle, y.front, y.back)
         if name in ("j.", "r.") or scalars.TWO.get(name) == "binomial" or any(isinstance(a, Vec) and rows.is_complex(type_of(a)) or isinstance(a, np.ndarray) and a.dtype.kind == "c" for a in (x, y)):
             return itemwise(v, [x, y])
         if scalars.TWO[name] == "circle" and isinstance(x, np.ndarray) and int(x) not in scalars.CIRCLE:

@@ -82,6 +82,11 @@ def within(c: Column, ok: Column, value: Column) -> Column:
     return F.when(ok | F.isnan(c), value).otherwise(refused("circle function whose result is complex"))
 
 
+def unit_angle(c: Column) -> Column:
+    """The angle of the unit number at angle c: c itself up to half a turn, as sine and cosine would lose its last digits."""
+    return F.when(F.abs(c) <= math.pi, c).otherwise(F.atan2(F.sin(c), F.cos(c)))
+
+
 CIRCLE = {
     0: lambda c: within(c, F.abs(c) <= 1, F.sqrt(1 - c * c)), 1: F.sin, 2: F.cos, 3: F.tan, 4: lambda c: F.sqrt(1 + c * c), 5: F.sinh, 6: F.cosh, 7: F.tanh, 9: lambda c: c, 10: F.abs, 11: lambda c: c * 0,
     12: lambda c: F.when(c < 0, math.pi).otherwise(0.0), -1: lambda c: within(c, F.abs(c) <= 1, F.asin(c)), -2: lambda c: within(c, F.abs(c) <= 1, F.acos(c)), -3: F.atan,

@@ -175,3 +175,14 @@ def test_streams(spark, tmp_path):
     assert sorted(r["v"] for r in spark.table("doubled").collect()) == [10.0, 12.0, 14.0, 16.0, 18.0]
     with pytest.raises(NotYet):
         over_stream(j, "+/\\ {x}", stream, {"x": "x"})
+
+
+@pytest.mark.parametrize("sentence", ["12 o. r. {x}", "12 o. r. - 100 * {x}", "12 o. r. {k}", "12 o. r. {b}", "12 o. 2 + r. {x}", "12 o. r. 1 }. {x}"])
+def test_angles_of_unit_numbers(tables, sentence):
+    check(j, sentence, tables, "dense")
+
+
+def test_angles_up_to_half_a_turn_keep_their_digits(spark):
+    x = [0.00575, -0.07195, 0.02245, 3.1, float(np.pi), -float(np.pi)]
+    t = Table(spark.createDataFrame(list(enumerate(x)), "p long, x double"), pos="p")
+    assert [r.v for r in j("12 o. r. {x}", {"x": t["x"]}).to_df("v", pos="pos").orderBy("pos").collect()] == x
