@@ -186,3 +186,13 @@ def test_angles_up_to_half_a_turn_keep_their_digits(spark):
     x = [0.00575, -0.07195, 0.02245, 3.1, float(np.pi), -float(np.pi)]
     t = Table(spark.createDataFrame(list(enumerate(x)), "p long, x double"), pos="p")
     assert [r.v for r in j("12 o. r. {x}", {"x": t["x"]}).to_df("v", pos="pos").orderBy("pos").collect()] == x
+
+
+@pytest.mark.parametrize("sentence", ["(1.5&*) ^: 3 {x}", "(*&0.1) ^: 2 {x}", "(3&*) ^: 4 {k}", "(_2&*) ^: 3 {x}", "2 (* ^: 5) {x}", "(0&*) ^: 2 {x}", "(1e_200&*) ^: 2 {x}", "(1.5&*) ^: 1 {x}", "(1.5&*) ^: 0 {x}", "(1.5&+) ^: 3 {x}", "3 (2&*) {x}", "(2&*) ^: 3 {b}"])
+def test_repeated_products(tables, sentence):
+    check(j, sentence, tables, "dense")
+
+
+def test_a_repeated_product_beyond_all_floats_is_taken_in_steps(spark):
+    t = Table(spark.createDataFrame([(0, 1e-300)], "p long, x double"), pos="p")
+    assert j("(1e200&*) ^: 2 {x}", {"x": t["x"]}).to_df("v").first().v == pytest.approx(1e100)
